@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import linededup, rules
+from talkloom.llm import bpe, linededup, packing, rules, token_counts
 from talkloom.sources.tables import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded; both as digests."""
+    import public_tokenizers
+
+    ranks, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.decode(encoded, ranks, pattern).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, and whether it exceeds 4096."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's boilerplate lines cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -20,7 +51,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
