@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import bpe, linededup, packing, rules, token_counts
+from talkloom.llm import ann, bpe, linededup, neardup, packing, quality, rules, token_counts, toxicity
 from talkloom.sources.tables import table
 
 
@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document's pieces in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -40,6 +46,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: 3-word shingles, similarity 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=0.85)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learned outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log weight, sampling key, and whether it is in the sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's boilerplate lines cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -52,9 +74,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multiprobe_search": op1_multiprobe_search,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_resampling": op7_quality_resampling,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
