@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import ann, bpe, linededup, neardup, packing, quality, rules, token_counts, toxicity
+import corpus_pipeline
+from talkloom.llm import ann, bpe, linededup, neardup, packing, quality, rules, shards, token_counts, toxicity
 from talkloom.sources.tables import table
 
 
@@ -73,6 +74,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards in the shared folder; the manifest of every document's spans."""
+    manifest, _ = shards.write_shards(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return manifest
+
+
 QUERIES = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +90,8 @@ QUERIES = {
     "op7_quality_resampling": op7_quality_resampling,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_training_shards": op10_training_shards,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -137,3 +146,6 @@ WITH base AS (
 )
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits & 63 = 0 AS kept FROM f
 """
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
