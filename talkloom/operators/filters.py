@@ -51,6 +51,15 @@ AXIS_CHECKS = {
 }
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row, however often they are used.
+
+    The optimiser merges adjacent projections and would write a reused
+    expression out at each use; a one-row generator stands between them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def result(passed: Column, score: Column | None = None, reason: Column | None = None) -> Column:
     null = lambda c, kind: F.lit(None).cast(kind) if c is None else c.cast(kind)
     return F.struct(passed.alias("passed"), null(score, "double").alias("score"), null(reason, "string").alias("reason"))
@@ -108,18 +117,17 @@ def naturalness_parts(text: Column, level: Column) -> dict[str, Column]:
 
 def level_scores(df: DataFrame) -> DataFrame:
     """Add ``score_<metric>`` from the measured columns and the level's targets (a literal map, no join)."""
-    for i, metric in enumerate(METRICS):
-        edge = lambda k, i=i: F.create_map(*[x for lv, t in LEVEL_TARGETS.items() for x in (F.lit(lv), F.lit(float(t[i][k])))])[F.col("level")]
-        df = df.withColumn(f"score_{metric}", T.band_score(F.col(metric), edge(0), edge(1), edge(2), edge(3)))
-    return df
+    def scored(i: int, metric: str) -> Column:
+        edge = [F.create_map(*[x for lv, t in LEVEL_TARGETS.items() for x in (F.lit(lv), F.lit(float(t[i][k])))])[F.col("level")] for k in range(4)]
+        return T.band_score(F.col(metric), *edge)
+
+    return once(df, {f"score_{m}": scored(i, m) for i, m in enumerate(METRICS)})
 
 
 def measure_naturalness(df: DataFrame) -> DataFrame:
     """Add assistant text measures and band scores."""
-    measured = df.withColumn("_text", T.assistant_text(F.col("messages")))
-    for name, column in naturalness_parts(F.col("_text"), F.col("level")).items():
-        measured = measured.withColumn(name, column)
-    return level_scores(measured)
+    texts = once(df, {"_text": T.assistant_text(F.col("messages"))})
+    return level_scores(once(texts, naturalness_parts(F.col("_text"), F.col("level"))))
 
 
 def naturalness(df: DataFrame) -> Column:
@@ -163,10 +171,10 @@ def run_pipeline(df: DataFrame, filters: dict[str, Column], short_circuit: bool
     passed and skipped. Only the first failure is reported either way.
     """
     names = [n for n in ORDER if n in filters] + [n for n in filters if n not in ORDER]
-    for n in names:
-        df = df.withColumn(f"_f_{n}", filters[n])
+    df = once(df, {f"_f_{n}": filters[n] for n in names})
     runs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_f_{n}.passed").alias("passed"), F.col(f"_f_{n}.score").alias("score"), F.col(f"_f_{n}.reason").alias("reason")) for n in names])
-    df = df.withColumn("_runs", runs).withColumn("_first", F.array_position(F.transform("_runs", lambda r: r["passed"]), False))
+    df = once(df, {"_runs": runs})
+    df = once(df, {"_first": F.array_position(F.transform("_runs", lambda r: r["passed"]), False)})
     skipped = lambda i: (F.col("_first") > 0) & (i + 1 > F.col("_first")) & F.lit(short_circuit)
     df = df.withColumn(
         "runs",
