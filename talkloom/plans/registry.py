@@ -1,6 +1,7 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from talkloom.plans import text_queries
+from talkloom.plans import score_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-SQL = {**text_queries.SQL}
+_MODULES = [text_queries, score_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
