@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "talkloom", cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
+def build_session(app: str = "talkloom", cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings that tests and benchmarks use."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,20 +21,19 @@ def build_session(app: str = "talkloom", cpus: int | str = "*", shuffle_partitio
         .config("spark.driver.memory", driver_memory)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    return builder.config(map=extra or {}).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a folder below
-    the working directory's ``spark-warehouse`` is set and used.
+    Only where the cluster names none (one machine) a folder below the working
+    directory's ``spark-warehouse`` is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = "file://" + os.path.abspath(os.path.join("spark-warehouse", "shared"))
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
