@@ -9,7 +9,6 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from talkloom.llm import linededup, neardup, packing, quality, rules
 from talkloom.session import materialise
@@ -28,11 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; ``n_chars`` follows the text."""
-    cut = linededup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select([F.col(f"`{c}`") for c in docs.columns])
+    return linededup.strip_boilerplate(docs, length_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

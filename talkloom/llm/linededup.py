@@ -53,7 +53,7 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The input's columns with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped_lines``.
+    """The input's columns (but any of the two added names) with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped_lines``.
 
     The other lines keep their order and are joined by one line feed again, so
     a text without boilerplate comes back byte for byte. A null text stays
@@ -61,6 +61,14 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
     a page with boilerplate around it: it stays whole, for the near-duplicate
     stage to decide on. An empty table gives an empty result.
     """
+    cut = _cut(docs, host, text, ratio, min_pages)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped_lines")]
+    columns = [F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
+    return cut.select(*columns, F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped_lines"))
+
+
+def _cut(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+    """``_row`` (the input row), ``_new`` (its text without boilerplate), ``_lines``, ``_gone``."""
     found = materialise(boilerplate_lines(docs, host, text, ratio, min_pages).select("host", "a", "b"), "lines")
     names = docs.columns
     # Per host the lines to drop: at most (mean distinct lines of a page) / ratio of them.
@@ -83,14 +91,22 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
     )[0]
     done = joined.withColumn("_cut", F.when(F.col("_drop").isNotNull() & F.col("_text").isNotNull(), cut))
     applied = F.coalesce(F.col("_cut.left") & (F.col("_cut.gone") > 0), F.lit(False))
-    columns = [F.when(applied, F.col("_cut.text")).otherwise(F.col("_text")).alias(text) if c == text else F.col("_row")[c].alias(c) for c in names]
     return done.select(
-        *columns,
-        F.coalesce(F.col("_cut.n"), F.size(_lines(F.col("_text"))).cast("long")).alias("n_lines"),
-        F.when(applied, F.col("_cut.gone")).otherwise(F.lit(0).cast("long")).alias("n_dropped_lines"),
+        "_row",
+        F.when(applied, F.col("_cut.text")).otherwise(F.col("_text")).alias("_new"),
+        F.coalesce(F.col("_cut.n"), F.size(_lines(F.col("_text"))).cast("long")).alias("_lines"),
+        F.when(applied, F.col("_cut.gone")).otherwise(F.lit(0).cast("long")).alias("_gone"),
     )
 
 
-def strip_boilerplate(docs: DataFrame, **options) -> DataFrame:
-    """As :func:`dedup_lines`, with the input's columns only (a pipeline stage)."""
-    return dedup_lines(docs, **options).select([F.col(f"`{c}`") for c in docs.columns])
+def strip_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", length_col: str | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """As :func:`dedup_lines`, with the input's columns only; ``length_col`` follows a text that was cut (a pipeline stage)."""
+
+    def value(c: str):
+        if c == text:
+            return F.col("_new")
+        if c == length_col:
+            return F.when(F.col("_gone") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c])
+        return F.col("_row")[c]
+
+    return _cut(docs, host, text, ratio, min_pages).select([value(c).alias(c) for c in docs.columns])

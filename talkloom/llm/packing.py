@@ -227,7 +227,7 @@ def sequences(placed: DataFrame, capacity: int = SEQUENCE_TOKENS, pad_id: int =
     sequence, so it never holds more than ``capacity`` ids.
     """
 
-    def join(key, group: pa.Table) -> pa.Table:
+    def join(key, group):
         group = group.sort_by("offset")
         ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u4").astype(np.int32)
         padded = np.concatenate([ids, np.full(capacity - len(ids), pad_id, np.int32)])

@@ -74,8 +74,9 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
     # the sample is bounded by a parameter, so it may be broadcast
-    flagged = docs.join(F.broadcast(sample.select(id_col, F.lit(True).alias("_good"))), id_col, "left")
-    counts = flagged.select(F.col(text_col).alias("text"), F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(run, "bucket bigint, raw double, target double")
+    texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
+    flagged = texts.join(F.broadcast(sample.select(id_col, F.lit(True).alias("_good"))), id_col, "left")
+    counts = flagged.select("_text", F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(run, "bucket bigint, raw double, target double")
     rows = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.ones(buckets), np.ones(buckets)
     for bucket, r, t in rows:
@@ -91,28 +92,26 @@ def _sortable(x: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", scale: float = SCALE, seed: int = SEED) -> DataFrame:
-    """Add ``log_weight`` (double) and ``sample_key`` (long, ordered as log weight plus Gumbel noise).
+    """``_row`` (the input row), ``log_weight`` (double) and ``sample_key`` (long, ordered as log weight plus Gumbel noise).
 
     A text without tokens, empty or null, has weight 0, that of average text.
     """
-    names = docs.columns
-    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in text_steps(batch, at + 1):
+            for part, _ in text_steps(batch):
                 n = part.num_rows
-                bucket, doc = ngram_buckets(part.column(at + 1), len(ratios))
+                bucket, doc = ngram_buckets(part.column(1), len(ratios))
                 total = np.bincount(doc, weights=ratios[bucket.astype(np.int64)], minlength=n)
                 count = np.bincount(doc, minlength=n)
                 weight = scale * total / np.maximum(count, 8)
                 u = (mix(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U) + _U(seed * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) / 2**53
                 key = weight - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(weight), pa.array(_sortable(key))], [*names, "log_weight", "sample_key"])
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(weight), pa.array(_sortable(key))], ["_row", "log_weight", "sample_key"])
 
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("_noise"), *[F.col(f"`{c}`") for c in names])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, f"{kinds}, log_weight double, sample_key bigint")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("_noise"), F.col(f"`{text_col}`").alias("_text"), row.alias("_row"))
+    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, log_weight double, sample_key bigint")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "sample_key") -> int:
@@ -129,20 +128,16 @@ def kth_largest(keys: DataFrame, k: int, column: str = "sample_key") -> int:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
-    """``docs`` with ``log_weight``, ``sample_key`` and ``kept`` (the k largest keys).
-
-    Without ``k`` it is the number of documents whose keys are not below the
-    ``1 - recall`` quantile of the target sample's keys. Rows tied with the
-    k-th key are all kept. Without labelled good rows, or without documents,
-    everything is kept.
-    """
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, recall: float, k: int | None) -> DataFrame:
+    """:func:`scored` with ``kept``."""
     sample = materialise(target_sample(labels, id_col), "target")
-    ratios = log_ratios(docs, sample, id_col, text_col)
+    # the model sees one half of the sample; the other half, new to it as any document is, sets the size
+    fitted = F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(2)) == 0
+    ratios = log_ratios(docs, sample.where(fitted), id_col, text_col)
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    keys = materialise(scored(narrow, ratios, id_col, text_col).select(id_col, "sample_key"), "keys")
+    keys = materialise(scored(narrow, ratios, id_col, text_col).select(F.col("_row")[id_col].alias(id_col), "sample_key"), "keys")
     if k is None:
-        of_target = keys.join(F.broadcast(sample), id_col, "left_semi")
+        of_target = keys.join(F.broadcast(sample.where(~fitted)), id_col, "left_semi")
         n_target = of_target.count()
         if not n_target:
             cut = None
@@ -156,6 +151,20 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumn("kept", F.lit(k is None or k > 0) if cut is None else F.col("sample_key") >= F.lit(cut))
 
 
-def reject_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
+    """The input's columns (but any of the added names) with ``log_weight``, ``sample_key`` and ``kept`` (the k largest keys).
+
+    Without ``k`` it is the number of documents whose keys are not below the
+    ``1 - recall`` quantile of the keys of those target rows that the model
+    was not fitted on. Rows tied with the
+    k-th key are all kept. Without labelled good rows, or without documents,
+    everything is kept.
+    """
+    added = ["log_weight", "sample_key", "kept"]
+    names = [c for c in docs.columns if c.lower() not in added]
+    return _sampled(docs, labels, id_col, text_col, recall, k).select(*[F.col("_row")[c].alias(c) for c in names], *added)
+
+
+def reject_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
     """The documents that :func:`resample` keeps, with their columns (a pipeline stage)."""
-    return resample(docs, labels, **options).where("kept").select([F.col(f"`{c}`") for c in docs.columns])
+    return _sampled(docs, labels, id_col, text_col, recall, k).where("kept").select([F.col("_row")[c].alias(c) for c in docs.columns])
