@@ -1,7 +1,7 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from talkloom.plans import dialogue_queries, score_queries, text_queries
+from talkloom.plans import curation_queries, dialogue_queries, score_queries, text_queries
 
-_MODULES = [text_queries, score_queries, dialogue_queries]
+_MODULES = [text_queries, score_queries, dialogue_queries, curation_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
