@@ -12,7 +12,9 @@ and nothing else.
 from __future__ import annotations
 
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,7 +34,7 @@ WINDOW_PIECES = 16384
 END_ID = 0
 
 #: Chunks whose ids a worker may keep.
-KNOWN_LIMIT = 250_000
+KNOWN_LIMIT = 400_000
 
 
 class JsonTokenizer:
@@ -50,6 +52,8 @@ class JsonTokenizer:
         import regex
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise ValueError("ids are laid out as this machine's unsigned 32-bit numbers, which must be little-endian")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kind = spec.get("pre_tokenizer") or {}
@@ -65,22 +69,41 @@ class JsonTokenizer:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.letters[32])
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.edge = re.compile(r"\A\s|\s\Z|\s\s").search
-        # two generations of known chunks: what is still in use outlives the older one
+        # Ids of known chunks (less the space before them) and pieces, in two
+        # generations: what is still in use outlives the older one.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that the younger generation lacks; it is added there."""
-        if (ids := self.older.get(chunk)) is None:
-            pieces = self.find(chunk)
-            ids = self._piece(chunk) if len(pieces) == 1 else b"".join([self.known.get(p) or self._chunk(p) for p in pieces])
-        self.known[chunk] = ids
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        known, parts = self.pieces, []
+        for piece in pieces:
+            if (ids := known.get(piece)) is None:
+                ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+                if len(piece) < 6:  # endings and punctuation; whole words are known as chunks
+                    known[piece] = ids
+            parts.append(ids)
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def _miss(self, part: str) -> bytes:
+        """Ids of a space and ``part``, which the younger generation lacks."""
+        if (ids := self.older.get(part)) is not None:
+            pass
+        elif part.isascii() and part.isalpha():  # one piece, no need to split it
+            ids = array("I", [t.id for t in self.tokenize(self.space + part)]).tobytes()
+        elif part[-1] in ".," and (word := part[:-1]).isascii() and word.isalpha():
+            ids = (self.known.get(word) or self._miss(word)) + self._ids([part[-1]])
+        else:
+            pieces = self.find(" " + part)
+            word = pieces[0][1:]
+            if len(pieces) > 1 and word and pieces[0][0] == " " and word != part:
+                ids = (self.known.get(word) or self._miss(word)) + self._ids(pieces[1:])
+            else:
+                ids = self._ids(pieces)
+        self.known[part] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -89,14 +112,16 @@ class JsonTokenizer:
         for text in texts:
             if len(self.known) > KNOWN_LIMIT:
                 self.older, self.known = self.known, {}
+            if len(self.pieces) > KNOWN_LIMIT:
+                self.pieces = {}
             if not text:
                 out.append(b"")
             elif self.edge(text) or any(s in text for s in self.special):
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                known, chunk = self.known.get, self._chunk
+                known, miss = self.known.get, self._miss
                 first, *rest = text.split(" ")
-                out.append(b"".join([known(first) or chunk(first), *[known(x) or chunk(x) for x in map(" ".__add__, rest)]]))
+                out.append(b"".join([self._ids(self.find(first)), *[known(x) or miss(x) for x in rest]]))
         return out
 
 
