@@ -37,7 +37,8 @@ def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame
 def parsed(df: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
     """Add ``record`` (null if the line is no JSON object), ``unknown`` (top-level keys the schema lacks)."""
     json = F.try_parse_json(F.col("line"))
-    is_object = json.isNotNull() & F.schema_of_variant(json).startswith("OBJECT")
+    # the parser stops at the first value's end
+    is_object = json.isNotNull() & F.schema_of_variant(json).startswith("OBJECT") & F.trim("line").endswith("}")
     keys = F.json_object_keys(F.col("line"))
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     return df.withColumn("record", F.when(is_object, F.from_json("line", schema))).withColumn("unknown", F.when(is_object, F.array_except(keys, known)))
