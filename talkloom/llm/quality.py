@@ -29,8 +29,10 @@ BUCKETS = 16_384
 TARGET_ROWS = 20_000
 #: n-grams that a document's mean log ratio is scaled to.
 SCALE = 200.0
-#: Of the target sample, the share whose keys the sample size must reach.
-TARGET_RECALL = 0.995
+#: The sample reaches down from the median of the target's keys to MARGIN times
+#: the depth at which this share of them lies (few enough to outvote wrong labels).
+TARGET_RECALL = 0.98
+MARGIN = 3.0
 SEED = 17
 
 _U = np.uint64
@@ -91,6 +93,11 @@ def _sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
 
 
+def _double(x: int) -> float:
+    """The double that :func:`_sortable` made ``x`` of."""
+    return float(np.array([x if x >= 0 else x ^ 0x7FFFFFFFFFFFFFFF], np.int64).view(np.float64)[0])
+
+
 def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", scale: float = SCALE, seed: int = SEED) -> DataFrame:
     """``_row`` (the input row), ``log_weight`` (double) and ``sample_key`` (long, ordered as log weight plus Gumbel noise).
 
@@ -142,7 +149,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rec
         if not n_target:
             cut = None
         else:
-            floor = kth_largest(of_target, max(1, math.ceil(recall * n_target)))
+            low, middle = (_double(kth_largest(of_target, max(1, math.ceil(share * n_target)))) for share in (recall, 0.5))
+            floor = int(_sortable(np.array([middle - MARGIN * (middle - low)]))[0])
             cut = kth_largest(keys, keys.where(F.col("sample_key") >= floor).count())
     else:
         total = keys.count()
@@ -154,9 +162,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rec
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
     """The input's columns (but any of the added names) with ``log_weight``, ``sample_key`` and ``kept`` (the k largest keys).
 
-    Without ``k`` it is the number of documents whose keys are not below the
-    ``1 - recall`` quantile of the keys of those target rows that the model
-    was not fitted on. Rows tied with the
+    Without ``k`` it is the number of documents whose keys lie no deeper below
+    the median key of target rows than ``MARGIN`` times the depth that
+    ``recall`` of them reach; these are rows the model was not fitted on. Rows tied with the
     k-th key are all kept. Without labelled good rows, or without documents,
     everything is kept.
     """
