@@ -8,12 +8,14 @@ named by the coordinate and its minwise token there. Pairs of the threshold's
 similarity meet in a leaf of each tree with a fair chance, and the number of
 trees brings the chance of meeting nowhere down to about 1e-5.
 
-Nodes with more than ``LEAF`` documents branch on. Small nodes are compared
-exhaustively: every member with the node's smallest id first, then, after
-these links are known, all pairs of members that they do not connect yet.
-Pairs already connected need no look: they cannot change a component. A large
-group of near copies thus costs a comparison per member, not per pair, and no
-group is ever gathered in a task. Every link is confirmed on the full sets.
+Nodes with more than ``LEAF`` documents branch on, unless they kept most of
+their parent's documents: what a few more levels don't part is alike. Small
+and final nodes are compared exhaustively: every member with the node's smallest id first, then, after
+these links are known, the members they leave apart with all members of the
+node. Pairs already connected need no look: they cannot change a component.
+The second comparison runs in blocks of bounded size, so no group is gathered
+in a task, and no pair that isn't a link becomes a row. Every link is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ TREES = 14
 LEVELS = 3
 ROUNDS = 5
 LEAF = 32
+#: A node that kept this share of what documents just at the threshold would keep is final.
+DENSE = 0.8
+#: Members of a block when nodes are compared exhaustively.
+BLOCK = 256
 
 _U = np.uint64
 _A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)) | _U(1)
@@ -101,7 +107,7 @@ def _descend(nodes: np.ndarray, sigs: np.ndarray, threshold: float, levels: int)
 
 
 def _branch(rows: DataFrame, threshold: float, trees: int | None) -> DataFrame:
-    """``node, id`` of the children of each row's node; without a node column, of the trees' roots."""
+    """``node, id, parent_n`` of the children of each row's node; without a node column, of the trees' roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +116,12 @@ def _branch(rows: DataFrame, threshold: float, trees: int | None) -> DataFrame:
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, SIGNATURE)
             ids = batch.column(0)
             starts = [mix(np.full(batch.num_rows, t + 1, _U)) for t in range(trees)] if trees else [batch.column(2).to_numpy().view(np.uint64)]
+            parents = pa.array(np.full(batch.num_rows, 1 << 62)) if trees else batch.column(3)
             for nodes in starts:
                 keys, row = _descend(nodes, sigs, threshold, LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(row))], ["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(row)), parents.take(pa.array(row))], ["node", "id", "parent_n"])
 
-    return rows.mapInArrow(run, f"node bigint, id {rows.schema[0].dataType.simpleString()}")
+    return rows.mapInArrow(run, f"node bigint, id {rows.schema[0].dataType.simpleString()}, parent_n bigint")
 
 
 def tree_nodes(reps: DataFrame, threshold: float) -> DataFrame:
@@ -122,17 +129,19 @@ def tree_nodes(reps: DataFrame, threshold: float) -> DataFrame:
 
     def shared(rows: DataFrame) -> DataFrame:
         # a document may reach a node twice; sizes only steer the branching
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.max("id").alias("_most")).where("pivot < _most").drop("_most")
-        return materialise(rows.join(sizes, "node"), "nodes")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.max("id").alias("_most"), F.max("parent_n").alias("parent_n"))
+        sizes = sizes.where("pivot < _most").drop("_most")
+        final = (F.col("n") <= LEAF) | (F.col("n") >= F.col("parent_n") * (DENSE * threshold**LEVELS))
+        return materialise(rows.drop("parent_n").join(sizes, "node").withColumn("final", final), "nodes")
 
     found, level = [], shared(_branch(reps.select("id", "sig"), threshold, TREES))
     for _ in range(ROUNDS):
-        found.append(level.where(F.col("n") <= LEAF))
-        large = level.where(F.col("n") > LEAF).select("node", "id")
+        found.append(level.where("final"))
+        large = level.where("not final").select("node", "id", "n")
         if large.isEmpty():
             large = None
             break
-        level = shared(_branch(large.join(reps, "id").select("id", "sig", "node"), threshold, None))
+        level = shared(_branch(large.join(reps, "id").select("id", "sig", "node", F.col("n").alias("parent_n")), threshold, None))
     if large is not None:
         found.append(level)
     out = found[0]
@@ -143,7 +152,7 @@ def tree_nodes(reps: DataFrame, threshold: float) -> DataFrame:
 
 def confirmed(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """The rows (a, b) whose full sets have ``intersection >= threshold * union``, exactly."""
-    parts, whole = threshold.as_integer_ratio() if threshold not in (0.8, 0.85) else (round(threshold * 100), 100)
+    parts, whole = _ratio(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,20 +183,99 @@ def links(docs: DataFrame, reps: DataFrame, size: int, threshold: float, id_col:
     star = materialise(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
     linked = materialise(confirmed(star, elements, threshold), "linked")
     known = components(linked)
-    # what the first links leave apart within a node is compared pair by pair
-    of = members.join(known.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    # what the first links leave apart within a node is compared member by member, in blocks
+    of = members.select("pivot", "id").distinct().join(known.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     of = of.join(known.select(F.col("vertex").alias("pivot"), F.col("component").alias("_p")), "pivot", "left").withColumn("p", F.coalesce("_p", "pivot"))
-    of = materialise(of.select("node", "id", "c", "p"), "apart")
-    apart = of.where("c <> p").select("node", F.col("id").alias("i"), F.col("c").alias("ci"))
-    pairs = apart.join(of.select("node", F.col("id").alias("j"), F.col("c").alias("cj")), "node").where("ci <> cj")
-    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    rest = pairs.join(star, ["a", "b"], "left_anti")
-    more = materialise(confirmed(rest, elements, threshold), "linked")
+    of = materialise(of.select("pivot", "id", "c", "p"), "apart")
+    more = materialise(rest_links(of, elements, threshold), "linked")
     if more.isEmpty():
         return known
     return components(linked.unionByName(more))
 
 
+def _ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction; two decimals are taken at their word."""
+    return (round(threshold * 100), 100) if abs(threshold * 100 - round(threshold * 100)) < 1e-9 else threshold.as_integer_ratio()
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, exactly, as products of incidence blocks."""
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+    both = np.intersect1d(flat_x, flat_y)
+    out = np.zeros((len(x), len(y)), np.float64)
+    if not len(both):
+        return out
+
+    def columns_of(flat: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        found = both[at] == flat
+        order = np.argsort(at[found], kind="stable")
+        return at[found][order], row[found][order]
+
+    (cx, rx), (cy, ry) = columns_of(flat_x, row_x), columns_of(flat_y, row_y)
+    for low in range(0, len(both), columns):
+        high = min(low + columns, len(both))
+        parts = []
+        for c, r, n in ((cx, rx, len(x)), (cy, ry, len(y))):
+            i, j = np.searchsorted(c, [low, high])
+            m = np.zeros((n, high - low), np.float32)
+            m[r[i:j], c[i:j] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def rest_links(of: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of a pivot's nodes that lie in different components so far.
+
+    ``of`` has ``pivot, id, c`` (the member's component) ``, p`` (the pivot's).
+    Members outside the pivot's component are compared with all members, in
+    blocks of bounded size; a block gives a spanning forest of its links.
+    """
+    parts, whole = _ratio(threshold)
+    kind = of.schema["id"].dataType.simpleString()
+    ceil = lambda n: F.ceil(n / BLOCK).cast("int")
+    # two members are the pivot and a member compared already
+    sizes = of.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") != F.col("p")).alias("nu")).where("nu > 0 and n > 2")
+    rows = of.join(sizes.select("pivot", ceil(F.col("n")).alias("ns"), ceil(F.col("nu")).alias("nq")), "pivot").join(elements, "id")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("c <> p").select("pivot", salt("nq").alias("u"), every("ns").alias("s"), "id", "c", "elements")
+    # aliases, so that the two sides' columns can be told apart
+    right = rows.select(F.col("pivot").alias("pivot"), every("nq").alias("u"), salt("ns").alias("s"), *[F.col(c).alias(c) for c in ("id", "c", "elements")])
+
+    def compare(key, x, y):
+        none = pa.table([pa.array([], x.schema.field("id").type)] * 2, ["a", "b"])
+        if not x.num_rows or not y.num_rows:
+            return none
+        ids, comps, found = [], [], []
+        for t in (x, y):
+            ids.append(t.column("id").to_pylist()), comps.append(t.column("c").to_pylist())
+            found.append([np.frombuffer(v, np.uint64) for v in t.column("elements").to_pylist()])
+        both = intersections(*found)
+        n, m = (np.array([len(v) for v in f], np.float64) for f in found)
+        hits = np.argwhere(whole * both >= parts * (n[:, None] + m[None, :] - both))
+        root: dict = {}
+
+        def find(v):
+            while (up := root.get(v, v)) != v:
+                root[v] = root.get(up, up)
+                v = up
+            return v
+
+        a, b = [], []
+        for i, j in hits.tolist():
+            p, q = find(comps[0][i]), find(comps[1][j])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(min(ids[0][i], ids[1][j])), b.append(max(ids[0][i], ids[1][j]))
+        return pa.table([pa.array(a, x.schema.field("id").type), pa.array(b, x.schema.field("id").type)], ["a", "b"])
+
+    keys = ["pivot", "u", "s"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` per row.
 
@@ -200,19 +288,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float
     Null, empty and blank texts have empty sets and are linked with nothing.
     Texts with fewer words than a shingle are one shingle. Rows that repeat an
     id and its text share a component; an id with several texts is one vertex
-    to which the links of each of them count. An empty table gives an empty
+    to which the links of each of them count. Rows with a null id take no part
+    and are kept, without a component. An empty table gives an empty
     result; other columns are not read.
     """
     base = materialise(signatures(docs, size, id_col, text_col), "sigs")
-    sized = base.where("n_shingles > 0")
+    sized = base.where("n_shingles > 0 and id is not null")
     folded = sized.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig")).alias("r"), F.count(F.lit(1)).alias("n"))
     folded = materialise(folded.select("fa", "fb", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig"), "n"), "reps")
     grouped = links(docs, folded.select(F.col("rep").alias("id"), "sig"), size, threshold, id_col, text_col)
     of_set = folded.join(grouped.withColumnRenamed("vertex", "rep"), "rep", "left").where((F.col("n") > 1) | F.col("component").isNotNull())
     of_set = of_set.select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", "n_shingles", "fa", "fb").join(of_set, ["fa", "fb"], "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
