@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Texts of one step in a worker: memory stays bounded whatever the batch holds.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def text_steps(batch: pa.RecordBatch, column: int = 1, limit: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

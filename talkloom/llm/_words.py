@@ -44,7 +44,7 @@ class _Tables:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if cls.size < n:
-            cls.size = max(n, 1 << 21)
+            cls.size = max(n, 1 << 20)
             cls.up, cls.down = _powers(_BASE, cls.size), _powers(pow(_BASE, -1, 1 << 64), cls.size)
         return cls.up, cls.down
 

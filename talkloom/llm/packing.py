@@ -34,7 +34,7 @@ WINDOW_PIECES = 16384
 END_ID = 0
 
 #: Chunks whose ids a worker may keep.
-KNOWN_LIMIT = 400_000
+KNOWN_LIMIT = 200_000
 
 
 class JsonTokenizer:
@@ -106,6 +106,10 @@ class JsonTokenizer:
         self.known[part] = ids
         return ids
 
+    def release(self) -> None:
+        """Drop the older generation: workers outlive their tasks, and other stages need the memory."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text, without added special tokens."""
         out = []
@@ -195,6 +199,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                             payload.append(some)
                 arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(payload, pa.binary())] if with_ids else [])], names)
+        tok.release()
 
     chosen = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kinds = [chosen.schema[0].dataType.simpleString(), "int", "bigint", "bigint", "bigint", "binary"]

@@ -142,6 +142,7 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         if filled:
             close()
             yield rows()
+        tok.release()
 
     names = ["ids", "starts", "lengths", "offsets", "crcs"]
     kinds = [f"array<{t}>" for t in (id_type, "bigint", "int", "int", "bigint")]
