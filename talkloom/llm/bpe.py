@@ -24,6 +24,8 @@ from talkloom.llm._arrow import binary_array, text_steps
 #: Chunks whose ids a worker may keep, and words of one recursive query.
 KNOWN_LIMIT = 200_000
 WORDS_PER_QUERY = 40_000
+#: Characters of a step; a recursive query costs the same whether its words are few or many.
+STEP_CHARS = 2_000_000
 #: Words of more bytes take the query that contracts many pairs a round.
 LONG_WORD = 64
 #: Tokens that one decoding query reads at most, but for one longer document.
@@ -136,11 +138,12 @@ class Codec:
             self.known[c] = self.older[c]
             new.discard(c)
         pieces = {c: self.find(c) for c in new}
-        # a piece that is a chunk by itself may be known
-        ids = {p: self.known.get(p) for ps in pieces.values() for p in ps}
+        # pieces are kept too: a word comes with and without a comma after it
+        ids = {p: self.known.get(p) or self.older.get(p) for ps in pieces.values() for p in ps}
         words = {p.encode(): p for p, known in ids.items() if known is None}
         ids.update((words[w], i) for w, i in self.encode_words(list(words)).items())
-        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in pieces.items())
+        self.known.update(ids)
+        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in pieces.items() if len(ps) > 1)
         known = self.known
         return [b"".join([known[c] for c in cs]) for cs in chunks]
 
@@ -188,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for part, texts in text_steps(batch):
+            for part, texts in text_steps(batch, limit=STEP_CHARS):
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_array(c.encode(texts))], [id_col, "ids"])
 
     chosen = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
