@@ -6,10 +6,13 @@ trees: at a node some coordinates of the signature are chosen by the node
 itself, 1 / threshold of them on average, and the document goes to the child
 named by the coordinate and its minwise token there. Pairs of the threshold's
 similarity meet in a leaf of each tree with a fair chance, and the number of
-trees brings the chance of meeting nowhere down to about 1e-5.
+trees brings the chance of meeting nowhere below ``MISS``.
 
-Nodes with more than ``LEAF`` documents branch on, unless they kept most of
-their parent's documents: what a few more levels don't part is alike. Small
+Nodes with more than ``WIDE`` documents branch on, unless they kept most of
+their parent's documents: what a few more levels don't part is alike. As a
+pair at the threshold shares one child a node on average, and so dies out with
+depth, each of these nodes branches several times: as often as keeps the
+chance below ``MISS`` at the deepest level (:func:`plan`). Small
 and final nodes are compared exhaustively: every member with the node's smallest id first, then, after
 these links are known, the members they leave apart with all members of the
 node. Pairs already connected need no look: they cannot change a component.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,13 @@ from talkloom.session import materialise
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 SIGNATURE = 64
+#: Trees at least, and the chance, at most, that a pair at the threshold meets in no final node.
 TREES = 14
+MISS = 1e-5
 #: Levels a round of branching goes down, rounds at most, and documents of a node compared exhaustively.
 LEVELS = 3
 ROUNDS = 5
-LEAF = 32
+WIDE = 4096
 #: A node that kept this share of what documents just at the threshold would keep is final.
 DENSE = 0.8
 #: Members of a block when nodes are compared exhaustively.
@@ -91,10 +97,45 @@ def full_sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, f"id {chosen.schema[0].dataType.simpleString()}, elements binary")
 
 
+def missed(threshold: float, trees: int, repeats: int, rounds: int) -> float:
+    """The chance that two documents of the threshold's similarity share no node after the first round and ``rounds`` more.
+
+    Exact, given the coordinates their signatures agree in: each shared node
+    has one child or two of them, independently of other nodes.
+    """
+    extra, total = min(1.0, 1 / threshold - 1), 0.0
+    for agree in range(SIGNATURE + 1):
+        one = agree / SIGNATURE
+        both = one * (agree - 1) / (SIGNATURE - 1)
+        q = 0.0  # of a node: no shared node at the last level below it
+        for left in range(rounds, -1, -1):
+            for _ in range(LEVELS):
+                q = (1 - extra) * (1 - one + one * q) + extra * (both * q * q + 2 * (one - both) * q + 1 - 2 * one + both)
+            q **= repeats if left else 1
+        total += comb(SIGNATURE, agree) * threshold**agree * (1 - threshold) ** (SIGNATURE - agree) * q**trees
+    return total
+
+
+def plan(threshold: float) -> tuple[int, int]:
+    """Trees, and how often a node branches in rounds after the first, so that :func:`missed` is at most ``MISS`` at every depth."""
+    trees = TREES
+    while missed(threshold, trees, 1, 0) > MISS / 2:
+        trees += 1
+    repeats = 1
+    while missed(threshold, trees, repeats, ROUNDS) > MISS:
+        repeats += 1
+    return trees, repeats
+
+
+def _starts(nodes: np.ndarray, repeats: int) -> list[np.ndarray]:
+    """The nodes under another name for each time they branch."""
+    return [mix(nodes ^ salt) for salt in mix(np.arange(1, repeats + 1, dtype=np.uint64))]
+
+
 def _descend(nodes: np.ndarray, sigs: np.ndarray, threshold: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Children, ``levels`` down, of rows (node, signature): their keys and the row each comes from."""
     row = np.arange(len(nodes))
-    extra = _U(int((1 / threshold - 1) * 2**32))
+    extra = _U(int(min(1.0, 1 / threshold - 1) * 2**32))
     for _ in range(levels):
         drawn = mix(nodes ^ _U(0x8EBC6AF09C88C6E3))
         first = (drawn % _U(SIGNATURE)).astype(np.int64)
@@ -106,8 +147,8 @@ def _descend(nodes: np.ndarray, sigs: np.ndarray, threshold: float, levels: int)
     return nodes, row
 
 
-def _branch(rows: DataFrame, threshold: float, trees: int | None) -> DataFrame:
-    """``node, id, parent_n`` of the children of each row's node; without a node column, of the trees' roots."""
+def _branch(rows: DataFrame, threshold: float, trees: int | None, repeats: int = 1) -> DataFrame:
+    """``node, id, parent_n`` of the children of each row's node, which branches ``repeats`` times; with ``trees``, of their roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +156,7 @@ def _branch(rows: DataFrame, threshold: float, trees: int | None) -> DataFrame:
                 continue
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, SIGNATURE)
             ids = batch.column(0)
-            starts = [mix(np.full(batch.num_rows, t + 1, _U)) for t in range(trees)] if trees else [batch.column(2).to_numpy().view(np.uint64)]
+            starts = [mix(np.full(batch.num_rows, t + 1, _U)) for t in range(trees)] if trees else _starts(batch.column(2).to_numpy().view(np.uint64), repeats)
             parents = pa.array(np.full(batch.num_rows, 1 << 62)) if trees else batch.column(3)
             for nodes in starts:
                 keys, row = _descend(nodes, sigs, threshold, LEVELS)
@@ -126,22 +167,23 @@ def _branch(rows: DataFrame, threshold: float, trees: int | None) -> DataFrame:
 
 def tree_nodes(reps: DataFrame, threshold: float) -> DataFrame:
     """``node, id, pivot``: members of all final nodes of two documents or more, with the node's smallest id."""
+    trees, repeats = plan(threshold)
 
     def shared(rows: DataFrame) -> DataFrame:
         # a document may reach a node twice; sizes only steer the branching
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.max("id").alias("_most"), F.max("parent_n").alias("parent_n"))
         sizes = sizes.where("pivot < _most").drop("_most")
-        final = (F.col("n") <= LEAF) | (F.col("n") >= F.col("parent_n") * (DENSE * threshold**LEVELS))
+        final = (F.col("n") <= WIDE) | (F.col("n") >= F.col("parent_n") * (DENSE * threshold**LEVELS))
         return materialise(rows.drop("parent_n").join(sizes, "node").withColumn("final", final), "nodes")
 
-    found, level = [], shared(_branch(reps.select("id", "sig"), threshold, TREES))
+    found, level = [], shared(_branch(reps.select("id", "sig"), threshold, trees))
     for _ in range(ROUNDS):
         found.append(level.where("final"))
         large = level.where("not final").select("node", "id", "n")
         if large.isEmpty():
             large = None
             break
-        level = shared(_branch(large.join(reps, "id").select("id", "sig", "node", F.col("n").alias("parent_n")), threshold, None))
+        level = shared(_branch(large.join(reps, "id").select("id", "sig", "node", F.col("n").alias("parent_n")), threshold, None, repeats))
     if large is not None:
         found.append(level)
     out = found[0]

@@ -119,6 +119,52 @@ def test_near_duplicates_are_brute_force(spark, size, threshold):
     assert got == brute_components(rows, size, round(100 * threshold))
 
 
+#: Seeds whose pairs share no node of 14 trees after nine levels of one branch each.
+PARTED = [764, 1152, 1302, 1863, 2151, 2416, 2903, 3263, 3409, 3907, 4257, 4298, 4827, 4887, 5367, 5536, 5969]
+
+
+def loose_cluster(n, seeds):
+    """Pairs of word sets of a similarity just over 0.85, by seed, with the smallest ids, and ``n`` sets alike to 0.7."""
+    core = [f"w{i}" for i in range(300)]
+
+    def member(r):
+        return [w for w in core if r.random() < 0.82]
+
+    rows = []
+    for seed in seeds:
+        r = random.Random(seed)
+        text = member(r)
+        swap = int(len(text) * 0.15 / 1.85)
+        rows += [text, r.sample(text, len(text) - swap) + [f"x{seed}y{k}" for k in range(swap)]]
+    r = random.Random(n)
+    return [(i, " ".join(t)) for i, t in enumerate(rows + [member(r) for _ in range(n)])]
+
+
+@pytest.mark.parametrize("n, wide", [(4000, None), (500, 64)])
+def test_planted_pairs_in_a_loose_cluster(spark, monkeypatch, n, wide):
+    if wide:
+        monkeypatch.setattr(neardup, "WIDE", wide)
+    docs = spark.createDataFrame(loose_cluster(n, PARTED), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 1, 0.85).collect()}
+    assert len(got) == n + 2 * len(PARTED) and got == {i: i - i % 2 if i < 2 * len(PARTED) else i for i in got}
+
+
+def test_recall_holds_at_every_depth():
+    r, n = np.random.default_rng(4), 1500
+    x = r.integers(0, 2**32, (n, neardup.SIGNATURE), dtype="u4")
+    y = np.where(r.random(x.shape) < 0.85, x, ~x)
+    trees, repeats = neardup.plan(0.85)
+    assert neardup.missed(0.85, 14, 1, 5) > 0.05
+    assert max(neardup.missed(0.85, trees, repeats, k) for k in range(6)) <= neardup.MISS
+    for at in range(0, n, 100):  # two rounds of the branching itself
+        found = []
+        for sigs in (x[at : at + 100], y[at : at + 100]):
+            nodes, row = (np.concatenate(v) for v in zip(*[(neardup._descend(np.full(100, t, np.uint64), sigs, 0.85, 3)) for t in range(1, trees + 1)], strict=True))
+            deep = [neardup._descend(start, sigs[row], 0.85, 3) for start in neardup._starts(nodes, repeats)]
+            found.append({(int(k), int(row[i])) for keys, of in deep for k, i in zip(keys, of, strict=True)})
+        assert len({i for _, i in found[0] & found[1]}) == 100
+
+
 def test_near_duplicates_edges(spark, edges, empty, clashing):
     assert neardup.near_duplicates(empty).count() == 0
     rows = neardup.near_duplicates(edges).collect()
