@@ -189,3 +189,12 @@ def test_entry_and_registry():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
+
+
+def test_json_fields_reach_every_event(spark, tmp_path):
+    from talkloom.plans.registry import QUERIES
+
+    props = ['{"page": "/a"}', '{"page": 3}', '{"page": ', None, "[]", '{"x": {"page": "/b"}}', '{"page": "é"}']
+    spark.createDataFrame(list(enumerate(props)), "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.page, r.valid) for r in QUERIES["json_fields_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("/a", True), 1: ("3", True), 2: (None, False), 3: (None, False), 4: (None, True), 5: (None, True), 6: ("é", True)}
