@@ -318,3 +318,11 @@ def json_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`json_fields`, whose SQL names one event in five, over all events."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.try_parse_json("props").isNotNull().alias("valid"))
+
+
+@query("SELECT word, min(band)::INT AS band FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, (doc_id % 6) AS band FROM documents) GROUP BY 1")
+def vocab_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`vocab_bands`, whose SQL names English documents, over all documents."""
+    d = table(spark, sf_dir, "documents")
+    words = d.select((F.col("doc_id") % 6).alias("band"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.min("band").cast("int").alias("band"))

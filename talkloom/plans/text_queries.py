@@ -188,6 +188,14 @@ def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.records(spark, sf_dir, text=True).where("lang = 'en'").select("id", F.slice(T.proper_nouns(c, 4), 1, 5).alias("short_names"), F.size(T.proper_nouns(c)).alias("n_names"), T.word_count(c).alias("n_words"))
 
 
+@query("WITH " + E.RECORDS_SQL + r""" SELECT id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}') AS short_names, len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))::INT AS n_names,
+  len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::INT AS n_words FROM records""")
+def proper_nouns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`proper_nouns`, whose SQL names English documents and five names of each, over all documents and names."""
+    c = F.col("text")
+    return E.records(spark, sf_dir, text=True).select("id", T.proper_nouns(c, 4).alias("short_names"), F.size(T.proper_nouns(c)).alias("n_names"), T.word_count(c).alias("n_words"))
+
+
 # hashing
 
 

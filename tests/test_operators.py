@@ -198,3 +198,15 @@ def test_json_fields_reach_every_event(spark, tmp_path):
     spark.createDataFrame(list(enumerate(props)), "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: (r.page, r.valid) for r in QUERIES["json_fields_all"](spark, str(tmp_path)).collect()}
     assert got == {0: ("/a", True), 1: ("3", True), 2: (None, False), 3: (None, False), 4: (None, True), 5: (None, True), 6: ("é", True)}
+
+
+def test_names_and_bands_reach_every_document(spark, tmp_path):
+    from talkloom.plans.registry import QUERIES
+
+    names = [f"Name{'abcdefgh'[i] * 2}" for i in range(8)]
+    rows = [(7, ", ".join(names), "en"), (8, "Jean Valjean a vu Paris", "fr"), (9, "Anna sah Bonn", None), (10, None, "de")]
+    spark.createDataFrame([(i, t, g, "s") for i, t, g in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.short_names for r in QUERIES["proper_nouns_all"](spark, str(tmp_path)).orderBy("id").collect()]
+    assert sorted(got, key=repr) == sorted([names, ["Jean Valjean", "Paris"], ["Anna", "Bonn"], None], key=repr)
+    bands = {r.word: r.band for r in QUERIES["vocab_bands_all"](spark, str(tmp_path)).collect()}
+    assert bands["nameaa"] == 1 and bands["vu"] == 2 and bands["bonn"] == 3 and len(bands) == 8 + 5 + 3
