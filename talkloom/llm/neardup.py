@@ -346,7 +346,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _once(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of those that share an id and a set of shingles; null is an id here, but its empty sets all stay."""
+    repeated = docs.groupBy(F.col(f"`{id_col}`").alias("_repeated_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialise(repeated.select("_repeated_id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_repeated_id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    prints = signatures(docs.join(repeated, same, "left_semi").select(row, F.col(f"`{text_col}`").alias("_text")), size, "_row", "_text")
+    prints = materialise(prints.select(F.col("id").alias("_row"), "fa", "fb"), "prints")
+    alone = F.col("_row")[id_col].isNull() & F.col("fa").isNull()
+    first = F.min_by("_row", F.coalesce(F.col("_row")[text_col], F.lit(""))).alias("_row")
+    folded = prints.where(~alone).groupBy(F.col("_row")[id_col].alias("_id"), "fa", "fb").agg(first).select("_row")
+    rows = folded.unionByName(prints.where(alone).select("_row")).select([F.col("_row")[c].alias(c) for c in docs.columns])
+    return docs.join(repeated, same, "left_anti").unionByName(rows)
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, one of each group, with their columns."""
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their columns.
+
+    That is one of each group: rows that repeat an id and its set of shingles
+    stay once, and so do rows with a null id that share a set.
+    """
     dropped = near_duplicates(docs, size, threshold, id_col, text_col).where(~F.col("kept")).select(id_col)
-    return docs.join(dropped.distinct(), id_col, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return _once(docs, size, id_col, text_col).join(dropped.distinct(), id_col, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -173,6 +173,15 @@ def test_near_duplicates_edges(spark, edges, empty, clashing):
     assert kept.columns == clashing.columns and kept.count() == 2
 
 
+def test_repeated_rows_stay_once(spark):
+    a, b = prose(11, 80), prose(12, 80)
+    rows = [(1, a), (1, a), (1, b), (2, a.upper()), (3, prose(13, 80)), (None, b), (None, b), (None, a), (4, ""), (4, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[i] for i in (0, 2, 4, 5, 7, 8, 10, 11)], key=repr)
+
+
 def test_set_hashes_follow_the_definition():
     import pyarrow as pa
 
