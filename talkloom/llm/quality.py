@@ -52,9 +52,14 @@ def ngram_buckets(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate([mix(t.hashes), two]) % _U(buckets), np.concatenate([doc, doc[pair]])
 
 
+def target_rows(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """The ids labelled good."""
+    return labels.where(F.col(quality_col) == 1).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+
+
 def target_sample(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", rows: int = TARGET_ROWS) -> DataFrame:
     """At most ``rows`` ids labelled good, those of smallest hash."""
-    return labels.where(F.col(quality_col) == 1).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return target_rows(labels, id_col, quality_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -138,13 +143,14 @@ def kth_largest(keys: DataFrame, k: int, column: str = "sample_key") -> int:
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, recall: float, k: int | None) -> DataFrame:
     """:func:`scored` with ``kept``."""
     sample = materialise(target_sample(labels, id_col), "target")
-    # the model sees one half of the sample; the other half, new to it as any document is, sets the size
+    # the model sees one half of the sample; all other good rows, new to it as any document is, set the size
     fitted = F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(2)) == 0
     ratios = log_ratios(docs, sample.where(fitted), id_col, text_col)
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     keys = materialise(scored(narrow, ratios, id_col, text_col).select(F.col("_row")[id_col].alias(id_col), "sample_key"), "keys")
     if k is None:
-        of_target = keys.join(F.broadcast(sample.where(~fitted)), id_col, "left_semi")
+        held = target_rows(labels, id_col).join(F.broadcast(sample.where(fitted)), id_col, "left_anti")
+        of_target = keys.join(held, id_col, "left_semi")
         n_target = of_target.count()
         if not n_target:
             cut = None

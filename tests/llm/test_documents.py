@@ -1,5 +1,6 @@
 """Rules, line dedup, near-duplicates, quality, toxicity and the pipeline against brute force."""
 
+import math
 import random
 import re
 import zlib
@@ -213,6 +214,19 @@ def test_quality(spark, edges, empty, clashing):
     assert quality.reject_documents(clashing, none).columns == clashing.columns
 
 
+def test_all_held_out_good_rows_set_the_size(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    small = quality.target_sample(labels, rows=24).collect()
+    monkeypatch.setattr(quality, "MARGIN", 0.0)  # the median itself
+    monkeypatch.setattr(quality, "target_sample", lambda labels, id_col: spark.createDataFrame(small, "doc_id long"))
+    fitted = {r.doc_id for r in spark.createDataFrame(small, "doc_id long").where("pmod(xxhash64(doc_id, 'fit'), 2) = 0").collect()}
+    rows = quality.resample(docs, labels).collect()
+    held = {r.doc_id for r in labels.where("quality = 1").collect()} - fitted
+    keys = sorted((quality._double(r.sample_key) for r in rows if r.doc_id in held), reverse=True)
+    low, middle = (keys[max(1, math.ceil(share * len(keys))) - 1] for share in (quality.TARGET_RECALL, 0.5))
+    assert len(held) > 100 and {r.doc_id for r in rows if r.kept} == {r.doc_id for r in rows if quality._double(r.sample_key) >= middle - quality.MARGIN * (middle - low)}
+
+
 def test_kth_largest(spark):
     r = random.Random(1)
     values = [r.randrange(-(2**63), 2**63) for _ in range(300)] + [5] * 20 + [-1, 0, 2**63 - 1, -(2**63)]
