@@ -10,7 +10,6 @@ positions with the vocabulary and aggregates the bytes in order.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,18 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import binary_array, text_steps
+from talkloom.llm._split import PATTERN, Known, chunk_text, chunks, parts
 
-#: Chunks whose ids a worker may keep, and words of one recursive query.
-KNOWN_LIMIT = 200_000
-WORDS_PER_QUERY = 40_000
+#: Bytes of the words of one recursive query; DuckDB's memory in a worker.
+QUERY_BYTES = 1 << 19
+MEMORY = "320MB"
+#: Megabytes of a generation of known chunks, and of known pieces.
+CHUNK_MB, PIECE_MB = 96, 32
 #: Characters of a step; a recursive query costs the same whether its words are few or many.
 STEP_CHARS = 2_000_000
-#: Words of more bytes take the query that contracts many pairs a round.
+#: Words of more bytes are encoded in blocks of ``BLOCK`` bytes, whose seams are then mended; a mended
+#: stretch reaches over ``SEAM`` tokens on each side at first.
 LONG_WORD = 64
-#: Tokens that one decoding query reads at most, but for one longer document.
-DECODE_TOKENS = 1_000_000
-
-_EDGE = re.compile(r"\A\s|\s\Z|\s\s").search
+BLOCK = 32
+SEAM = 8
+#: Tokens that one decoding query reads at most; longer documents are decoded in parts.
+DECODE_TOKENS = 250_000
 
 # One contraction per word and round. ``best`` holds rank and position in one number.
 _SHORT = """
@@ -88,18 +91,19 @@ class Codec:
         import duckdb
         import regex
 
+        if pattern != PATTERN:
+            raise ValueError("texts can't be cut into chunks safely for another split pattern than the byte-level one")
         self.ranks = ranks = read_ranks(path)
+        self.token = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        # two generations of known chunks: what is still in use outlives the older one
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.chunks, self.pieces = Known(CHUNK_MB), Known(PIECE_MB)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.con.register("found", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "m": pa.array(merged, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT l * 65536 + r AS k, m FROM found")
         # merged tokens that are part of a pair of lower rank than their own
@@ -118,61 +122,123 @@ class Codec:
         self.con.unregister("words")
         return out
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids (little-endian unsigned 32-bit) of distinct words; a word that is a token is that token."""
-        out = {w: r.to_bytes(4, "little") for w in words if (r := self.ranks.get(w)) is not None}
+    def _direct(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words by the recursive query; a word that is a token is that token."""
+        out = {w: [r] for w in words if (r := self.ranks.get(w)) is not None}
         rest = [w for w in words if w not in out and w]
         for query, part in ((_SHORT, [w for w in rest if len(w) <= LONG_WORD]), (_LONG, [w for w in rest if len(w) > LONG_WORD])):
-            for i in range(0, len(part), WORDS_PER_QUERY):
-                some = part[i : i + WORDS_PER_QUERY]
-                out.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(some, self._contract(some, query), strict=True))
+            start = size = 0
+            for i, w in enumerate([*part, None]):
+                if i > start and (w is None or size + len(w) > QUERY_BYTES):
+                    out.update(zip(part[start:i], self._contract(part[start:i], query), strict=True))
+                    start, size = i, 0
+                size += len(w or b"")
         return out
 
+    def _in_blocks(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of long words, in time proportional to their length.
+
+        A sequence of tokens is a word's encoding if each two neighbours are
+        the encoding of their own bytes. That holds within blocks that are
+        encoded for themselves; where it fails at a seam, the tokens around it
+        are encoded anew, over a stretch that doubles until it holds.
+        """
+        cut = [[w[i : i + BLOCK] for i in range(0, len(w), BLOCK)] for w in words]
+        known = self._direct(list({b for bs in cut for b in bs}))
+        state = []  # per word: its tokens, and the seams to look at
+        for blocks in cut:
+            ids = [known[b] for b in blocks]
+            state.append(([t for i in ids for t in i], np.cumsum([len(i) for i in ids])[:-1].tolist()))
+        reach, open_ = SEAM, list(range(len(words)))
+        while open_:
+            text = lambda toks: b"".join([self.token[t] for t in toks])
+            pairs = {(toks[s - 1], toks[s]) for w in open_ for toks, seams in [state[w]] for s in seams}
+            joined = self._direct(list({text(p) for p in pairs}))
+            wrong = {p for p in pairs if joined[text(p)] != list(p)}
+            spans = {}
+            for w in open_:
+                toks, seams = state[w]
+                found: list[list[int]] = []
+                for s in seams:
+                    if (toks[s - 1], toks[s]) in wrong:
+                        low, high = max(0, s - reach), min(len(toks), s + reach)
+                        if found and low <= found[-1][1]:
+                            found[-1][1] = high
+                        else:
+                            found.append([low, high])
+                if found:
+                    spans[w] = [(low, high, text(toks[low:high])) for low, high in found]
+            mended = self._direct(list({x for found in spans.values() for _, _, x in found}))
+            for w, found in spans.items():
+                toks, out, seams, at = state[w][0], [], [], 0
+                for low, high, x in found:
+                    out += toks[at:low]
+                    edges = [len(out), len(out) + len(mended[x])]
+                    out += mended[x]
+                    seams += [e for e, inside in zip(edges, (low > 0, high < len(toks)), strict=True) if inside]
+                    at = high
+                state[w] = out + toks[at:], seams
+            open_, reach = list(spans), 2 * reach
+        return {w: toks for w, (toks, _) in zip(words, state, strict=True)}
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (little-endian unsigned 32-bit) of distinct words."""
+        out = self._direct([w for w in words if len(w) <= LONG_WORD])
+        out.update(self._in_blocks([w for w in words if len(w) > LONG_WORD]))
+        return {w: np.array(ids, "<u4").tobytes() for w, ids in out.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each whole text's ids. Texts are first cut at single spaces between other characters, where the pattern always cuts."""
-        chunks = [self._chunks(t) for t in texts]
-        if len(self.known) > KNOWN_LIMIT:
-            self.older, self.known = self.known, {}
-        new = {c for cs in chunks for c in cs}.difference(self.known)
-        for c in [c for c in new if c in self.older]:
-            self.known[c] = self.older[c]
-            new.discard(c)
-        pieces = {c: self.find(c) for c in new}
-        # pieces are kept too: a word comes with and without a comma after it
-        ids = {p: self.known.get(p) or self.older.get(p) for ps in pieces.values() for p in ps}
-        words = {p.encode(): p for p, known in ids.items() if known is None}
-        ids.update((words[w], i) for w, i in self.encode_words(list(words)).items())
-        self.known.update(ids)
-        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in pieces.items() if len(ps) > 1)
-        known = self.known
-        return [b"".join([known[c] for c in cs]) for cs in chunks]
-
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        if not text:
-            return []
-        # white space at an edge or next to other white space: the pattern looks beyond the space there
-        if _EDGE(text):
-            return [text]
-        parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        """Each whole text's ids."""
+        for cache in (self.chunks, self.pieces):
+            cache.turn()
+        # per text and part: the pieces up to the first chunk, and the chunks' names
+        cut, names = [], set()
+        for text in texts:
+            found = []
+            for part in parts(text) if text else ():
+                if (some := chunks(part)) is None:
+                    found.append((self.find(part), ()))
+                else:
+                    first, *some = some
+                    found.append((self.find(first), some))
+                    names.update(some)
+            cut.append(found)
+        split = {c: self.find(chunk_text(c)) for c in self.chunks.unknown(names)}
+        every = {p for ps in split.values() for p in ps}
+        every.update(p for found in cut for ps, _ in found for p in ps)
+        words = {p.encode(): p for p in self.pieces.unknown(every)}
+        # the step's own ids; the short keys' are kept beyond it
+        piece, chunk = {words[w]: i for w, i in self.encode_words(list(words)).items()}, {}
+        self.pieces.find = piece.__getitem__
+        for c, ps in split.items():
+            chunk[c] = b"".join([piece.get(p) or self.pieces[p] for p in ps])
+        self.chunks.find = chunk.__getitem__
+        of_piece, of_chunk = self.pieces.__getitem__, self.chunks.__getitem__
+        out = [b"".join([x for ps, some in found for x in (*map(of_piece, ps), *map(of_chunk, some))]) for found in cut]
+        for known, new in ((self.pieces, piece), (self.chunks, chunk)):
+            for key, i in new.items():
+                known.keep(key, i)
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each document's ids, aggregated in their order."""
-        out, start = [b""] * len(ids), 0
-        while start < len(ids):
+        width = 4 * DECODE_TOKENS
+        parts = [(d, x[i : i + width]) for d, x in enumerate(ids) for i in range(0, len(x), width)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        start = 0
+        while start < len(parts):
             end, size = start, 0
-            while end < len(ids) and (end == start or size + len(ids[end]) // 4 <= DECODE_TOKENS):
-                size += len(ids[end]) // 4
+            while end < len(parts) and (end == start or size + len(parts[end][1]) <= width):
+                size += len(parts[end][1])
                 end += 1
-            flat = np.frombuffer(b"".join(ids[start:end]), "<u4").astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids[start:end]])]).astype(np.int32)
+            flat = np.frombuffer(b"".join([x for _, x in parts[start:end]]), "<u4").astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for _, x in parts[start:end]])]).astype(np.int32)
             self.con.register("docs", pa.table({"d": pa.array(np.arange(start, end, dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}))
-            for d, x in self.con.execute(_DECODE).fetchall():
-                out[d] = bytes.fromhex(x)
+            for k, x in sorted(self.con.execute(_DECODE).fetchall()):
+                out[parts[k][0]].append(bytes.fromhex(x))
             self.con.unregister("docs")
             start = end
-        return out
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=2)
@@ -185,7 +251,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Every match of the pattern is encoded by itself, special strings as
     ordinary text. Null and empty texts have empty ids. Repeated ids stay rows
-    of their own; an empty table gives an empty result.
+    of their own; an empty table gives an empty result. Words without end cost
+    time in proportion to their length. A worker holds a step's texts (one
+    text at least), two generations of known chunks and pieces (``Known``) and
+    DuckDB's ``MEMORY``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

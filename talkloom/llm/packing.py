@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import text_steps
+from talkloom.llm._split import PATTERN, Known, chunk_text, chunks, parts
 
 #: Production parameters. Pieces of a window are placed from the longest on.
 SEQUENCE_TOKENS = 2048
@@ -33,22 +34,20 @@ OPEN_BINS = 8192
 WINDOW_PIECES = 16384
 END_ID = 0
 
-#: Chunks whose ids a worker may keep.
-KNOWN_LIMIT = 200_000
+#: Megabytes of a generation of known chunks; a quarter as much for pieces.
+KNOWN_MB = 80
 
 
 class JsonTokenizer:
-    """Ids of whole texts as ``tokenizers`` gives them, with a bounded dictionary of known chunks.
+    """Ids of whole texts as ``tokenizers`` gives them, with known chunks and pieces, bounded in bytes.
 
-    Texts are cut at single spaces between other characters, where the
-    byte-level split always cuts; a chunk's ids don't depend on its
-    surroundings. Texts with other white space at a cut, and texts that hold a
-    special token's string, go through the library whole.
+    Texts are cut into chunks whose ids don't depend on their surroundings
+    (:mod:`talkloom.llm._split`), texts with long runs of white space into
+    pieces. Texts that hold a special token's string go through the library
+    whole.
     """
 
     def __init__(self, path: str):
-        import re
-
         import regex
         from tokenizers import Tokenizer
 
@@ -63,71 +62,61 @@ class JsonTokenizer:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.tokenize = self.whole.model.tokenize
-        # the byte-level split of this pre-tokeniser (fixed value)
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.find = regex.compile(PATTERN).findall
         # bytes that print stand for themselves, the others for the code points from 256 on, in order
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
         self.space = chr(self.letters[32])
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.edge = re.compile(r"\A\s|\s\Z|\s\s").search
-        # Ids of known chunks (less the space before them) and pieces, in two
-        # generations: what is still in use outlives the older one.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Known(KNOWN_MB, self._chunk), Known(KNOWN_MB // 4, self._piece)
+
+    def vocabulary_size(self) -> int:
+        return self.whole.get_vocab_size()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.pieces.keep(piece, ids)
+        return ids
 
     def _ids(self, pieces: list[str]) -> bytes:
-        known, parts = self.pieces, []
-        for piece in pieces:
-            if (ids := known.get(piece)) is None:
-                ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-                if len(piece) < 6:  # endings and punctuation; whole words are known as chunks
-                    known[piece] = ids
-            parts.append(ids)
-        return parts[0] if len(parts) == 1 else b"".join(parts)
-
-    def _miss(self, part: str) -> bytes:
-        """Ids of a space and ``part``, which the younger generation lacks."""
-        if (ids := self.older.get(part)) is not None:
-            pass
-        elif part.isascii() and part.isalpha():  # one piece, no need to split it
-            ids = array("I", [t.id for t in self.tokenize(self.space + part)]).tobytes()
-        elif part[-1] in ".," and (word := part[:-1]).isascii() and word.isalpha():
-            ids = (self.known.get(word) or self._miss(word)) + self._ids([part[-1]])
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _chunk(self, name: str) -> bytes:
+        """Ids of a chunk by its name."""
+        if name.isascii() and name.isalpha():  # one piece, no need to split it
+            ids = array("I", [t.id for t in self.tokenize(self.space + name)]).tobytes()
+        elif name[-1:] in (".", ",") and (word := name[:-1]).isascii() and word.isalpha():
+            ids = self.known[word] + self.pieces[name[-1]]
         else:
-            pieces = self.find(" " + part)
-            word = pieces[0][1:]
-            if len(pieces) > 1 and word and pieces[0][0] == " " and word != part:
-                ids = (self.known.get(word) or self._miss(word)) + self._ids(pieces[1:])
-            else:
-                ids = self._ids(pieces)
-        self.known[part] = ids
+            ids = self._ids(self.find(chunk_text(name)))
+        self.known.keep(name, ids)
         return ids
 
     def release(self) -> None:
         """Drop the older generation: workers outlive their tasks, and other stages need the memory."""
-        self.older = {}
+        self.known.older, self.pieces.older = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text, without added special tokens."""
         out = []
         for text in texts:
-            if len(self.known) > KNOWN_LIMIT:
-                self.older, self.known = self.known, {}
-            if len(self.pieces) > KNOWN_LIMIT:
-                self.pieces = {}
             if not text:
                 out.append(b"")
-            elif self.edge(text) or any(s in text for s in self.special):
+            elif any(s in text for s in self.special):
                 out.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                known, miss = self.known.get, self._miss
-                first, *rest = text.split(" ")
-                out.append(b"".join([self._ids(self.find(first)), *[known(x) or miss(x) for x in rest]]))
+                out.append(b"".join([ids for part in parts(text) for ids in self._part(part)]))
         return out
 
+    def _part(self, text: str) -> list[bytes]:
+        names = chunks(text)
+        self.known.turn(), self.pieces.turn()
+        if names is None:
+            return [self._ids(self.find(text))]
+        first, *names = names
+        return [self._ids(self.find(first)), *map(self.known.__getitem__, names)]
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> JsonTokenizer:

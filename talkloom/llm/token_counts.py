@@ -6,7 +6,9 @@ documents' pre-token frequencies, and sums. The ids of a document never exist.
 
 The join is local to the scan's partition: a join over the whole corpus would
 shuffle every (document, pre-token) pair, which is more than the corpus itself.
-A bounded dictionary carries counts from step to step in a worker.
+The counts of short pre-tokens are carried from step to step in a worker, in
+two generations bounded in bytes; long ones (texts without spaces) are counted
+anew each time, which costs time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -15,22 +17,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import text_steps
+from talkloom.llm._split import Known
 
-#: Entries that a worker's dictionary of known counts may hold before it starts anew.
-KNOWN_LIMIT = 400_000
+#: Megabytes of a generation of known counts.
+KNOWN_MB = 48
 
 _RUNS = re.compile(r" +[^ ]+| +$")
 
 
 @lru_cache(maxsize=2)
 def _counter(model_path: str):
-    """The processor, and the dictionary of known counts. Raises if a piece could cross a pre-token's edge."""
+    """The processor, the known counts, and that of a lone space at a text's end. Raises if a piece could cross a pre-token's edge."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -39,8 +43,8 @@ def _counter(model_path: str):
             raise ValueError("a piece of this model spans words; its counts don't add up over pre-tokens")
     if sp.decode(sp.encode("a  Ａ　ﬁ")) != "a  Ａ　ﬁ":
         raise ValueError("this model normalises texts; its counts don't add up over pre-tokens")
-    # the lone space at a text's end: alone it would be dropped as empty input
-    return sp, {"": len(sp.encode("a ")) - len(sp.encode("a"))}
+    # the lone space would be dropped as empty input if it came alone
+    return sp, Known(KNOWN_MB), len(sp.encode("a ")) - len(sp.encode("a"))
 
 
 def pretokens(text: str) -> list[str]:
@@ -53,19 +57,20 @@ def pretokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-def count_step(texts: list[str], model_path: str, known_limit: int = KNOWN_LIMIT) -> list[int]:
-    sp, known = _counter(model_path)
+def count_step(texts: list[str], model_path: str) -> list[int]:
+    sp, known, lone = _counter(model_path)
+    known.turn()
     frequencies = [Counter(pretokens(t)) for t in texts]
-    new = list({p for f in frequencies for p in f}.difference(known))
-    if len(known) + len(new) > known_limit:
-        lone = known[""]
-        known.clear()
-        known[""] = lone
-        new = list({p for f in frequencies for p in f}.difference(known))
+    distinct = {p for f in frequencies for p in f}
+    counts = {p: n for p in distinct if (n := known.get(p) or known.recall(p)) is not None}
+    counts[""] = lone
+    new = list(distinct.difference(counts))
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
-        known.update(zip(part, map(len, sp.encode(part, num_threads=1)), strict=True))
-    return [sum(n * known[p] for p, n in f.items()) for f in frequencies]
+        for p, n in zip(part, map(len, sp.encode(part, num_threads=1)), strict=True):
+            counts[p] = n
+            known.keep(p, n)
+    return [sum(map(mul, map(counts.__getitem__, f), f.values())) for f in frequencies]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 """Tokenisation, packing and shards against the libraries themselves."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -9,7 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talkloom.llm import bpe, packing, shards, token_counts
+from talkloom.llm import _split, bpe, packing, shards, token_counts
+from tests.llm.conftest import prose
 
 P = pytest.importorskip("public_tokenizers")
 RANKS, JSON, PIECES = (P.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -64,9 +67,70 @@ def test_counts_are_the_library(texts):
     assert token_counts.count_step(texts, PIECES) == [len(sp.encode(t)) for t in texts]
 
 
-def test_counts_forget_but_stay_right():
-    texts = ["a b c d e", "b c d", "f g h"]
-    assert token_counts.count_step(texts, PIECES, known_limit=3) == token_counts.count_step(texts, PIECES)
+def test_counts_forget_but_stay_right(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    known = token_counts._counter(PIECES)[1]
+    monkeypatch.setattr(known, "limit", 2000)
+    for seed in range(5):
+        texts = [prose(seed, 60), "a b c d e", prose(seed + 1, 60)]
+        assert token_counts.count_step(texts, PIECES) == [len(sp.encode(t)) for t in texts]
+        assert known.used <= 2000 + 60 * 3 * 260
+
+
+def blank_lines(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return "".join(r.choice(["  ", " ", "\n", "\n\n", "\r\n", "\n    ", "\t", ".", ",", "the", "Word", "it's", "12", "你好", "\u3000", "\x1c", " \n", "▁"]) for _ in range(n))
+
+
+def test_white_space_runs_are_the_library(tiktoken_encoding):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole, sp = Tokenizer.from_file(JSON), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [blank_lines(s, 1 + s % 90) for s in range(1500)]
+    for _ in range(2):  # the second time from what is known
+        assert [ids_of(x) for x in bpe.codec(RANKS, P.PATTERN).encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+        assert [ids_of(x) for x in packing.tokenizer(JSON).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert token_counts.count_step(texts, PIECES) == [len(sp.encode(t)) for t in texts]
+
+
+def test_long_texts_are_cut_up(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(_split, "PART_CHARS", 50)
+    texts = [blank_lines(s, 400) for s in range(40)] + [prose(9, 500)]
+    assert [ids_of(x) for x in bpe.codec(RANKS, P.PATTERN).encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    whole = packing.tokenizer(JSON).whole
+    assert [ids_of(x) for x in packing.tokenizer(JSON).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_without_end(tiktoken_encoding):
+    """A megabyte without a space takes seconds, gives the library's ids, and is not kept."""
+    r = random.Random(1)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    han = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60_000))
+    words = [letters, han, "a" * 100_000, "ab" * 60_000, "thethethe" * 9_000, "xyzzy" * 7_001]
+    c, began = bpe.codec(RANKS, P.PATTERN), time.perf_counter()
+    ids = c.encode(words)
+    assert time.perf_counter() - began < 30
+    assert [ids_of(x) for x in ids] == [tiktoken_encoding.encode_ordinary(w) for w in words]
+    assert c.decode(ids) == [w.encode() for w in words]
+    t = packing.tokenizer(JSON)
+    assert ids_of(t.encode([han])[0]) == t.whole.encode(han, add_special_tokens=False).ids
+    known = token_counts._counter(PIECES)[1]
+    token_counts.count_step(words, PIECES)
+    assert all(len(key) <= _split.Known.KEY_CHARS for cache in (c.chunks, c.pieces, t.known, t.pieces, known) for key in cache)
+
+
+def test_known_values_are_bounded_in_bytes():
+    known = _split.Known(1, find=lambda key: key.encode())
+    for i in range(60_000):
+        key = f"k{i % 20_000}x{i}"
+        assert known[key] == key.encode()
+        known.keep(key, key.encode())
+        known.turn()
+        assert known.used <= (1 << 20) + 500 and len(known) * known.ENTRY <= (1 << 20) + 500 and len(known.older) * known.ENTRY <= (1 << 20) + 500
+    assert known["y" * 100] == b"y" * 100 and "y" * 100 not in known
 
 
 def test_queries_on_edges(spark, edges, empty, clashing):
