@@ -8,21 +8,26 @@ and perturbed ones in the order of their estimated chance to hold a neighbour,
 until the chances sum to the target, and the candidates of all tables are
 merged and ranked again by the exact inner product of the original vectors.
 
+The cells' width follows from a calibrated neighbour distance. Queries whose
+list came out short, or reaches far beyond that distance, go another round,
+calibrated on them alone; what is left after the rounds, or is few enough for
+one block, is compared with every row in blocks.
+
 Equal vectors are folded first: a group keeps its ``top + 1`` smallest ids,
 which is all that ties ask for, so copies never fill a bucket. Buckets and
 their visitors are cut into blocks of bounded size by salted keys; a block pair
-is one matrix product in a task.
+is one matrix product in a task and gives ``top + 1`` rows a query at most.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from itertools import product as every_one
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.session import materialise
@@ -35,11 +40,17 @@ WIDTH = 2.2
 TARGET = 0.985
 TOP = 20
 #: Rows of a block of a bucket, and visitors of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 #: Calibration: so many query vectors are compared with every row.
 CALIBRATION_QUERIES = 64
+#: Rounds of hashing; a list that reaches beyond so many calibrated distances goes another round.
+ROUNDS, BEYOND = 3, 1.5
+#: Combinations of cells considered a query and table, at most.
+COMBINATIONS = 4096
 SEED = 11
 
+_erf = np.frompyfunc(math.erf, 1, 1)
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, v`` (array of double) without null ids or vectors, null or non-finite components, and zero vectors."""
@@ -55,16 +66,13 @@ def with_key(rows: DataFrame) -> DataFrame:
 
 
 def fold_equal(rows: DataFrame, keep: int) -> DataFrame:
-    """``rep, v, ids``: distinct vectors with their ``keep`` smallest ids.
+    """``rep, v, ids``: distinct vectors with their ``keep`` smallest ids; rows that repeat an id and vector count once.
 
     The rank is cut per task before the shuffle (a group limit of the window),
     so a group of copies is never gathered.
     """
-    from pyspark.sql import Window
-
-    keyed = with_key(rows)
-    order = Window.partitionBy("h").orderBy("id")
-    few = keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep)
+    once = with_key(rows).dropDuplicates(["h", "id"])
+    few = once.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("_n") <= keep)
     return few.groupBy("h").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")).drop("h")
 
 
@@ -99,52 +107,67 @@ class Hashing:
             out = out * 1_000_003 + cells[:, j].astype(np.int64)
         return out
 
-    def probes(self, f: np.ndarray) -> np.ndarray:
-        """The cells a query at ``f`` (one table) visits, likeliest first, until their chances sum to the target."""
-        spread = NormalDist(0, self.distance / self.w)
-        options = []
-        for x in f:
-            cells = [(spread.cdf(c + 1 - x) - spread.cdf(c - x), c) for c in range(int(np.floor(x)) - 4, int(np.floor(x)) + 5)]
-            options.append(sorted((p, c) for p, c in cells if p > 1e-7)[::-1])
-        start = (0,) * self.k
-        chance = lambda at: float(np.prod([options[j][i][0] for j, i in enumerate(at)]))
-        heap, seen, total, out = [(-chance(start), start)], {start}, 0.0, []
-        while heap and total < self.per_table:
-            p, at = heapq.heappop(heap)
-            total -= p
-            out.append([options[j][i][1] for j, i in enumerate(at)])
-            for j in range(self.k):
-                if at[j] + 1 < len(options[j]):
-                    nxt = (*at[:j], at[j] + 1, *at[j + 1 :])
-                    if nxt not in seen:
-                        seen.add(nxt)
-                        heapq.heappush(heap, (-chance(nxt), nxt))
-        return np.array(out, np.int64)
-
-
-def best(q: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, inner product) of each query's ``top`` largest; ties at the cut all stay."""
-    s = q @ x.T
-    if x.shape[0] > top:
-        floor = np.partition(s, -top, axis=1)[:, -top]
-        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        i, j = np.nonzero(s >= (floor - slack)[:, None])
-    else:
-        i, j = np.divmod(np.arange(s.size), max(x.shape[0], 1))
-    # summed anew, in one order for every pair, so that equal vectors score alike
-    return i, j, (q[i] * x[j]).sum(axis=1)
-
-
-def calibrate(reps: DataFrame, queries: DataFrame, top: int) -> tuple[int, float, float]:
-    """Dimension, largest norm, and the 0.9 quantile of the distances to the ``top``-th neighbour.
+    def probes(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that queries at ``f`` (one table) visit, likeliest first, until their chances sum to the target: how many each, and all in a row.
+
+        Only the offsets within the queries' own cells decide the order. The
+        likeliest few cells of every function are combined.
+        """
+        few = max(2, min(7, int(COMBINATIONS ** (1 / self.k))))
+        combos = np.array(list(every_one(range(few), repeat=self.k)))
+        steps = np.arange(-3, 5)
+        counts, cells = [], []
+        for start in range(0, len(f), 128):
+            part = f[start : start + 128]
+            own = np.floor(part)
+            below = 0.5 * (1 + _erf((steps - (part - own)[:, :, None]) / (math.sqrt(2) * self.distance / self.w)).astype(np.float64))
+            chance = np.diff(below, axis=2)  # of the cells from 3 below to 3 above
+            order = np.argsort(-chance, axis=2, kind="stable")[:, :, :few]
+            logs = np.log(np.maximum(np.take_along_axis(chance, order, 2), 1e-300))
+            at = (own[:, :, None] + steps[order]).astype(np.int64)
+            total = sum(logs[:, j, combos[:, j]] for j in range(self.k))
+            rank = np.argsort(-total, axis=1, kind="stable")
+            likely = np.exp(np.take_along_axis(total, rank, 1))
+            visited = np.cumsum(likely, axis=1) - likely < self.per_table
+            row, place = np.nonzero(visited & (likely > 1e-12))
+            chosen = combos[rank[row, place]]
+            counts.append(np.bincount(row, minlength=len(part)))
+            cells.append(at[row[:, None], np.arange(self.k), chosen])
+        return np.concatenate(counts), np.concatenate(cells)
+
+
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, inner product) of each query's ``top`` largest, ties to the smaller id."""
+    out = []
+    longest = np.linalg.norm(x, axis=1).max()
+    for start in range(0, len(q), 32):
+        some = q[start : start + 32]
+        s = some @ x.T
+        if x.shape[0] > top:
+            floor = np.partition(s, -top, axis=1)[:, -top]
+            i, j = np.nonzero(s >= (floor - 1e-12 * np.linalg.norm(some, axis=1) * longest)[:, None])
+        else:
+            i, j = np.divmod(np.arange(s.size), x.shape[0])
+        # summed anew, in one order for every pair, so that equal vectors score alike
+        exact = (some[i] * x[j]).sum(axis=1)
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((start + i[rank < top], j[rank < top], exact[rank < top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _norm(v: str) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def calibrate(reps: DataFrame, queries: DataFrame, top: int, norm: float) -> float:
+    """The 0.9 quantile of the distances to the ``top``-th neighbour.
 
     A bounded sample of queries (those of smallest id hash) is compared with
     all rows; a task returns ``top`` numbers per sampled query.
     """
-    size, norm = reps.agg(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
-    sample = np.array([r.v for r in queries.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION_QUERIES).collect() if len(r.v) == size])
-    if not size or not len(sample):
-        return size or 0, norm or 1.0, 1.0
+    sample = np.array([r.v for r in queries.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION_QUERIES).select("v").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.full((len(sample), top + 1), -np.inf)
@@ -154,55 +177,44 @@ def calibrate(reps: DataFrame, queries: DataFrame, top: int) -> tuple[int, float
                 held = -np.sort(-np.hstack([held, sample @ x.T]), axis=1)[:, : top + 1]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sample))), pa.array(list(held), pa.list_(pa.float64()))], ["q", "s"])
 
-    rows = reps.where(F.size("v") == size).select("v").mapInArrow(run, "q bigint, s array<double>").select("q", F.explode("s").alias("s")).where(F.col("s") > float("-inf"))
-    tops = rows.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, top + 1).alias("s")).collect()
-    scaled = [np.sqrt(max(0.0, 2 * norm**2 - 2 * min(r.s) * norm / np.linalg.norm(sample[r.q]))) for r in tops]
-    return size, norm, float(np.quantile(scaled, 0.9)) if scaled else norm
-
+    rows = reps.select("v").mapInArrow(run, "q bigint, s array<double>").select("q", F.explode("s").alias("s")).where(F.col("s") > float("-inf"))
+    near = rows.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("_n") <= top + 1)
+    lows = near.groupBy("q").agg(F.min("s").alias("s")).collect()
+    scaled = [np.sqrt(max(0.0, 2 * norm**2 - 2 * r.s * norm / np.linalg.norm(sample[r.q]))) for r in lows]
+    return float(np.quantile(scaled, 0.9)) if scaled else norm
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
-    """``query_id, rank, <id_col>, score``: each query row's ``top`` largest inner products among the other rows.
 
-    Ranks follow the score, ties the smaller id. Vectors that are null, zero,
-    or hold null or non-finite components take no part, nor do vectors of
-    another length than the longest. Rows that repeat an id and vector count
-    as one candidate. Empty tables give an empty result.
-    """
-    rows = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    kind = rows.schema["id"].dataType.simpleString()
-    reps = materialise(fold_equal(rows.dropDuplicates(["id", "v"]), top + 1), "reps")
-    visitors = materialise(fold_equal(asked, 1).select("rep", "v"), "visitors")
-    dim, norm, distance = calibrate(reps, visitors, top)
-    if not dim:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    h = Hashing(dim, norm, distance, **options)
+def _hashed(h: Hashing, rows: DataFrame, query: bool) -> DataFrame:
+    """``buckets`` (array: those of a row, or those a query visits) ``, rep, v``."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = np.floor(h.project(_vectors(batch.column(1)), False)) if batch.num_rows else np.zeros((0, h.tables, h.k))
-            for t in range(h.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(h.codes(t, f[:, t])), batch.column(0), batch.column(1)], ["bucket", "rep", "v"])
-
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f = h.project(_vectors(batch.column(1)), True)
+            f, n = h.project(_vectors(batch.column(1)), query), batch.num_rows
+            counts, rows, codes = np.zeros(n, np.int64), [], []
             for t in range(h.tables):
-                found = [h.codes(t, h.probes(x)) for x in f[:, t]]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(row), batch.column(1).take(row)], ["bucket", "rep", "v"])
-
-    out = f"bucket bigint, rep {kind}, v array<double>"
-    index = reps.where(F.size("v") == dim).select("rep", "v").mapInArrow(hashed, out)
-    probes = visitors.where(F.size("v") == dim).mapInArrow(probed, out)
-    blocks = lambda df, size, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    cut = materialise(blocks(index, BLOCK_ROWS, "ni").join(blocks(probes, BLOCK_QUERIES, "nq"), "bucket"), "blocks")
+                each, cells = h.probes(f[:, t]) if query else (np.ones(n, np.int64), np.floor(f[:, t]))
+                counts += each
+                rows.append(np.repeat(np.arange(n), each)), codes.append(h.codes(t, cells))
+            order = np.argsort(np.concatenate(rows), kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(codes)[order]))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(0), batch.column(1)], ["buckets", "rep", "v"])
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    return rows.select("rep", "v").mapInArrow(run, f"buckets array<bigint>, rep {kind}, v array<double>")
+
+
+def _compared(index: DataFrame, probes: DataFrame, top: int) -> DataFrame:
+    """``q, rep, score``: per query its ``top`` best of the rows it shares a bucket with; a pair once for each such bucket."""
+    kind = index.schema["rep"].dataType.simpleString()
+    sizes = lambda df, size, name: df.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cut = materialise(sizes(index, BLOCK_ROWS, "ni").join(sizes(probes, BLOCK_QUERIES, "nq"), "bucket"), "blocks")
     salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(cut, "bucket").select("bucket", salt("ni").alias("i"), every("nq").alias("q"), "rep", "v")
-    right = probes.join(cut, "bucket").select("bucket", every("ni").alias("i"), salt("nq").alias("q"), "rep", "v")
+    spread = lambda df: df.select(F.explode("buckets").alias("bucket"), "rep", "v").join(cut, "bucket")
+    left = spread(index).select("bucket", salt("ni").alias("i"), every("nq").alias("q"), "rep", "v")
+    right = spread(probes).select("bucket", every("ni").alias("i"), salt("nq").alias("q"), "rep", "v")
 
     def product(key, x: pa.Table, q: pa.Table) -> pa.Table:
         names = ["q", "rep", "score"]
@@ -210,21 +222,74 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str
             return pa.table([pa.array([], x.schema.field("rep").type), pa.array([], x.schema.field("rep").type), pa.array([], pa.float64())], names)
         x, q = x.combine_chunks(), q.combine_chunks()
         vx, vq = (_vectors(t.column("v").combine_chunks()) for t in (x, q))
-        i, j, s = best(vq, vx, top + 1)
+        i, j, s = best(vq, vx, x.column("rep").to_numpy(), top)
         return pa.table([q.column("rep").take(pa.array(i)), x.column("rep").take(pa.array(j)), pa.array(s)], names)
 
-    from pyspark.sql import Window
-
     found = left.groupBy("bucket", "i", "q").cogroup(right.groupBy("bucket", "i", "q")).applyInArrow(product, f"q {kind}, rep {kind}, score double")
-    # the tables' candidates merge; the group limit cuts each task's rows before the shuffle
-    merged = found.distinct()
+    # the group limit of the window cuts each task's rows before the shuffle
     near = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    merged = merged.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= top + 1).drop("_n")
-    listed = merged.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("c"))
+    return found.withColumn("_n", F.dense_rank().over(near)).where(F.col("_n") <= top).drop("_n")
+
+
+def _lists(found: DataFrame, reps: DataFrame, top: int) -> DataFrame:
+    """``q, found`` (array of (-score, id), best first, ``top`` at most) of distinct candidates."""
+    listed = found.distinct().join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("c"))
     full = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    listed = listed.withColumn("_n", F.row_number().over(full)).where(F.col("_n") <= top + 1)
-    lists = listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "c"))).alias("found"))
+    listed = listed.withColumn("_n", F.row_number().over(full)).where(F.col("_n") <= top)
+    return listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "c"))).alias("found"))
+
+
+def _search(reps: DataFrame, visitors: DataFrame, top: int, dim: int, norm: float, candidates: int, **options) -> list[DataFrame]:
+    """Lists (``q, found``) of all visitors among ``reps``, both of one length, in parts."""
+    done, rest, need = [], visitors, min(top, candidates)
+    for turn in range(ROUNDS + 1):
+        left = rest.count()
+        if not left:
+            break
+        if turn == ROUNDS or (turn and left <= BLOCK_QUERIES):
+            whole = lambda df: df.select(F.array(F.lit(0).cast("long")).alias("buckets"), "rep", "v")
+            done.append(_lists(_compared(whole(reps), whole(rest), top), reps, top))
+            break
+        distance = calibrate(reps, rest, top, norm)
+        h = Hashing(dim, norm, distance, **options)
+        index = materialise(_hashed(h, reps, False), "index")
+        # the few visitors may lie in one file: their probes are found by many tasks
+        tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probes = materialise(_hashed(h, rest.repartition(tasks, "rep"), True), "probes")
+        lists = materialise(_lists(_compared(index, probes, top), reps, top), "lists")
+        far = F.sqrt(F.greatest(F.lit(0.0), 2 * norm**2 + 2 * norm * F.element_at("found", -1)["s"] / _norm("v")))
+        fine = (F.size("found") >= need) & (far <= BEYOND * h.distance)
+        settled = lists.join(rest.select(F.col("rep").alias("q"), "v"), "q").where(fine).select("q", "found")
+        done.append(settled)
+        rest = materialise(rest.join(settled.select(F.col("q").alias("rep")), "rep", "left_anti"), "visitors")
+    return done
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
+    """``query_id, rank, <id_col>, score``: each query row's ``top`` largest inner products among the other rows.
+
+    Ranks follow the score, ties the smaller id. Vectors that are null, zero,
+    or hold null or non-finite components take no part. Each length of vectors
+    is searched by itself: there is no inner product between lengths. Rows that
+    repeat an id and vector count as one candidate; a query id with several
+    vectors asks with the least of them. Empty tables give an empty result.
+    """
+    rows = usable(vectors, id_col, vector_col)
+    asked = materialise(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    kind = rows.schema["id"].dataType.simpleString()
+    # one more than asked for, as a row may find itself
+    reps = materialise(fold_equal(rows, top + 1).withColumn("dim", F.size("v")), "reps")
+    visitors = materialise(fold_equal(asked, 1).select("rep", "v"), "visitors")
+    lists: list[DataFrame] = []
+    for dim, norm, candidates in sorted(tuple(r) for r in reps.groupBy("dim").agg(F.max(_norm("v")), F.sum(F.size("ids"))).collect()):
+        some = reps.where(F.col("dim") == dim).select("rep", "v", "ids")
+        lists += _search(some, visitors.where(F.size("v") == dim), top + 1, dim, norm, candidates, **options)
+    if not lists:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    found = lists[0]
+    for more in lists[1:]:
+        found = found.unionByName(more)
     # every asking row takes its vector's list, less itself
     keys = with_key(asked).select("id", "h").join(with_key(visitors).select(F.col("rep").alias("q"), "h"), "h").select("id", "q")
-    own = keys.join(lists, "q").select("id", F.slice(F.filter("found", lambda x: x["c"] != F.col("id")), 1, top).alias("found"))
+    own = keys.join(found, "q").select("id", F.slice(F.filter("found", lambda x: x["c"] != F.col("id")), 1, top).alias("found"))
     return own.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "r")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("r.c").alias(id_col), (-F.col("r.s")).alias("score"))

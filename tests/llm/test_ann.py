@@ -51,3 +51,67 @@ def test_few_candidates_and_empty(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 20), (0, 2, 3), (20, 1, 0), (20, 2, 3)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann.nearest(df.withColumn("id", F.lit(1)).withColumn("v", F.lit(2)).withColumn("rep", F.lit(3)), df).count() == 6
+
+
+def pairs(got) -> dict:
+    out = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r[2])
+    return out
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, [1.0] * 9, 0), (1020, [2.0] * 9, 0), (2000, [5.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = pairs(ann.nearest(df, df.where("vec_id % 20 == 0")))
+    plain = {i: np.array(np.float32(v), float) for i, v, _ in rows[:300]}
+    want = brute(plain, range(0, 300, 20), 20)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
+    assert got[1000] == [1020] and got[1020] == [1000] and 2000 not in got
+
+
+def test_ties_between_different_vectors_and_blocks(spark, monkeypatch):
+    """Orthogonal vectors all score 0: the smaller ids win, in any block, and blocks give no more than they must."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(2)
+    flat = np.hstack([np.zeros((400, 4)), rng.integers(-3, 4, (400, 4)) + 0.5])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(flat)] + [(1000 + 20 * k, [1.0 + k] + [0.0] * 7, 0) for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = pairs(ann.nearest(df, df.where("vec_id >= 1000")))
+    for k in range(12):
+        others = [1000 + 20 * m for m in range(11, -1, -1) if m != k]
+        assert got[1000 + 20 * k] == others + list(range(9))
+    i, j, s = ann.best(np.eye(8)[:2], flat, np.arange(400), 5)
+    assert len(i) == 10 and j.tolist() == [*range(5)] * 2 and not s.any()
+
+
+def test_sparse_rest_goes_on(spark):
+    """A tight cluster holds most queries and sets the distance; the scattered others still find all their neighbours."""
+    rng = np.random.default_rng(3)
+    tight, loose = rng.normal(size=(1, 12)) + 0.01 * rng.normal(size=(900, 12)), 3 * rng.normal(size=(300, 12))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([tight, loose]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = pairs(ann.nearest(df, df.where("vec_id % 20 == 0")))
+    want = brute({i: np.array(v) for i, v, _ in rows}, range(0, 1200, 20), 20)
+    assert all(len(got[q]) == 20 for q in want)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want if q >= 900) >= 0.95 * 20 * 15
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in df.collect() if r.embedding is not None and len(r.embedding)}
+    got = pairs(ann.nearest(df, df.where("vec_id % 20 == 0")))
+    want = brute(vectors, got, 20)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_probes_come_likeliest_first():
+    h = ann.Hashing(6, 1.0, 0.5, tables=1, k=3)
+    counts, cells = h.probes(np.array([[0.5, 0.5, 0.5], [0.02, 0.5, 0.98]]))
+    assert counts.sum() == len(cells) and cells[0].tolist() == [0, 0, 0]
+    second = cells[counts[0] :]
+    assert second[0].tolist() == [0, 0, 0] and {tuple(c) for c in second[1:3].tolist()} == {(-1, 0, 0), (0, 0, 1)}
+    assert len(np.unique(cells[: counts[0]], axis=0)) == counts[0]
