@@ -28,22 +28,54 @@ def build_session(app: str = "talkloom", cpus: int | str = "*", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (one machine) a folder below the working
-    directory's ``spark-warehouse`` is used.
+    Only where all of Spark runs in one process, and the setting is missing, a
+    folder below the working directory's ``spark-warehouse`` is used; on a
+    cluster a missing setting raises, as no local folder could do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.abspath(os.path.join("spark-warehouse", "shared"))
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Folders that this process has written, by what reads them.
+_written: dict[str, list[str]] = {}
+
+
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage as ``checkpoint()`` does, survives lost executors,
-    and keeps the column types.
+    and keeps the column types. The folder stays until :func:`discard` or
+    :func:`clean_up`, as the result is read from it whenever it is used.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talkloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._talkloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``, which can't be read any more."""
+    spark, path = df.sparkSession, df._talkloom_path
+    _written[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all that :func:`materialise` has written in this application; results that read it must have been used."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
