@@ -1,23 +1,26 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
-Each task concatenates its documents' ids (every document ends with an end id)
-and cuts them into sequences. A keyed Feistel permutation of the index domain,
-with cycle-walking to stay inside it, gives every sequence a pseudo-random
-position; equal ranges of positions are the shards. Shards are sorted by
-position and written as records of one stride, so the record at a place is
-found by a multiplication. A sequence's global slot is its rank by position:
-the records of earlier shards plus its place in its own, which makes the slots
-0 .. N-1 a permutation of all N sequences without counting them beforehand.
-
-The texts are read and tokenised once; payloads are compressed for the one
-shuffle. A task writes a shard under a name of its own attempt and renames it,
-so tasks that run again replace whole files.
+Documents, each with an end id, follow one another in the order of a hash of
+their id and tokens; this stream is cut into sequences of one length. How many
+there are is counted first. A keyed Feistel permutation of exactly these
+numbers, with cycle-walking where its domain of powers of two is larger, is a
+sequence's global slot. A shard is a range of slots, written as records of one
+stride, so a slot's file and byte follow from two divisions. Nothing of this
+depends on how the table was split into tasks: the same rows give the same
+bytes.
+
+The texts are tokenised once, into files in the shared folder. The running
+offset of each document comes from a narrow table of hashes and lengths: totals
+of 65,536 hash buckets, then sums within a bucket; copies of a document are one
+row a file there, so a group of copies is never gathered. A task then reads one
+file of tokens, cuts it at the sequences' bounds, and sends what belongs to a
+shard together. A task writes one shard under a name of its own attempt and
+renames it, so tasks that run again replace whole files.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,19 +29,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm._arrow import text_steps
+from talkloom.llm._arrow import binary_array, text_steps
 from talkloom.llm._words import mix
 from talkloom.llm.packing import END_ID, SEQUENCE_TOKENS, tokenizer
-from talkloom.session import materialise, shared_dir
+from talkloom.session import discard, materialise, shared_dir
 
-#: Production parameters: sequences of a shard (about), and sequences that a task may number.
-SHARD_SEQUENCES = 4096
-TASK_SEQUENCES = 1 << 24
+#: Production parameters: sequences of a shard, at least and at most (a quarter of a gigabyte), and shards aimed at between.
+SHARD_LEAST, SHARD_MOST, SHARDS = 256, 65_536, 512
 KEY = 0x5EED
 ROUNDS = 4
+#: Hash buckets that the running offsets are summed in, and bytes of tokens that a task cuts at a time.
+BUCKETS = 65_536
+CUT_BYTES = 32 << 20
+#: Compression of the tokens while they are at rest and while they are sent.
+REST_LEVEL, SENT_LEVEL = 6, 3
 
 _U = np.uint64
 
@@ -65,89 +72,130 @@ class Feistel:
         return out.astype(np.int64)
 
 
-def _pack(ids: np.ndarray, stride: int, pad: int, dtype: str) -> bytes:
-    return np.concatenate([ids, np.full(stride - len(ids), pad, ids.dtype)]).astype(dtype).tobytes()
+def shard_size(sequences: int) -> int:
+    """Sequences of a shard: a power of two that follows from their number alone."""
+    return min(SHARD_MOST, max(SHARD_LEAST, 1 << max(0, (sequences // SHARDS).bit_length())))
 
 
-def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", stride: int = SEQUENCE_TOKENS, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, end_id: int = END_ID, dtype: str = "<u2") -> tuple[DataFrame, str]:
+def _tokens(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, dtype: str) -> DataFrame:
+    """``id, n, ids`` (``dtype`` numbers, the end id last) ``, a, b`` (a fingerprint of id and ids) per row, at rest in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, end = tokenizer(path), np.array([end_id], dtype).tobytes()
+        for batch in batches:
+            for part, texts in text_steps(batch):
+                ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in tok.encode(texts)]
+                n = pa.array([len(x) // len(end) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, binary_array(ids)], ["id", "n", "ids"])
+        tok.release()
+
+    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    made = chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, n bigint, ids binary")
+    marked = made.withColumn("a", F.xxhash64("id", "ids")).withColumn("b", F.xxhash64(F.lit(5), "id", "ids"))
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(REST_LEVEL), "parquet.enable.dictionary": "false"}
+    return materialise(marked, "tokens", **options)
+
+
+def _offsets(tokens: DataFrame) -> DataFrame:
+    """``file, a, b, start``: where in the stream the rows of a file with this fingerprint begin, one after the other."""
+    rows = tokens.select(F.col("_metadata.file_path").alias("file"), "a", "b", "n")
+    each = rows.groupBy("file", "a", "b").agg(F.max("n").alias("n"), F.sum("n").alias("size"))
+    each = materialise(each.withColumn("bucket", F.pmod("a", F.lit(BUCKETS))), "offsets")
+    totals = each.groupBy("bucket").agg(F.sum("size").alias("size"))
+    # at most BUCKETS rows, whatever the input
+    base = totals.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("base"))
+    within = Window.partitionBy("bucket").orderBy("a", "b", "n", "file")
+    summed = each.withColumn("start", F.sum("size").over(within) - F.col("size"))
+    return summed.join(base, "bucket").select("file", "a", "b", (F.col("base") + F.col("start")).alias("start"))
+
+
+def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", stride: int = SEQUENCE_TOKENS, shard_sequences: int | None = None, key: int = KEY, end_id: int = END_ID, dtype: str | None = None) -> tuple[DataFrame, str]:
     """Write the shards and return the manifest and the folder.
 
-    The manifest has a row per (sequence, document) span: ``id_col, start,
+    The manifest has a row per (document, sequence) span: ``id_col, start,
     length`` (which of the document's ids), ``ids_crc32`` (of these as
     little-endian unsigned 32-bit numbers), ``slot, shard, record`` (the place
     in the shard), ``offset`` (the token's place in the record). Records are
-    ``stride`` numbers of ``dtype``; the last of each task's stream is padded
-    with ``end_id``.
+    ``stride`` numbers of ``dtype``, by default the narrowest of 16 or 32 bits
+    that holds the vocabulary (a narrower one raises ValueError); the last
+    sequence of the stream is padded with ``end_id``.
 
     Null and empty texts are the end id alone. Repeated ids are documents of
-    their own. An empty table gives an empty manifest and no shard.
+    their own, each of repeated rows too. An empty table gives an empty
+    manifest and no shard. A writing task holds one shard, SHARD_MOST
+    sequences at most.
     """
     spark = docs.sparkSession
+    size = max(tokenizer(path).vocabulary_size(), end_id + 1)
+    dtype = dtype or ("<u2" if size <= 1 << 16 else "<u4")
+    if size > 1 << 8 * np.dtype(dtype).itemsize:
+        raise ValueError(f"{size} ids don't fit into {dtype}")
     directory = directory or f"{shared_dir(spark)}/talkloom/shards-{uuid.uuid4().hex}"
-    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    total = chosen.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    tasks = max(1, chosen.rdd.getNumPartitions())
-    # the texts' bytes bound their tokens; a token has about two bytes or more
-    n_shards = max(1, math.ceil(total / 2 / stride / shard_sequences))
-    order = Feistel(tasks * TASK_SEQUENCES, key)
-    width = -(-order.size // n_shards)
-    id_type = chosen.schema["id"].dataType.simpleString()
-    wide = "<u4"
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    item = np.dtype(dtype).itemsize
+    tokens = _tokens(docs, path, id_col, text_col, end_id, dtype)
+    id_type = tokens.schema["id"].dataType.simpleString()
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // stride)
+    width = shard_sequences or shard_size(n)
+    names = ["id", "start", "length", "ids_crc32", "record", "offset"]
+    kinds = [id_type, "bigint", "bigint", "bigint", "bigint", "bigint"]
+    flat = f"{', '.join(f'{c} {k}' for c, k in zip(names, kinds, strict=True))}, shard int"
+    if not n:
+        return _manifest(spark.createDataFrame([], flat), id_col, width), directory
+    order = Feistel(n, key)
+    short = int(order(np.array([n - 1]))[0]) // width  # the shard of the last sequence, which is padded
+
+    def cut(key: tuple, starts: pa.Table) -> Iterator[pa.RecordBatch]:
+        """One file's tokens, cut at the sequences' bounds and put together by shard."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        tok, end, task = tokenizer(path), np.array([end_id], wide), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []  # ids of the sequence being filled
-        spans: list[tuple] = []  # (id, start, length, offset, crc) of its documents
-        filled = number = 0
-        done: list[tuple[bytes, list[tuple]]] = []
-
-        def close() -> None:
-            nonlocal held, spans, filled
-            done.append((squeeze(_pack(np.concatenate(held), stride, end_id, dtype)), spans))
-            held, spans, filled = [], [], 0
-
-        def rows() -> pa.RecordBatch:
-            nonlocal number, done
-            index = np.arange(number, number + len(done))
-            if number + len(done) > TASK_SEQUENCES:
-                raise ValueError("a task has more sequences than it may number; read smaller partitions")
-            at = order(index * tasks + task)
-            number += len(done)
-            columns = list(zip(*[s for _, spans in done for s in spans], strict=True))
-            offsets = pa.array(np.cumsum([0, *[len(s) for _, s in done]]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(columns, (ids.type, pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-            out = pa.RecordBatch.from_arrays([pa.array(at // width, pa.int32()), pa.array(at), pa.array([p for p, _ in done], pa.binary()), *lists], ["shard", "position", "payload", *names])
-            done = []
-            return out
-
-        ids = None
-        for batch in batches:
-            for part, texts in text_steps(batch):
-                ids = part.column(0)
-                for doc, raw in zip(ids.to_pylist(), tok.encode(texts), strict=True):
-                    mine, start = np.concatenate([np.frombuffer(raw, wide), end]), 0
-                    while start < len(mine):
-                        some = mine[start : start + stride - filled]
-                        held.append(some)
-                        spans.append((doc, start, len(some), filled, zlib.crc32(some.tobytes())))
-                        filled += len(some)
-                        start += len(some)
-                        if filled == stride:
-                            close()
-                if done:
-                    yield rows()
-        if filled:
-            close()
-            yield rows()
-        tok.release()
+        a, b, start = (starts.column(c).to_pylist() for c in ("a", "b", "start"))
+        at = {(x, y): z for x, y, z in zip(a, b, start, strict=True)}
+        store, file = fs.FileSystem.from_uri(key[0].as_py())
+        with store.open_input_file(file) as source:
+            held, size = [], 0
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=256, columns=["id", "n", "ids", "a", "b"]):
+                held.append(batch)
+                size += batch.column("ids").nbytes
+                if size >= CUT_BYTES:
+                    yield from sent(pa.Table.from_batches(held), at)
+                    held, size = [], 0
+            if held:
+                yield from sent(pa.Table.from_batches(held), at)
+
+    def sent(rows: pa.Table, at: dict) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    names = ["ids", "starts", "lengths", "offsets", "crcs"]
-    kinds = [f"array<{t}>" for t in (id_type, "bigint", "int", "int", "bigint")]
-    made = chosen.mapInArrow(sequences, "shard int, position bigint, payload binary, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
-    dealt = made.repartition(n_shards, "shard").sortWithinPartitions("shard", "position")
+        squeeze = zstandard.ZstdCompressor(level=SENT_LEVEL).compress
+        begin = []
+        for k, n in zip(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True), rows.column("n").to_pylist(), strict=True):
+            begin.append(at[k])
+            at[k] += n
+        begin, n = np.array(begin, np.int64), rows.column("n").to_numpy()
+        first, last = begin // stride, (begin + n - 1) // stride
+        row = np.repeat(np.arange(len(n)), last - first + 1)
+        sequence = first[row] + np.arange(len(row)) - np.searchsorted(row, row)
+        low = np.maximum(sequence * stride, begin[row])
+        length = np.minimum((sequence + 1) * stride, begin[row] + n[row]) - low
+        start, offset, slot = low - begin[row], low - sequence * stride, order(sequence)
+        shard, record = slot // width, slot % width
+        by_shard = np.lexsort((offset, record, shard))
+        payload = rows.column("ids").to_pylist()
+        parts = [payload[row[i]][item * start[i] : item * (start[i] + length[i])] for i in by_shard]
+        crcs = np.array([zlib.crc32(np.frombuffer(x, dtype).astype("<u4")) for x in parts], np.int64)
+        shards, where = np.unique(shard[by_shard], return_index=True)
+        where = np.append(where, len(by_shard))
+        blocks = binary_array([squeeze(b"".join(parts[i:j])) for i, j in zip(where[:-1], where[1:], strict=True)])
+        bounds = pa.array(where.astype(np.int32))
+        ids = rows.column("id").combine_chunks().take(pa.array(row[by_shard]))
+        values = [ids, *(pa.array(v[by_shard]) for v in (start, length)), pa.array(crcs), *(pa.array(v[by_shard]) for v in (record, offset))]
+        yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), blocks, *(pa.ListArray.from_arrays(bounds, v) for v in values)], ["shard", "payload", *names])
+
+    lists = ", ".join(f"{c} array<{k}>" for c, k in zip(names, kinds, strict=True))
+    made = _offsets(tokens).groupBy("file").applyInArrow(lambda key, group: pa.Table.from_batches(cut(key, group)), f"shard int, payload binary, {lists}")
+    # a range of slots to a task
+    dealt = made.repartitionById(-(-n // width), "shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -157,41 +205,42 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         store, root = fs.FileSystem.from_uri(directory)
         store.create_dir(root, recursive=True)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-        shard, record, file = None, 0, None
+        current, filled, buffer = None, 0, None
 
         def finish() -> None:
-            if file is not None:
-                file.close()
-                store.move(f"{root}/.{shard:08d}-{attempt}", f"{root}/{shard:08d}.bin")
+            if current is None:
+                return
+            if filled != len(buffer) - (n * stride - total if current == short else 0):
+                raise ValueError(f"shard {current} holds {filled} tokens")
+            with store.open_output_stream(f"{root}/.{current:08d}-{attempt}") as file:
+                file.write(buffer.tobytes())
+            store.move(f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
 
         for batch in batches:
-            records = np.zeros(batch.num_rows, np.int64)
-            for i, (s, payload) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                if s != shard:
+            lists = [batch.column(2 + k) for k in range(len(names))]
+            for i, shard in enumerate(batch.column(0).to_pylist()):
+                if shard != current:
                     finish()
-                    shard, record = s, 0
-                    file = store.open_output_stream(f"{root}/.{shard:08d}-{attempt}")
-                file.write(expand(payload.as_py()))
-                records[i] = record
-                record += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records), *batch.columns[3:]], ["shard", "record", *names])
+                    current, filled = shard, 0
+                    buffer = np.full(min(width, n - shard * width) * stride, end_id, dtype)
+                ids, start, length, crc, record, offset = (x.slice(i, 1).flatten() for x in lists)
+                tokens, at = np.frombuffer(expand(batch.column(1)[i].as_py()), dtype), 0
+                for place, m in zip((record.to_numpy() * stride + offset.to_numpy()).tolist(), length.to_pylist(), strict=True):
+                    buffer[place : place + m] = tokens[at : at + m]
+                    at += m
+                filled += at
+                yield pa.RecordBatch.from_arrays([ids, start, length, crc, record, offset, pa.array(np.full(len(ids), shard, np.int32))], [*names, "shard"])
         finish()
 
-    spans = dealt.mapInArrow(write, "shard int, record bigint, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
-    written = materialise(spans, "manifest")
-    # one row per shard: the slots before it
-    sizes = {r[0]: r[1] for r in written.groupBy("shard").agg(F.max("record") + 1).collect()}
-    before, starts = 0, {}
-    for s in sorted(sizes):
-        starts[s] = before
-        before += sizes[s]
-    if sizes:
-        _write_index(directory, {"stride": stride, "dtype": dtype, "n_sequences": before, "shards": [[s, starts[s], sizes[s]] for s in sorted(sizes)]})
-    first = spark.createDataFrame(list(starts.items()), "shard int, _before bigint")
-    flat = written.join(F.broadcast(first), "shard").select(
-        F.inline(F.arrays_zip(*names)), (F.col("_before") + F.col("record")).alias("slot"), "shard", "record"
-    )
-    return flat.select(F.col("ids").alias(id_col), F.col("starts").alias("start"), F.col("lengths").cast("bigint").alias("length"), F.col("crcs").alias("ids_crc32"), "slot", "shard", "record", F.col("offsets").cast("bigint").alias("offset")), directory
+    written = materialise(dealt.mapInArrow(write, flat), "manifest")
+    discard(tokens)
+    _write_index(directory, {"stride": stride, "dtype": dtype, "n_sequences": n, "shard_sequences": width})
+    return _manifest(written, id_col, width), directory
+
+
+def _manifest(spans: DataFrame, id_col: str, width: int) -> DataFrame:
+    slot = (F.col("shard") * F.lit(width).cast("long") + F.col("record")).alias("slot")
+    return spans.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", slot, "shard", "record", "offset")
 
 
 def _write_index(directory: str, index: dict) -> None:
@@ -209,12 +258,12 @@ def read_slots(directory: str, start: int = 0, stop: int | None = None) -> Itera
     store, root = fs.FileSystem.from_uri(directory)
     with store.open_input_stream(f"{root}/index.json") as file:
         index = json.loads(file.read())
-    size = index["stride"] * np.dtype(index["dtype"]).itemsize
+    size, width = index["stride"] * np.dtype(index["dtype"]).itemsize, index["shard_sequences"]
     stop = index["n_sequences"] if stop is None else min(stop, index["n_sequences"])
-    for shard, before, n in index["shards"]:
-        low, high = max(start, before), min(stop, before + n)
-        if low < high:
-            with store.open_input_file(f"{root}/{shard:08d}.bin") as file:
-                file.seek((low - before) * size)
-                for _ in range(high - low):
-                    yield np.frombuffer(file.read(size), index["dtype"])
+    while start < stop:
+        shard, record = divmod(start, width)
+        with store.open_input_file(f"{root}/{shard:08d}.bin") as file:
+            file.seek(record * size)
+            for _ in range(min(stop, (shard + 1) * width) - start):
+                yield np.frombuffer(file.read(size), index["dtype"])
+        start = min(stop, (shard + 1) * width)
