@@ -43,6 +43,18 @@ def chunk_text(name: str) -> str:
     return name if name[:1] == "\n" else " " + name
 
 
+#: ASCII punctuation: at a chunk's end it is one piece.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def chunk_pieces(name: str, find: Callable) -> list[str]:
+    """The chunk's pieces; ``find`` splits what isn't plainly a word."""
+    word = name.rstrip(_PUNCTUATION)
+    if word.isalpha():
+        return [" " + word, name[len(word) :]] if len(word) < len(name) else [" " + word]
+    return find(chunk_text(name))
+
+
 class Known(dict):
     """Values of short keys in two generations, each bounded in bytes: what is still in use outlives the older one.
 
@@ -67,6 +79,12 @@ class Known(dict):
             self[key] = value
             self.used += self.ENTRY + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
 
+    def keep_all(self, values: dict) -> None:
+        """:meth:`keep` for many; the values are bytes."""
+        short = {k: v for k, v in values.items() if len(k) <= self.KEY_CHARS}
+        self.update(short)
+        self.used += self.ENTRY * len(short) + 2 * sum(map(len, short)) + sum(map(len, short.values()))
+
     def recall(self, key):
         """The older generation's value, which is taken over; None if there is none."""
         if (value := self.older.get(key)) is not None:
@@ -74,12 +92,11 @@ class Known(dict):
         return value
 
     def unknown(self, keys: set) -> set:
-        """The keys without a value; those of the older generation are taken over."""
+        """The keys without a value (bytes); those of the older generation are taken over."""
         new, older = keys.difference(self), self.older
-        if older:
-            for key in [k for k in new if k in older]:
-                self.keep(key, older[key])
-                new.discard(key)
+        if older and (found := {k: older[k] for k in new if k in older}):
+            self.keep_all(found)
+            new.difference_update(found)
         return new
 
     def turn(self) -> None:

@@ -3,8 +3,8 @@
 Each task runs DuckDB inside its Python worker. Texts are cut by the split
 pattern; the distinct pieces of a step become rows of token positions, which a
 recursive query joins with the merge table: in every round each word contracts
-its leftmost pair of minimum rank, until no pair is left. Decoding joins token
-positions with the vocabulary and aggregates the bytes in order.
+its leftmost pair of minimum rank, until no pair is left. Decoding looks token
+positions up in the vocabulary and aggregates the bytes in order.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import binary_array, text_steps
-from talkloom.llm._split import PATTERN, Known, chunk_text, chunks, parts
+from talkloom.llm._split import PATTERN, Known, chunk_pieces, chunks, parts
 
 #: Bytes of the words of one recursive query; DuckDB's memory in a worker.
 QUERY_BYTES = 1 << 19
 MEMORY = "320MB"
 #: Megabytes of a generation of known chunks, and of known pieces.
-CHUNK_MB, PIECE_MB = 96, 32
+CHUNK_MB, PIECE_MB = 80, 28
 #: Characters of a step; a recursive query costs the same whether its words are few or many.
 STEP_CHARS = 2_000_000
 #: Words of more bytes are encoded in blocks of ``BLOCK`` bytes, whose seams are then mended; a mended
@@ -72,9 +73,10 @@ WITH RECURSIVE s(w, toks) USING KEY (w) AS (
 SELECT w, toks FROM s
 """
 
+# ``vocabulary`` is one row: the tokens' bytes, in hex, at their ids.
 _DECODE = """
-SELECT d, string_agg(x, '' ORDER BY i) AS x
-FROM (SELECT d, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM docs) JOIN vocabulary USING (id) GROUP BY d
+SELECT d, string_agg(tokens[id + 1], '' ORDER BY i) AS x
+FROM (SELECT d, unnest(ids) AS id, unnest(range(len(ids))::INTEGER[]) AS i FROM docs), vocabulary GROUP BY d
 """
 
 
@@ -84,6 +86,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _numbers(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class Codec:
     """A rank file's merge table and vocabulary in a worker's DuckDB."""
 
@@ -108,23 +114,30 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT l * 65536 + r AS k, m FROM found")
         # merged tokens that are part of a pair of lower rank than their own
         self.con.execute("CREATE TABLE unsafe AS SELECT DISTINCT x AS m FROM (SELECT l AS x, m FROM found UNION ALL SELECT r, m FROM found) WHERE m <= x")
-        self.con.register("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "x": pa.array([t.hex() for t in ranks])}))
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
+        tokens = [self.token.get(rank, b"").hex() for rank in range(max(self.token) + 1)]
+        self.con.register("all_tokens", pa.table({"tokens": pa.array([tokens])}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM all_tokens")
 
-    def _contract(self, words: list[bytes], query: str) -> list[list[int]]:
+    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.fromiter(map(len, words), np.int32, len(words))
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         self.con.register("words", pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "toks": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}))
-        out: list[list[int]] = [[]] * len(words)
-        for w, toks in self.con.execute(query).fetchall():
-            out[w] = toks
+        found = self.con.sql(query).to_arrow_table().combine_chunks()
         self.con.unregister("words")
+        toks = found.column("toks").combine_chunks()
+        raw = toks.flatten().to_numpy().astype("<u4").tobytes()
+        ends = 4 * np.cumsum(pa.compute.list_value_length(toks).to_numpy())
+        out, start = [b""] * len(words), 0
+        for w, end in zip(found.column("w").to_pylist(), ends.tolist(), strict=True):
+            out[w] = raw[start:end]
+            start = end
         return out
 
-    def _direct(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words by the recursive query; a word that is a token is that token."""
-        out = {w: [r] for w in words if (r := self.ranks.get(w)) is not None}
+    def _direct(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (little-endian unsigned 32-bit) of distinct words by the recursive query; a word that is a token is that token."""
+        ranks = self.ranks
+        out = {w: r.to_bytes(4, "little") for w in words if (r := ranks.get(w)) is not None}
         rest = [w for w in words if w not in out and w]
         for query, part in ((_SHORT, [w for w in rest if len(w) <= LONG_WORD]), (_LONG, [w for w in rest if len(w) > LONG_WORD])):
             start = size = 0
@@ -135,7 +148,7 @@ class Codec:
                 size += len(w or b"")
         return out
 
-    def _in_blocks(self, words: list[bytes]) -> dict[bytes, list[int]]:
+    def _in_blocks(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of long words, in time proportional to their length.
 
         A sequence of tokens is a word's encoding if each two neighbours are
@@ -147,14 +160,14 @@ class Codec:
         known = self._direct(list({b for bs in cut for b in bs}))
         state = []  # per word: its tokens, and the seams to look at
         for blocks in cut:
-            ids = [known[b] for b in blocks]
+            ids = [_numbers(known[b]) for b in blocks]
             state.append(([t for i in ids for t in i], np.cumsum([len(i) for i in ids])[:-1].tolist()))
         reach, open_ = SEAM, list(range(len(words)))
         while open_:
             text = lambda toks: b"".join([self.token[t] for t in toks])
             pairs = {(toks[s - 1], toks[s]) for w in open_ for toks, seams in [state[w]] for s in seams}
             joined = self._direct(list({text(p) for p in pairs}))
-            wrong = {p for p in pairs if joined[text(p)] != list(p)}
+            wrong = {p for p in pairs if _numbers(joined[text(p)]) != list(p)}
             spans = {}
             for w in open_:
                 toks, seams = state[w]
@@ -173,19 +186,20 @@ class Codec:
                 toks, out, seams, at = state[w][0], [], [], 0
                 for low, high, x in found:
                     out += toks[at:low]
-                    edges = [len(out), len(out) + len(mended[x])]
-                    out += mended[x]
+                    new = _numbers(mended[x])
+                    edges = [len(out), len(out) + len(new)]
+                    out += new
                     seams += [e for e, inside in zip(edges, (low > 0, high < len(toks)), strict=True) if inside]
                     at = high
                 state[w] = out + toks[at:], seams
             open_, reach = list(spans), 2 * reach
-        return {w: toks for w, (toks, _) in zip(words, state, strict=True)}
+        return {w: np.array(toks, "<u4").tobytes() for w, (toks, _) in zip(words, state, strict=True)}
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids (little-endian unsigned 32-bit) of distinct words."""
         out = self._direct([w for w in words if len(w) <= LONG_WORD])
         out.update(self._in_blocks([w for w in words if len(w) > LONG_WORD]))
-        return {w: np.array(ids, "<u4").tobytes() for w, ids in out.items()}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each whole text's ids."""
@@ -203,7 +217,7 @@ class Codec:
                     found.append((self.find(first), some))
                     names.update(some)
             cut.append(found)
-        split = {c: self.find(chunk_text(c)) for c in self.chunks.unknown(names)}
+        split = {c: chunk_pieces(c, self.find) for c in self.chunks.unknown(names)}
         every = {p for ps in split.values() for p in ps}
         every.update(p for found in cut for ps, _ in found for p in ps)
         words = {p.encode(): p for p in self.pieces.unknown(every)}
@@ -215,9 +229,8 @@ class Codec:
         self.chunks.find = chunk.__getitem__
         of_piece, of_chunk = self.pieces.__getitem__, self.chunks.__getitem__
         out = [b"".join([x for ps, some in found for x in (*map(of_piece, ps), *map(of_chunk, some))]) for found in cut]
-        for known, new in ((self.pieces, piece), (self.chunks, chunk)):
-            for key, i in new.items():
-                known.keep(key, i)
+        self.pieces.keep_all(piece)
+        self.chunks.keep_all(chunk)
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import text_steps
-from talkloom.llm._split import PATTERN, Known, chunk_text, chunks, parts
+from talkloom.llm._split import PATTERN, Known, chunk_pieces, chunks, parts
 
 #: Production parameters. Pieces of a window are placed from the longest on.
 SEQUENCE_TOKENS = 2048
@@ -74,8 +74,12 @@ class JsonTokenizer:
     def vocabulary_size(self) -> int:
         return self.whole.get_vocab_size()
 
+    def _model(self, piece: str) -> bytes:
+        shown = piece.replace(" ", self.space) if piece.isascii() and piece.strip().isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        ids = self._model(piece)
         self.pieces.keep(piece, ids)
         return ids
 
@@ -83,13 +87,15 @@ class JsonTokenizer:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def _chunk(self, name: str) -> bytes:
-        """Ids of a chunk by its name."""
-        if name.isascii() and name.isalpha():  # one piece, no need to split it
-            ids = array("I", [t.id for t in self.tokenize(self.space + name)]).tobytes()
-        elif name[-1:] in (".", ",") and (word := name[:-1]).isascii() and word.isalpha():
-            ids = self.known[word] + self.pieces[name[-1]]
+        """Ids of a chunk by its name; words are kept without what stands behind them, too."""
+        found = chunk_pieces(name, self.find)
+        word = found[0]
+        if len(found) == 1 and len(word) == len(name) + 1:
+            ids = self._model(word)
+        elif len(found) == 2 and len(word) > 1 and word[0] == " ":
+            ids = (self.known.get(word[1:]) or self._model(word)) + self.pieces[found[1]]
         else:
-            ids = self._ids(self.find(chunk_text(name)))
+            ids = self._ids(found)
         self.known.keep(name, ids)
         return ids
 
