@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from talkloom.llm.packing import END_ID, SEQUENCE_TOKENS, tokenizer
 from talkloom.session import discard, materialise, shared_dir
 
 #: Production parameters: sequences of a shard, at least and at most (a quarter of a gigabyte), and shards aimed at between.
-SHARD_LEAST, SHARD_MOST, SHARDS = 256, 65_536, 512
+SHARD_LEAST, SHARD_MOST, SHARDS = 256, 65_536, 128
 KEY = 0x5EED
 ROUNDS = 4
 #: Hash buckets that the running offsets are summed in, and bytes of tokens that a task cuts at a time.
@@ -92,7 +93,7 @@ def _tokens(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
     chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     made = chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, n bigint, ids binary")
     marked = made.withColumn("a", F.xxhash64("id", "ids")).withColumn("b", F.xxhash64(F.lit(5), "id", "ids"))
-    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(REST_LEVEL), "parquet.enable.dictionary": "false"}
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(REST_LEVEL), "parquet.enable.dictionary": "false", "parquet.page.size": str(4 << 20)}
     return materialise(marked, "tokens", **options)
 
 
@@ -138,7 +139,7 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
     n = -(-total // stride)
     width = shard_sequences or shard_size(n)
     names = ["id", "start", "length", "ids_crc32", "record", "offset"]
-    kinds = [id_type, "bigint", "bigint", "bigint", "bigint", "bigint"]
+    kinds = [id_type, "bigint", "int", "bigint", "int", "int"]
     flat = f"{', '.join(f'{c} {k}' for c, k in zip(names, kinds, strict=True))}, shard int"
     if not n:
         return _manifest(spark.createDataFrame([], flat), id_col, width), directory
@@ -189,7 +190,8 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         blocks = binary_array([squeeze(b"".join(parts[i:j])) for i, j in zip(where[:-1], where[1:], strict=True)])
         bounds = pa.array(where.astype(np.int32))
         ids = rows.column("id").combine_chunks().take(pa.array(row[by_shard]))
-        values = [ids, *(pa.array(v[by_shard]) for v in (start, length)), pa.array(crcs), *(pa.array(v[by_shard]) for v in (record, offset))]
+        narrow = lambda v: pa.array(v[by_shard].astype(np.int32))
+        values = [ids, pa.array(start[by_shard]), narrow(length), pa.array(crcs), narrow(record), narrow(offset)]
         yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), blocks, *(pa.ListArray.from_arrays(bounds, v) for v in values)], ["shard", "payload", *names])
 
     lists = ", ".join(f"{c} array<{k}>" for c, k in zip(names, kinds, strict=True))
@@ -217,19 +219,22 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
             store.move(f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
 
         for batch in batches:
-            lists = [batch.column(2 + k) for k in range(len(names))]
-            for i, shard in enumerate(batch.column(0).to_pylist()):
+            columns = [batch.column(2 + k).flatten() for k in range(len(names))]
+            counts = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            places = columns[4].to_numpy().astype(np.int64) * stride + columns[5].to_numpy()
+            spans, k = list(zip(places.tolist(), columns[2].to_pylist(), strict=True)), 0
+            for i, (shard, m) in enumerate(zip(batch.column(0).to_pylist(), counts.tolist(), strict=True)):
                 if shard != current:
                     finish()
                     current, filled = shard, 0
                     buffer = np.full(min(width, n - shard * width) * stride, end_id, dtype)
-                ids, start, length, crc, record, offset = (x.slice(i, 1).flatten() for x in lists)
                 tokens, at = np.frombuffer(expand(batch.column(1)[i].as_py()), dtype), 0
-                for place, m in zip((record.to_numpy() * stride + offset.to_numpy()).tolist(), length.to_pylist(), strict=True):
-                    buffer[place : place + m] = tokens[at : at + m]
-                    at += m
-                filled += at
-                yield pa.RecordBatch.from_arrays([ids, start, length, crc, record, offset, pa.array(np.full(len(ids), shard, np.int32))], [*names, "shard"])
+                for place, length in spans[k : k + m]:
+                    buffer[place : place + length] = tokens[at : at + length]
+                    at += length
+                filled, k = filled + at, k + m
+            shards = np.repeat(batch.column(0).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, pa.int32())], [*names, "shard"])
         finish()
 
     written = materialise(dealt.mapInArrow(write, flat), "manifest")
@@ -240,7 +245,8 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
 
 def _manifest(spans: DataFrame, id_col: str, width: int) -> DataFrame:
     slot = (F.col("shard") * F.lit(width).cast("long") + F.col("record")).alias("slot")
-    return spans.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", slot, "shard", "record", "offset")
+    wide = [F.col(c).cast("long").alias(c) for c in ("start", "length", "ids_crc32")]
+    return spans.select(F.col("id").alias(id_col), *wide, slot, "shard", F.col("record").cast("long").alias("record"), F.col("offset").cast("long").alias("offset"))
 
 
 def _write_index(directory: str, index: dict) -> None:

@@ -230,7 +230,7 @@ def test_ids_that_do_not_fit_raise(spark, edges):
         shards.write_shards(edges, JSON, dtype="<u1")
     with pytest.raises(ValueError, match="don't fit"):
         shards.write_shards(edges, JSON, dtype="<u2", end_id=70_000)
-    assert shards.shard_size(3) == 256 and shards.shard_size(167_000) == 512 and shards.shard_size(10**12) == 65_536
+    assert shards.shard_size(3) == 256 and shards.shard_size(167_000) == 2048 and shards.shard_size(10**12) == 65_536
 
 
 def test_shards_round_trip_and_resume(spark, edges, empty, clashing):
