@@ -38,18 +38,27 @@ RULES = (
     Rule("repeated_windows", 1, "100 * n_repeat_words > 50 * n_words"),
     Rule("symbol_heavy", 2, "10 * n_symbols > 4 * n_words"),
     Rule("duplicate_lines", 3, "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", 4, "word_chars > 25 * n_words"),
-    Rule("shouting", 5, "2 * n_shouts > n_words"),
+    Rule("long_words", 4, "word_chars > 15 * n_words"),
+    Rule("short_words", 5, "word_chars < 2 * n_words"),
+    Rule("few_letters", 6, "10 * n_letter_words < 6 * n_words"),
+    Rule("bullet_lines", 7, "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines"),
+    Rule("ellipsis_lines", 8, "n_lines >= 4 and 10 * n_ellipsis_lines > 3 * n_lines"),
 )
 BASE_MASK = 0b11
 
 #: Versioned policies: the failure bits that reject a document.
 POLICIES = {
     "base": BASE_MASK,
-    "v1": BASE_MASK | 0b001100,
+    "v1": BASE_MASK | 0b1100,
     "v2": BASE_MASK | 0b111100,
+    "v3": BASE_MASK | 0b111111100,
 }
-PRODUCTION_POLICY = "v2"
+PRODUCTION_POLICY = "v3"
+
+#: A word's first letter, a line that opens with a bullet, a line that ends in an ellipsis.
+FIRST_LETTER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
+BULLET = r"^[\x20\x09-\x0D]*[-*\x{2022}]"
+ELLIPSIS = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
 
 
 def _removed(text: Column, chars: str) -> Column:
@@ -84,11 +93,12 @@ def _covered_words() -> str:
 
 
 def measurements(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the struct column ``measured``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shouts.
+    """Add the struct column ``measured``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letter_words, n_bullet_lines, n_ellipsis_lines.
 
     A null text counts as one without words. A line counts if it holds a word;
-    it is a duplicate if it equals an earlier line byte for byte.
-    ``n_shouts`` counts words that end in two exclamation marks.
+    it is a duplicate if it equals an earlier line byte for byte. A letter word
+    holds a letter of any script; a bullet line opens with a hyphen, asterisk
+    or bullet, an ellipsis line ends in one.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
@@ -96,14 +106,18 @@ def measurements(docs: DataFrame, text_col: str = "text") -> DataFrame:
     measured = F.expr(
         "element_at(transform(array(filter(split({t}, '{sp}'), x -> x <> '')), w -> named_struct("
         "'n_words', cast(size(w) as bigint), "
-        "'n_repeat_words', {covered}, "
-        "'n_shouts', cast(size(filter(w, x -> endswith(x, '!!'))) as bigint))), 1)".format(
+        "'n_repeat_words', {covered})), 1)".format(
             t="_text", sp=SPACE_CLASS.replace("\\", "\\\\"), covered=_covered_words()
         )
     )
     line_stats = F.transform(
         F.array(lines),
-        lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
+        lambda x: F.struct(
+            F.size(x).cast("long").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(x, lambda y: y.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+            F.size(F.filter(x, lambda y: y.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
+        ),
     )[0]
     out = docs.withColumn("_text", text).withColumn("_by_word", measured).withColumn("_by_line", line_stats)
     return out.withColumn(
@@ -115,7 +129,9 @@ def measurements(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.col("_by_line.n_lines").alias("n_lines"),
             F.col("_by_line.n_dup_lines").alias("n_dup_lines"),
             F.col("_by_word.n_repeat_words").alias("n_repeat_words"),
-            F.col("_by_word.n_shouts").alias("n_shouts"),
+            F.regexp_count("_text", F.lit(FIRST_LETTER)).cast("long").alias("n_letter_words"),
+            F.col("_by_line.n_bullet_lines").alias("n_bullet_lines"),
+            F.col("_by_line.n_ellipsis_lines").alias("n_ellipsis_lines"),
         ),
     ).drop("_text", "_by_word", "_by_line")
 
@@ -125,19 +141,25 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Repeated ids are kept as rows of their own; an empty table gives an empty ledger.
     """
-    measured = measurements(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))).select(F.col(f"`{id_col}`"), "measured.*")
+    measured = measurements(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text")))
+    return measured.select(F.col(f"`{id_col}`"), "measured.*").withColumn("failed_bits", _failed_bits())
+
+
+def _failed_bits() -> Column:
+    """Every rule's bit, over the measurements' columns."""
     bits = F.lit(0)
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(1 << rule.bit)).otherwise(F.lit(0)))
-    return measured.withColumn("failed_bits", bits)
+    return bits
+
+
+def _kept(policy: str) -> Column:
+    return F.col("failed_bits").bitwiseAND(POLICIES[policy] | BASE_MASK) == 0
 
 
 def apply_policy(ledger_df: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
     """Add ``base_failed`` and ``kept`` under the policy's mask; the texts are not read."""
-    mask = POLICIES[policy]
-    return ledger_df.withColumn("base_failed", F.col("failed_bits").bitwiseAND(BASE_MASK) != 0).withColumn(
-        "kept", F.col("failed_bits").bitwiseAND(mask | BASE_MASK) == 0
-    )
+    return ledger_df.withColumn("base_failed", F.col("failed_bits").bitwiseAND(BASE_MASK) != 0).withColumn("kept", _kept(policy))
 
 
 def ablation(ledger_df: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
@@ -165,12 +187,8 @@ def ablation(ledger_df: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame
 
 
 def reject_documents(docs: DataFrame, policy: str = PRODUCTION_POLICY, text_col: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with their columns unchanged; one narrow pass, no shuffle."""
+    """The documents that the policy keeps by their ledger's bits, with their columns unchanged; one narrow pass, no shuffle."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = measurements(docs.select(F.struct(*columns).alias("_row"), F.col(f"`{text_col}`").alias("text")))
-    passed = F.lit(True)
-    for rule in RULES:
-        if (POLICIES[policy] | BASE_MASK) >> rule.bit & 1:
-            passed = passed & ~F.expr(rule.failed)
-    kept = out.select("_row", "measured.*").where(passed)
+    kept = out.select("_row", "measured.*").withColumn("failed_bits", _failed_bits()).where(_kept(policy))
     return kept.select([F.col("_row")[c].alias(c) for c in docs.columns])
