@@ -4,9 +4,11 @@ Pages are grouped by host. For each line, the pages of the host that contain it
 are divided by the host's page total; lines whose ratio exceeds the boilerplate
 ratio are dropped from every page of that host. Only DataFrame functions run.
 
-Lines travel as 128-bit fingerprints, never as text. Counts are combined before
-each shuffle, and the joins are on (host, line) or on the page id, where the
-optimiser can split large keys; no group is gathered in one task.
+Lines travel as 128-bit fingerprints, never as text. Equal pages of a host are
+one row with a count before anything is exploded or joined, counts are combined
+before each shuffle, and the joins are on (host, line) or (host, text), so a
+large host or a group of copies is never gathered. A page brings with it only
+the fingerprints of its own lines.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 from talkloom.session import materialise
 
 #: Production parameters: a line is boilerplate in more than 1 % of a host's
-#: pages, in 3 pages at least.
+#: pages, in 3 pages at least; whole copies of a page are left to near-dedup.
 RATIO = 0.01
 MIN_PAGES = 3
+SPARE = "copies"
+SPARED = ("none", "copies", "all")
 
 
 def _lines(text: Column) -> Column:
@@ -38,68 +42,82 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, a, b, n_pages, n_host_pages`` of each line (as fingerprint) that exceeds the ratio.
+def _pages(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """``host, ta, tb`` (the text's fingerprint) ``, n`` (rows) ``, lines`` (distinct fingerprints of its lines with a word) per distinct page."""
+    rows = docs.select(_host(host).alias("host"), F.col(f"`{text}`").alias("text"))
+    lines = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_word), _fingerprint))
+    marked = rows.select("host", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(7), "text").alias("tb"), lines.alias("lines"))
+    return materialise(marked.groupBy("host", "ta", "tb").agg(F.count(F.lit(1)).alias("n"), F.first("lines").alias("lines")), "pages")
+
+
+def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, a, b`` of each line (as fingerprint) in more than ``ratio`` of its host's pages and in ``min_pages`` at least.
 
     A page counts once per line however often it repeats the line. Lines
     without a word are never boilerplate. A null host is a host of its own;
-    rows that repeat a page id are counted as pages of their own.
+    rows that repeat a page are counted as pages of their own.
     """
-    pages = docs.select(_host(host).alias("host"), F.col(f"`{text}`").alias("text"))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_host_pages"))
-    seen = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_word), _fingerprint))).alias("f"))
-    counts = seen.groupBy("host", F.col("f.a").alias("a"), F.col("f.b").alias("b")).agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    return counts.join(totals, "host").where(F.col("n_pages") > ratio * F.col("n_host_pages"))
+    totals = pages.groupBy("host").agg(F.sum("n").alias("n_host_pages"))
+    counts = pages.select("host", "n", F.explode("lines").alias("f")).groupBy("host", F.col("f.a").alias("a"), F.col("f.b").alias("b")).agg(F.sum("n").alias("n_pages"))
+    return counts.where(F.col("n_pages") >= min_pages).join(totals, "host").where(F.col("n_pages") > ratio * F.col("n_host_pages")).select("host", "a", "b")
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare: str = SPARE) -> DataFrame:
     """The input's columns (but any of the two added names) with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped_lines``.
 
     The other lines keep their order and are joined by one line feed again, so
     a text without boilerplate comes back byte for byte. A null text stays
-    null. A page made of nothing but boilerplate lines is a copy of a page, not
-    a page with boilerplate around it: it stays whole, for the near-duplicate
-    stage to decide on. An empty table gives an empty result.
+    null. An empty table gives an empty result.
+
+    ``spare`` says what becomes of pages made of nothing but boilerplate lines:
+    ``none`` drops their lines as the rule has it; ``copies`` leaves those
+    whole whose text another page of the host has too, for the near-duplicate
+    stage to decide on (else no page of a large group of copies would keep its
+    text); ``all`` leaves all of them. ``min_pages=1, spare="none"`` is the
+    plain rule, under which hosts with few pages lose every line.
     """
-    cut = _cut(docs, host, text, ratio, min_pages)
+    cut = _cut(docs, host, text, ratio, min_pages, spare)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped_lines")]
     columns = [F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
     return cut.select(*columns, F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped_lines"))
 
 
-def _cut(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def _dropped(pages: DataFrame, ratio: float, min_pages: int, spare: str) -> DataFrame:
+    """``host, ta, tb, drop``: the fingerprints of the lines to drop, of the pages that have any."""
+    if spare not in SPARED:
+        raise ValueError(f"spare is one of {SPARED}")
+    found = materialise(boilerplate_lines(pages, ratio, min_pages), "lines")
+    lines = pages.select("host", "ta", "tb", "n", F.size("lines").alias("of"), F.explode("lines").alias("f")).select("*", F.col("f.a").alias("a"), F.col("f.b").alias("b"))
+    # a group is one page's own lines
+    hits = lines.join(found, ["host", "a", "b"], "left_semi").groupBy("host", "ta", "tb").agg(F.collect_list("f").alias("drop"), F.first("of").alias("of"), F.first("n").alias("n"))
+    whole = F.size("drop") == F.col("of")
+    spared = {"none": F.lit(False), "copies": whole & (F.col("n") > 1), "all": whole}[spare]
+    return materialise(hits.where(~spared).select("host", "ta", "tb", "drop"), "drop")
+
+
+def _cut(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, spare: str) -> DataFrame:
     """``_row`` (the input row), ``_new`` (its text without boilerplate), ``_lines``, ``_gone``."""
-    found = materialise(boilerplate_lines(docs, host, text, ratio, min_pages).select("host", "a", "b"), "lines")
-    names = docs.columns
-    # Per host the lines to drop: at most (mean distinct lines of a page) / ratio of them.
-    # Spark broadcasts them only if the files just written are below its threshold; else
-    # the sort-merge join on host splits a large host's pages over several tasks.
-    drop = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"), _host(host).alias("host"))
-    joined = keyed.join(drop, "host", "left")
+    drop = _dropped(_pages(docs, host, text), ratio, min_pages, spare)
+    body = F.col(f"`{text}`")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _host(host).alias("host"), F.xxhash64(body).alias("ta"), F.xxhash64(F.lit(7), body).alias("tb"))
+    joined = keyed.join(drop, ["host", "ta", "tb"], "left").withColumn("_text", F.col("_row")[text])
     cut = F.transform(
         F.array(_lines(F.col("_text"))),
         lambda lines: F.transform(
-            F.array(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _fingerprint(x)))),
-            lambda kept: F.struct(
-                F.size(lines).cast("long").alias("n"),
-                (F.size(lines) - F.size(kept)).cast("long").alias("gone"),
-                F.array_join(kept, "\n").alias("text"),
-                F.exists(kept, _has_word).alias("left"),
-            ),
+            F.array(F.filter(lines, lambda x: ~F.array_contains(F.col("drop"), _fingerprint(x)))),
+            lambda kept: F.struct((F.size(lines) - F.size(kept)).cast("long").alias("gone"), F.array_join(kept, "\n").alias("text")),
         )[0],
     )[0]
-    done = joined.withColumn("_cut", F.when(F.col("_drop").isNotNull() & F.col("_text").isNotNull(), cut))
-    applied = F.coalesce(F.col("_cut.left") & (F.col("_cut.gone") > 0), F.lit(False))
+    done = joined.withColumn("_cut", F.when(F.col("drop").isNotNull() & F.col("_text").isNotNull(), cut))
     return done.select(
         "_row",
-        F.when(applied, F.col("_cut.text")).otherwise(F.col("_text")).alias("_new"),
-        F.coalesce(F.col("_cut.n"), F.size(_lines(F.col("_text"))).cast("long")).alias("_lines"),
-        F.when(applied, F.col("_cut.gone")).otherwise(F.lit(0).cast("long")).alias("_gone"),
-    )
+        F.coalesce(F.col("_cut.text"), F.col("_text")).alias("_new"),
+        (F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).cast("long").alias("_lines"),
+        F.coalesce(F.col("_cut.gone"), F.lit(0).cast("long")).alias("_gone"),
+    ).withColumn("_lines", F.coalesce("_lines", F.lit(1).cast("long")))
 
 
-def strip_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", length_col: str | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", length_col: str | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES, spare: str = SPARE) -> DataFrame:
     """As :func:`dedup_lines`, with the input's columns only; ``length_col`` follows a text that was cut (a pipeline stage)."""
 
     def value(c: str):
@@ -109,4 +127,4 @@ def strip_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
             return F.when(F.col("_gone") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c])
         return F.col("_row")[c]
 
-    return _cut(docs, host, text, ratio, min_pages).select([value(c).alias(c) for c in docs.columns])
+    return _cut(docs, host, text, ratio, min_pages, spare).select([value(c).alias(c) for c in docs.columns])

@@ -60,7 +60,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log weight, sampling key, and whether it is in the sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key", "kept")
+    return quality.scores(docs, table(spark, sf_dir, "labels"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op8_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS ls, count(*) OVER (PARTITION BY source, text) AS n_same FROM documents
 ), seen AS (
   SELECT source, unnest(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM lines
 ), totals AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
@@ -107,10 +107,10 @@ boilerplate AS (
   GROUP BY s.source, s.line, t.n HAVING count(*) >= 3 AND count(*) > 0.01 * t.n
 ), gone AS (SELECT source, list(line) AS gone FROM boilerplate GROUP BY 1),
 cut AS (
-  SELECT l.doc_id, l.text, l.ls, list_filter(l.ls, lambda x: NOT list_contains(coalesce(g.gone, []), x)) AS kept
+  SELECT l.doc_id, l.text, l.ls, l.n_same, list_filter(l.ls, lambda x: NOT list_contains(coalesce(g.gone, []), x)) AS kept
   FROM lines l LEFT JOIN gone g USING (source)
 ), judged AS (
-  SELECT *, len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0 AND len(kept) < len(ls) AS applied FROM cut
+  SELECT *, len(kept) < len(ls) AND (n_same = 1 OR len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0) AS applied FROM cut
 )
 SELECT doc_id, len(ls)::BIGINT AS n_lines,
   CASE WHEN applied THEN len(ls) - len(kept) ELSE 0 END::BIGINT AS n_dropped_lines,
@@ -135,16 +135,21 @@ WITH base AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: ends_with(x, '!!')))::BIGINT AS n_shouts
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_letter_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]')))::BIGINT AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines
   FROM words w LEFT JOIN covered c USING (doc_id)
 ), f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > 4 * n_words THEN 4 ELSE 0 END
     + CASE WHEN n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
-    + CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_shouts > n_words THEN 32 ELSE 0 END)::INTEGER AS failed_bits
+    + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_letter_words < 6 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines THEN 128 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines THEN 256 ELSE 0 END)::INTEGER AS failed_bits
   FROM m
 )
-SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits & 63 = 0 AS kept FROM f
+SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits & 511 = 0 AS kept FROM f
 """
 
 if corpus_pipeline.ORACLE_SQL:
