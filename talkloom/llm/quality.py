@@ -1,13 +1,17 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed n-grams are counted: one of the target (rows
-labelled good), one of all raw text. A document's log weight is the sum of its
-n-grams' log ratios, scaled to a fixed length; Gumbel noise keyed by the
-document turns the k largest keys into a sample without replacement in
-proportion to the weights.
-
-The raw model, the scores and the k-th key cover every document. Only the
-target model is fitted on a bounded sample of labelled rows.
+labelled good), one of all raw text. A document's log weight is the log of the
+ratio of the two models' probabilities of it, the sum of its n-grams' log
+ratios; Gumbel noise keyed by the document turns the k largest keys into a
+sample without replacement in proportion to the weights. Noise decides between
+documents whose weights are close, as short ones' are.
+
+``k`` is a count, or follows from a share of the documents: by default the
+upper end of the 95 % interval of the share of good ones among the labelled
+documents of the input. The raw model, the scores, the share and the k-th key
+cover every document. Only the target model is fitted on a bounded sample of
+labelled rows.
 """
 
 from __future__ import annotations
@@ -27,13 +31,9 @@ from talkloom.session import materialise
 #: Production parameters. The sample takes the labelled rows of smallest id hash.
 BUCKETS = 16_384
 TARGET_ROWS = 20_000
-#: n-grams that a document's mean log ratio is scaled to.
-SCALE = 200.0
-#: The sample reaches down from the median of the target's keys to MARGIN times
-#: the depth at which this share of them lies (few enough to outvote wrong labels).
-TARGET_RECALL = 0.98
-MARGIN = 3.0
 SEED = 17
+#: Of a normal distribution, for the interval of the share.
+Z = 1.959963984540054
 
 _U = np.uint64
 
@@ -52,14 +52,15 @@ def ngram_buckets(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate([mix(t.hashes), two]) % _U(buckets), np.concatenate([doc, doc[pair]])
 
 
-def target_rows(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """The ids labelled good."""
-    return labels.where(F.col(quality_col) == 1).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+def verdicts(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """``id_col, _good`` per labelled id; an id with contradicting labels is not good. Null ids and labels don't count."""
+    known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{quality_col}`").alias("_q")).dropna()
+    return known.groupBy(id_col).agg((F.min("_q") == 1).alias("_good"))
 
 
 def target_sample(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", rows: int = TARGET_ROWS) -> DataFrame:
     """At most ``rows`` ids labelled good, those of smallest hash."""
-    return target_rows(labels, id_col, quality_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return verdicts(labels, id_col, quality_col).where("_good").select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -98,15 +99,16 @@ def _sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def _double(x: int) -> float:
-    """The double that :func:`_sortable` made ``x`` of."""
-    return float(np.array([x if x >= 0 else x ^ 0x7FFFFFFFFFFFFFFF], np.int64).view(np.float64)[0])
+def gumbel(noise: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Standard Gumbel numbers drawn by longs (the ids' hashes)."""
+    u = (mix(noise.astype(np.int64).view(_U) + _U(seed * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) / 2**53
+    return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", scale: float = SCALE, seed: int = SEED) -> DataFrame:
+def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """``_row`` (the input row), ``log_weight`` (double) and ``sample_key`` (long, ordered as log weight plus Gumbel noise).
 
-    A text without tokens, empty or null, has weight 0, that of average text.
+    A text without tokens, empty or null, has log weight 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +116,8 @@ def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col
             for part, _ in text_steps(batch):
                 n = part.num_rows
                 bucket, doc = ngram_buckets(part.column(1), len(ratios))
-                total = np.bincount(doc, weights=ratios[bucket.astype(np.int64)], minlength=n)
-                count = np.bincount(doc, minlength=n)
-                weight = scale * total / np.maximum(count, 8)
-                u = (mix(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U) + _U(seed * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) / 2**53
-                key = weight - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
+                weight = np.bincount(doc, weights=ratios[bucket.astype(np.int64)], minlength=n).astype(np.float64)  # of no tokens: longs
+                key = weight + gumbel(part.column(0).to_numpy(zero_copy_only=False), seed)
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array(weight), pa.array(_sortable(key))], ["_row", "log_weight", "sample_key"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -140,45 +139,56 @@ def kth_largest(keys: DataFrame, k: int, column: str = "sample_key") -> int:
     return low
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, recall: float, k: int | None) -> DataFrame:
-    """:func:`scored` with ``kept``."""
+def share_of_good(keys: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> float | None:
+    """The upper end of the 95 % (Wilson) interval of the good share of labelled documents among ``keys``; None without any."""
+    n, good = keys.select(id_col).join(verdicts(labels, id_col), id_col).agg(F.count(F.lit(1)), F.count_if("_good")).first()
+    if not good:
+        return None
+    p = good / n
+    return min(1.0, (p + Z * Z / (2 * n) + Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n))
+
+
+def _cut(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float | None, k: int | None) -> tuple[np.ndarray, DataFrame, int | None]:
+    """The log ratios, the keys (``id_col, log_weight, sample_key`` per row), and the least key of the sample (None: everything is kept)."""
     sample = materialise(target_sample(labels, id_col), "target")
-    # the model sees one half of the sample; all other good rows, new to it as any document is, set the size
-    fitted = F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(2)) == 0
-    ratios = log_ratios(docs, sample.where(fitted), id_col, text_col)
+    ratios = log_ratios(docs, sample, id_col, text_col)
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    keys = materialise(scored(narrow, ratios, id_col, text_col).select(F.col("_row")[id_col].alias(id_col), "sample_key"), "keys")
+    keys = materialise(scored(narrow, ratios, id_col, text_col).select(F.col("_row")[id_col].alias(id_col), "log_weight", "sample_key"), "keys")
+    total = keys.count()
     if k is None:
-        held = target_rows(labels, id_col).join(F.broadcast(sample.where(fitted)), id_col, "left_anti")
-        of_target = keys.join(held, id_col, "left_semi")
-        n_target = of_target.count()
-        if not n_target:
-            cut = None
-        else:
-            low, middle = (_double(kth_largest(of_target, max(1, math.ceil(share * n_target)))) for share in (recall, 0.5))
-            floor = int(_sortable(np.array([middle - MARGIN * (middle - low)]))[0])
-            cut = kth_largest(keys, keys.where(F.col("sample_key") >= floor).count())
-    else:
-        total = keys.count()
-        cut = kth_largest(keys, min(k, total)) if total and k > 0 else None
-    out = scored(docs, ratios, id_col, text_col)
-    return out.withColumn("kept", F.lit(k is None or k > 0) if cut is None else F.col("sample_key") >= F.lit(cut))
-
-
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
+        share = share_of_good(keys, labels, id_col) if share is None else share
+        k = total if share is None else math.ceil(share * total)
+    if k >= total:
+        return ratios, keys, None
+    return ratios, keys, kth_largest(keys, k) if k > 0 else 2**63 - 1
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, k: int | None = None) -> DataFrame:
+    """``id_col, log_weight, sample_key, kept`` per row, as :func:`resample`, without a further pass over the texts."""
+    _, keys, least = _cut(docs, labels, id_col, text_col, share, k)
+    return keys.withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= F.lit(least))
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float | None, k: int | None) -> DataFrame:
+    """:func:`scored` with ``kept``: a row's key is found again rather than joined, which would shuffle the texts."""
+    ratios, _, least = _cut(docs, labels, id_col, text_col, share, k)
+    return scored(docs, ratios, id_col, text_col).withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= F.lit(least))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, k: int | None = None) -> DataFrame:
     """The input's columns (but any of the added names) with ``log_weight``, ``sample_key`` and ``kept`` (the k largest keys).
 
-    Without ``k`` it is the number of documents whose keys lie no deeper below
-    the median key of target rows than ``MARGIN`` times the depth that
-    ``recall`` of them reach; these are rows the model was not fitted on. Rows tied with the
-    k-th key are all kept. Without labelled good rows, or without documents,
-    everything is kept.
+    ``k`` rows are kept, or ``share`` of them (rounded up), or, with neither,
+    the share of good documents (:func:`share_of_good`). Rows tied with the
+    k-th key are all kept; rows that repeat an id and text tie. A text without
+    tokens, empty or null, has log weight 0. Without labelled good documents
+    everything is kept; an empty table gives an empty result.
     """
     added = ["log_weight", "sample_key", "kept"]
     names = [c for c in docs.columns if c.lower() not in added]
-    return _sampled(docs, labels, id_col, text_col, recall, k).select(*[F.col("_row")[c].alias(c) for c in names], *added)
+    return _sampled(docs, labels, id_col, text_col, share, k).select(*[F.col("_row")[c].alias(c) for c in names], *added)
 
 
-def reject_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, k: int | None = None) -> DataFrame:
+def reject_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, k: int | None = None) -> DataFrame:
     """The documents that :func:`resample` keeps, with their columns (a pipeline stage)."""
-    return _sampled(docs, labels, id_col, text_col, recall, k).where("kept").select([F.col("_row")[c].alias(c) for c in docs.columns])
+    return _sampled(docs, labels, id_col, text_col, share, k).where("kept").select([F.col("_row")[c].alias(c) for c in docs.columns])

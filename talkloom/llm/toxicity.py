@@ -44,7 +44,7 @@ _LEET = _LOWER.copy()
 for _sign, _letter in zip("0134578@$", "oieastbas", strict=True):
     _LEET[ord(_sign)] = _LOWER[ord(_letter)]
 _WORD = (~_SPACE).astype(np.uint8)
-FEATURES = ["lexicon", "words", "beginnings", "leet", "distinct", "near", "hits", "share_second", "capitals", "shouted", "exclaims", "punctuation", "mixed", "length", "longest_gap"]
+FEATURES = ["lexicon", "words", "beginnings", "leet", "distinct", "near", "hits", "share_second", "capitals", "shouted", "exclaims", "punctuation", "mixed", "length", "last_hit"]
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -120,9 +120,9 @@ def features(column: pa.Array, words: np.ndarray, beginnings: np.ndarray) -> np.
     caps = np.concatenate([[0], np.cumsum((plain.buffer >= 65) & (plain.buffer <= 90))])
     shouted = (caps[plain.ends] - caps[plain.starts] == plain.ends - plain.starts) & (plain.ends - plain.starts > 1)
     n_hits = count(plain.doc[hits])
-    spread = np.zeros(n)
+    last = np.zeros(n)  # how far into the text the last hit is
     if len(hits):
-        np.maximum.at(spread, plain.doc[hits], (hits - plain.first[plain.doc[hits]]) / total[plain.doc[hits]])
+        np.maximum.at(last, plain.doc[hits], (hits - plain.first[plain.doc[hits]]) / total[plain.doc[hits]])
     return np.stack(
         [
             count(plain.doc, fixed) / total,
@@ -139,7 +139,7 @@ def features(column: pa.Array, words: np.ndarray, beginnings: np.ndarray) -> np.
             count(doc_of, (~_PLAIN[buffer]).astype(float)) / size,
             count(plain.doc, mixed) / total,
             np.log1p(count(plain.doc)),
-            spread,
+            last,
         ],
         axis=1,
     )
@@ -163,7 +163,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id, text, toxic`` of at most ``rows`` labelled rows outside the held-out fold, written to the shared folder."""
+    """``id, text, toxic`` of at most ``rows`` labelled rows outside the held-out fold, written to the shared folder.
+
+    An id with contradicting labels counts as toxic; null ids and labels don't count.
+    """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     sample = usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

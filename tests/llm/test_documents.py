@@ -24,21 +24,27 @@ def brute_rules(text):
     windows = Counter(zip(w, w[1:], w[2:], strict=False))
     covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    bullets, ellipses = sum(x.strip(" \t\n\x0b\x0c\r")[0] in "-*\u2022" for x in lines), sum(x.strip(" \t\n\x0b\x0c\r").endswith(("...", "\u2026")) for x in lines)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), letters, bullets, ellipses
 
 
 def test_rules_are_brute_force(spark, edges, empty, clashing):
     r = random.Random(3)
     texts = [" ".join(r.choice("abcd") + r.choice(["", "", "#", "\n"]) for _ in range(n)) for n in (2, 3, 4, 60, 200)]
+    texts += ["- a b\n * c\n\u2022d\nx - y\n-\n" * 9, "so...\nand\u2026 \n...\nmore... no\n" * 9, "12 34. a1 1a !! \u4f60 \u00e9" * 20, "-- 1 2"]
     more = spark.createDataFrame([(200 + i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     docs = edges.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(more)
     want = {d.doc_id: brute_rules(d.text) for d in docs.collect()}
     for row in rules.apply_policy(rules.ledger(docs)).collect():
-        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == want[row.doc_id]
-        n, _, _, _, repeated = want[row.doc_id]
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.n_letter_words, row.n_bullet_lines, row.n_ellipsis_lines) == want[row.doc_id]
+        n, repeated = want[row.doc_id][0], want[row.doc_id][4]
         assert row.base_failed == (n < 50 or 100 * repeated > 50 * n) and not (row.kept and row.base_failed)
     assert rules.ledger(empty).count() == 0 and rules.reject_documents(empty).count() == 0
     assert rules.reject_documents(clashing).columns == clashing.columns
+    for policy in rules.POLICIES:
+        kept = {r.doc_id for r in rules.apply_policy(rules.ledger(docs), policy).where("kept").collect()}
+        assert {r.doc_id for r in rules.reject_documents(docs, policy).collect()} == kept
     assert rules.ledger(edges).count() == edges.count()
 
 
@@ -64,7 +70,11 @@ def test_lines(spark, edges, empty, clashing):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = {r.doc_id: r for r in linededup.dedup_lines(docs, ratio=0.5).collect()}
     assert out[3].text == "body 3\n" and out[3].n_dropped_lines == 2 and out[3].n_lines == 4
-    assert out[20].text == "menu" and out[21].text == "menu\nx" and out[22].text is None and out[23].text == ""
+    assert out[20].text == "" and out[21].text == "menu\nx" and out[22].text is None and out[23].text == ""
+    whole = {r.doc_id: r for r in linededup.dedup_lines(docs, ratio=0.5, spare="all").collect()}
+    assert whole[20].text == "menu" and whole[20].n_dropped_lines == 0 and whole[3] == out[3]
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs, spare="some")
     # nothing reaches three pages of a host here: texts come back byte for byte
     same = linededup.strip_boilerplate(edges, ratio=0.99)
     key = lambda r: repr(tuple(r))
@@ -73,6 +83,34 @@ def test_lines(spark, edges, empty, clashing):
     assert linededup.strip_boilerplate(clashing).columns == clashing.columns and linededup.dedup_lines(clashing).count() == 2
 
 
+def brute_lines(rows, ratio, min_pages, spare):
+    pages, hosts = defaultdict(int), Counter(h for _, h, _ in rows)
+    lines = {(h, t): {x for x in (t or "").split("\n") if WORD.search(x)} for _, h, t in rows}
+    same = Counter((h, t) for _, h, t in rows)
+    for _, h, t in rows:
+        for x in lines[h, t]:
+            pages[h, x] += 1
+    gone = {k for k, n in pages.items() if n >= min_pages and n > ratio * hosts[k[0]]}
+    out = {}
+    for i, h, t in rows:
+        whole = bool(lines[h, t]) and all((h, x) in gone for x in lines[h, t])
+        spared = whole and (spare == "all" or spare == "copies" and same[h, t] > 1)
+        kept = [x for x in (t or "").split("\n") if spared or (h, x) not in gone]
+        out[i] = (len((t or "").split("\n")), len((t or "").split("\n")) - len(kept), None if t is None else "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("ratio, min_pages, spare", [(0.05, 1, "none"), (0.2, 1, "copies"), (0.1, 3, "all"), (0.5, 2, "none")])
+def test_lines_are_brute_force(spark, ratio, min_pages, spare):
+    r = random.Random(7)
+    pool = ["menu", "footer", "Share this", "", "  ", *[prose(i, 5) for i in range(30)]]
+    rows = [(i, r.choice(["a", "b", None]), "\n".join(r.choice(pool[: r.choice([3, 8, 35])]) for _ in range(r.randrange(1, 7)))) for i in range(150)]
+    rows += [(200 + i, "a", "menu\nfooter") for i in range(60)] + [(300, "a", None), (301, "c", "only")]
+    docs = spark.createDataFrame([(i, t, "en", h, 0) for i, h, t in rows], SCHEMA)
+    got = {x.doc_id: (x.n_lines, x.n_dropped_lines, x.text) for x in linededup.dedup_lines(docs, ratio=ratio, min_pages=min_pages, spare=spare).collect()}
+    assert got == brute_lines(rows, ratio, min_pages, spare)
+
+
 def shingle_set(text, size):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
@@ -166,6 +204,22 @@ def test_recall_holds_at_every_depth():
         assert len({i for _, i in found[0] & found[1]}) == 100
 
 
+def test_near_misses_of_one_text_in_several_blocks(spark):
+    """Some 600 texts near one template, about the threshold, more than two blocks: every row as brute force has it."""
+    r = random.Random(21)
+    base = prose(77, 120).split(" ")
+    rows = []
+    for i in range(600):
+        text = list(base)
+        for at in r.sample(range(len(base)), r.choice([1, 2, 3, 3, 4, 5])):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(docs, 3, 0.85).collect()}
+    want = brute_components(rows, 3, 85)
+    assert got == want and 3 < len({c for _, c, _ in want.values()}) < 600
+
+
 def test_near_duplicates_edges(spark, edges, empty, clashing):
     assert neardup.near_duplicates(empty).count() == 0
     rows = neardup.near_duplicates(edges).collect()
@@ -205,26 +259,68 @@ def labelled(spark):
 def test_quality(spark, edges, empty, clashing):
     docs, labels = labelled(spark)
     kept = {r.doc_id: r.kept for r in quality.resample(docs, labels).collect()}
-    assert not any(kept[i] for i in range(500, 530)) and sum(kept[i] for i in range(120)) >= 116
+    assert sum(kept[i] for i in range(500, 530)) <= 12 and sum(kept[i] for i in range(120)) >= 118
     assert quality.resample(docs, labels, k=50).where("kept").count() == 50
+    assert quality.resample(docs, labels, share=0.5).where("kept").count() == 105
+    assert quality.resample(docs, labels, k=0).where("kept").count() == 0
     none = labels.limit(0)
     assert quality.resample(docs, none).where("kept").count() == docs.count()
     assert quality.resample(empty, labels).count() == 0
     assert quality.resample(edges, labels).count() == edges.count()
     assert quality.reject_documents(clashing, none).columns == clashing.columns
+    key = lambda r: (r.doc_id, r.log_weight, r.sample_key, r.kept)
+    assert sorted(map(key, quality.scores(docs, labels).collect())) == sorted(map(key, quality.resample(docs, labels).collect()))
+    again = docs.unionByName(docs.where("doc_id in (1, 500)"))  # repeated rows tie
+    rows = quality.scores(again, labels).where("doc_id in (1, 500)").collect()
+    assert len(rows) == 4 and len({(r.doc_id, r.sample_key, r.kept) for r in rows}) == 2
+
+
+def test_contradicting_labels_are_not_good(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    assert {r.doc_id: r._good for r in quality.verdicts(rows).collect()} == {1: False, 2: True, 3: False}
 
 
-def test_all_held_out_good_rows_set_the_size(spark, monkeypatch):
+def test_quality_is_brute_force(spark):
+    """Counts, log ratios, weights, Gumbel keys, the share and the choice, recomputed in plain loops."""
+    import pyarrow as pa
+
     docs, labels = labelled(spark)
-    small = quality.target_sample(labels, rows=24).collect()
-    monkeypatch.setattr(quality, "MARGIN", 0.0)  # the median itself
-    monkeypatch.setattr(quality, "target_sample", lambda labels, id_col: spark.createDataFrame(small, "doc_id long"))
-    fitted = {r.doc_id for r in spark.createDataFrame(small, "doc_id long").where("pmod(xxhash64(doc_id, 'fit'), 2) = 0").collect()}
-    rows = quality.resample(docs, labels).collect()
-    held = {r.doc_id for r in labels.where("quality = 1").collect()} - fitted
-    keys = sorted((quality._double(r.sample_key) for r in rows if r.doc_id in held), reverse=True)
-    low, middle = (keys[max(1, math.ceil(share * len(keys))) - 1] for share in (quality.TARGET_RECALL, 0.5))
-    assert len(held) > 100 and {r.doc_id for r in rows if r.kept} == {r.doc_id for r in rows if quality._double(r.sample_key) >= middle - quality.MARGIN * (middle - low)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    verdict = {r.doc_id: r.quality for r in labels.collect()}
+
+    def grams(text):
+        words = re.findall(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]+", text)
+        found = [int(quality.ngram_buckets(pa.array([w]))[0][0]) for w in words]
+        return found + [int(quality.ngram_buckets(pa.array([f"{a} {b}"]))[0][2]) for a, b in zip(words, words[1:], strict=False)]
+
+    of = {i: grams(t) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, found in of.items():
+        raw.update(found)
+        if verdict.get(i) == 1:
+            target.update(found)
+    n = quality.BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / (target.total() + n)) - math.log((raw[g] + 1) / (raw.total() + n))
+    weight = {i: sum(map(ratio, found)) for i, found in of.items()}
+    noise = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    key = {i: weight[i] + float(quality.gumbel(np.array([noise[i]]))[0]) for i in texts}
+    good, of_labelled = sum(verdict[i] for i in texts if i in verdict), sum(i in verdict for i in texts)
+    p, m, z = good / of_labelled, of_labelled, quality.Z
+    upper = (p + z * z / (2 * m) + z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    kept = sorted(key, key=key.get, reverse=True)[: math.ceil(upper * len(key))]
+    rows = quality.scores(docs, labels).collect()
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-6 for r in rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: -r.sample_key)] == sorted(key, key=key.get, reverse=True)
+    assert {r.doc_id for r in rows if r.kept} == set(kept)
+
+
+def test_gumbel_noise_decides_between_like_weights():
+    draws = quality.gumbel(np.arange(200_000) * 7919)
+    assert abs(draws.mean() - 0.5772) < 0.02 and abs(draws.std() - math.pi / math.sqrt(6)) < 0.02
+    # two groups with weights log 3 and 0: the larger keys hold them three to one at first
+    keys = np.concatenate([draws[:100_000] + math.log(3), draws[100_000:]])
+    first = np.argsort(-keys)[:2000] < 100_000
+    assert abs(first.mean() - 0.75) < 0.04
 
 
 def test_kth_largest(spark):
@@ -250,6 +346,81 @@ def test_toxicity(spark, edges, empty, clashing):
     assert toxicity.toxicity(clashing, labels.limit(0)).collect()[0].score == 0
 
 
+def brute_features(text, words, beginnings):
+    """The dense features in plain Python, for ASCII texts."""
+    strip = lambda x, keep="": "".join(c for c in x if c.isalnum() or c in keep)
+    leet_of = str.maketrans("0134578@$", "oieastbas")
+    plain = [w for w in (strip(x) for x in text.split()) if w]
+    leet = [w for w in (strip(x, "@$").lower().translate(leet_of) for x in text.split()) if w]
+    low = [w.lower() for w in plain]
+    fixed, learned = [w in toxicity.INSULTS for w in low], [w in words for w in low]
+    begins = [any(len(w) > len(b) and w.startswith(b) for b in beginnings) for w in low]
+    hit = [i for i in range(len(low)) if fixed[i] or learned[i] or begins[i]]
+    second = [w in toxicity.SECOND for w in low]
+    near = [any(second[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i in hit]
+    n, size = max(len(low), 1), max(len(text), 1)
+    letters = max(sum(c.isalpha() for c in text), 1)
+    return [
+        sum(fixed) / n, sum(learned) / n, sum(begins) / n,
+        max(sum(w in toxicity.INSULTS or w in words for w in leet) - sum(a or b for a, b in zip(fixed, learned, strict=True)), 0),
+        len({low[i] for i in hit}), sum(near) / n, len(hit), sum(second) / n, sum(c.isupper() for c in text) / letters,
+        sum(w.isupper() and w.isalpha() and len(w) > 1 for w in plain) / n, text.count("!") / size,
+        sum(33 <= ord(c) < 128 and not c.isalnum() for c in text) / size,
+        sum(any(c.isdigit() for c in w) and not w.isdigit() for w in plain) / n, math.log1p(len(low)),
+        max([i / n for i in hit], default=0.0),
+    ]
+
+
+def test_toxicity_features_are_brute_force():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    some = ["You", "idiot!", "1d10t", "st@pid", "MORON", "nice", "day,", "y0u", "your", "A1", "2024", "WOW", "--", "vermintide", "glorptastic", "glorp", "hate?!", "u", "$cum", "..."]
+    texts = [" ".join(r.choice(some) for _ in range(k)) for k in range(40)] + ["", " \n", "x" * 300]
+    words, beginnings = ["nice", "wow"], ["vermi", "glorpta"]
+    hashed = toxicity._hash_words(words)
+    starts = []
+    for b in beginnings:
+        p = toxicity._parse(*toxicity.text_buffer(pa.array([b + "z"])), toxicity._PLAIN, toxicity._LOWER)
+        starts.append(p.beginnings(len(b))[0])
+    got = toxicity.features(pa.array(texts), hashed, np.sort(np.concatenate(starts)))
+    assert got.shape[1] == len(toxicity.FEATURES)
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(row, brute_features(text, words, beginnings)), text
+
+
+def test_boosted_trees_are_brute_force():
+    """The first tree's splits against an exhaustive search, and the margins against a walk down every tree."""
+    from talkloom.llm import boosting
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=(300, 4)).astype(float)
+    y = ((x[:, 1] > 2) ^ (x[:, 3] > 3)).astype(float)
+    model = boosting.fit(x, y, rounds=12, depth=2)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 2.0)
+    bins = model.binned(x)
+    best, split = 0.0, None
+    for j in range(4):
+        for k in range(len(model.edges[j])):
+            left = bins[:, j] <= k
+            if min(left.sum(), (~left).sum()) >= 8 and gain(left) + gain(~left) - gain(np.ones(len(y), bool)) > best + 1e-12:
+                best, split = gain(left) + gain(~left) - gain(np.ones(len(y), bool)), (j, k)
+    feature, cut, _ = model.trees[0]
+    assert (feature[0], cut[0]) == split
+    for row, margin in zip(x[:50], model.margin(x[:50]), strict=True):
+        total = model.base
+        for feature, cut, value in model.trees:
+            node = 0
+            for _ in range(2):
+                above = sum(row[feature[node]] >= e for e in model.edges[feature[node]]) > cut[node]
+                node = 2 * node + 1 + above
+            total += value[node - 3]
+        assert abs(total - margin) < 1e-9
+    assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.9
+
+
 def test_isotonic_is_monotone():
     from talkloom.llm.boosting import isotonic
 
