@@ -44,12 +44,12 @@ def chunk_text(name: str) -> str:
 
 
 #: ASCII punctuation: at a chunk's end it is one piece.
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def chunk_pieces(name: str, find: Callable) -> list[str]:
     """The chunk's pieces; ``find`` splits what isn't plainly a word."""
-    word = name.rstrip(_PUNCTUATION)
+    word = name.rstrip(PUNCTUATION)
     if word.isalpha():
         return [" " + word, name[len(word) :]] if len(word) < len(name) else [" " + word]
     return find(chunk_text(name))
@@ -71,8 +71,10 @@ class Known(dict):
         self.used = 0
 
     def __missing__(self, key):
-        value = self.recall(key)
-        return self.find(key) if value is None else value
+        if (value := self.older.get(key)) is None:
+            return self.find(key)
+        self.keep(key, value)
+        return value
 
     def keep(self, key, value) -> None:
         if len(key) <= self.KEY_CHARS:

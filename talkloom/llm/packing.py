@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm._arrow import text_steps
-from talkloom.llm._split import PATTERN, Known, chunk_pieces, chunks, parts
+from talkloom.llm._split import PATTERN, PUNCTUATION, Known, chunk_text, chunks, parts
 
 #: Production parameters. Pieces of a window are placed from the longest on.
 SEQUENCE_TOKENS = 2048
@@ -74,12 +74,11 @@ class JsonTokenizer:
     def vocabulary_size(self) -> int:
         return self.whole.get_vocab_size()
 
-    def _model(self, piece: str) -> bytes:
-        shown = piece.replace(" ", self.space) if piece.isascii() and piece.strip().isalpha() else piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+    def _shown(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self._model(piece)
+        ids = array("I", [t.id for t in self.tokenize(self._shown(piece))]).tobytes()
         self.pieces.keep(piece, ids)
         return ids
 
@@ -87,15 +86,16 @@ class JsonTokenizer:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def _chunk(self, name: str) -> bytes:
-        """Ids of a chunk by its name; words are kept without what stands behind them, too."""
-        found = chunk_pieces(name, self.find)
-        word = found[0]
-        if len(found) == 1 and len(word) == len(name) + 1:
-            ids = self._model(word)
-        elif len(found) == 2 and len(word) > 1 and word[0] == " ":
-            ids = (self.known.get(word[1:]) or self._model(word)) + self.pieces[found[1]]
+        """Ids of a chunk by its name: of a word and the punctuation behind it, or piece by piece."""
+        word = name.rstrip(PUNCTUATION)
+        if word.isalpha():
+            bare = len(word) == len(name)
+            if bare or (ids := self.known.get(word)) is None:
+                ids = array("I", [t.id for t in self.tokenize(self.space + self._shown(word))]).tobytes()
+            if not bare:
+                ids += self.pieces[name[len(word) :]]
         else:
-            ids = self._ids(found)
+            ids = self._ids(self.find(chunk_text(name)))
         self.known.keep(name, ids)
         return ids
 

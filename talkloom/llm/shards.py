@@ -46,7 +46,7 @@ ROUNDS = 4
 BUCKETS = 65_536
 CUT_BYTES = 32 << 20
 #: Compression of the tokens while they are at rest and while they are sent.
-REST_LEVEL, SENT_LEVEL = 6, 3
+REST_LEVEL, SENT_LEVEL = 4, 3
 
 _U = np.uint64
 
@@ -182,9 +182,13 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         start, offset, slot = low - begin[row], low - sequence * stride, order(sequence)
         shard, record = slot // width, slot % width
         by_shard = np.lexsort((offset, record, shard))
-        payload = rows.column("ids").to_pylist()
-        parts = [payload[row[i]][item * start[i] : item * (start[i] + length[i])] for i in by_shard]
-        crcs = np.array([zlib.crc32(np.frombuffer(x, dtype).astype("<u4")) for x in parts], np.int64)
+        payload = b"".join(rows.column("ids").to_pylist())
+        at_token = np.cumsum(n)[row] - n[row] + start
+        ends = (at_token + length)[by_shard].tolist()
+        at_token = at_token[by_shard].tolist()
+        parts = [payload[item * i : item * j] for i, j in zip(at_token, ends, strict=True)]
+        wide = memoryview(np.frombuffer(payload, dtype).astype("<u4").tobytes())
+        crcs = np.array([zlib.crc32(wide[4 * i : 4 * j]) for i, j in zip(at_token, ends, strict=True)], np.int64)
         shards, where = np.unique(shard[by_shard], return_index=True)
         where = np.append(where, len(by_shard))
         blocks = binary_array([squeeze(b"".join(parts[i:j])) for i, j in zip(where[:-1], where[1:], strict=True)])
