@@ -100,7 +100,8 @@ def _cut(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, sp
     drop = _dropped(_pages(docs, host, text), ratio, min_pages, spare)
     body = F.col(f"`{text}`")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _host(host).alias("host"), F.xxhash64(body).alias("ta"), F.xxhash64(F.lit(7), body).alias("tb"))
-    joined = keyed.join(drop, ["host", "ta", "tb"], "left").withColumn("_text", F.col("_row")[text])
+    # a merge join at every size: it splits a large group of copies over tasks, and needs no table to be small
+    joined = keyed.join(drop.hint("merge"), ["host", "ta", "tb"], "left").withColumn("_text", F.col("_row")[text])
     cut = F.transform(
         F.array(_lines(F.col("_text"))),
         lambda lines: F.transform(
