@@ -80,23 +80,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_GAP), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
-def count_all(text: Column, patterns: list[str]) -> Column:
+def count_all(text: Column, patterns: list[str], guard: str) -> Column:
+    """Hits of all patterns; they are only looked for in texts that hold the guard, without which none can match."""
     total = F.lit(0)
     for p in patterns:
         total = total + F.regexp_count(text, F.lit(p))
-    return total
+    return F.when(text.rlike(guard), total).otherwise(0)
 
 
 def contracted(text: Column) -> Column:
-    return count_all(text, ["(?i)" + c for c, _ in CONTRACTIONS])
+    return count_all(text, ["(?i)" + c for c, _ in CONTRACTIONS], "'")
 
 
 def uncontracted(text: Column) -> Column:
-    return count_all(text, ["(?i)" + u for _, u in CONTRACTIONS])
+    return count_all(text, ["(?i)" + u for _, u in CONTRACTIONS], r"(?i)\b(?:am|are|is|have|will|would|had|not|cannot)\b")
 
 
 def discourse(text: Column) -> Column:
-    return count_all(text, [rf"(?i)(?<![A-Za-z]){m}(?![A-Za-z])" for m in DISCOURSE])
+    bounded = r"(?i)(?<![A-Za-z]){}(?![A-Za-z])"
+    return count_all(text, [bounded.format(m) for m in DISCOURSE], bounded.format("(?:" + "|".join(DISCOURSE) + ")"))
 
 
 def openers(text: Column) -> Column:
@@ -130,24 +132,6 @@ def strip_marker(text: Column) -> Column:
     return F.when(bare == "", F.lit("Let's keep going.")).otherwise(bare)
 
 
-def strip_fence(text: Column) -> Column:
-    """The text without one code fence around it."""
-    inner = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*\n?", ""), r"\n?```\s*$", "")
-    return F.when(F.trim(text).startswith("```"), F.trim(inner)).otherwise(text)
-
-
-def strip_thinking(text: Column) -> Column:
-    """The text without closed think blocks; an open one drops all that follows it."""
-    closed = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(closed, r"(?is)<think>.*$", ""), r"^\s+|\s+$", "")
-
-
-def grade(text: Column) -> Column:
-    """The first digit run that is 1..5, else null."""
-    n = F.regexp_extract(text, r"(\d+)", 1)
-    return F.when(n.rlike("^[1-5]$"), n.cast("int"))
-
-
 def yes_no(text: Column) -> Column:
     word = F.lower(F.regexp_extract(text, r"(?i)\b(yes|no)\b", 1))
     return F.when(word != "", word)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,9 +125,10 @@ def level_scores(df: DataFrame) -> DataFrame:
     return once(df, {f"score_{m}": scored(i, m) for i, m in enumerate(METRICS)})
 
 
-def measure_naturalness(df: DataFrame) -> DataFrame:
-    """Add assistant text measures and band scores."""
-    texts = once(df, {"_text": T.assistant_text(F.col("messages"))})
+def measure_naturalness(df: DataFrame, due: Column | None = None) -> DataFrame:
+    """Add assistant text measures and band scores; with ``due`` only those of the rows where it holds."""
+    text = T.assistant_text(F.col("messages"))
+    texts = once(df, {"_text": text if due is None else F.when(due, text)})
     return level_scores(once(texts, naturalness_parts(F.col("_text"), F.col("level"))))
 
 
@@ -164,6 +166,13 @@ def structure(df: DataFrame, least: int = 4) -> Column:
     return result(~odd & ~few, F.size(turns), F.when(few, F.lit("too few turns")).when(odd, F.lit("roles do not alternate")))
 
 
+def marker_structure(messages: Column, count: int) -> tuple[Column, Column]:
+    """(exactly so many messages besides the system's, the marker in exactly one message and that the tutor's)."""
+    marked = F.filter(messages, lambda m: m["content"].contains("[SESSION_END"))
+    one = (F.size(marked) == 1) & F.coalesce(F.get(marked, F.lit(0))["role"] == "assistant", F.lit(False))
+    return F.size(F.filter(messages, lambda m: m["role"] != "system")) == count, one
+
+
 def run_pipeline(df: DataFrame, filters: dict[str, Column], short_circuit: bool = True) -> DataFrame:
     """Add ``runs`` (one struct per filter, in order), ``passed``, ``failing_filter`` and ``failing_reason``.
 
@@ -185,6 +194,72 @@ def run_pipeline(df: DataFrame, filters: dict[str, Column], short_circuit: bool
     return df.drop("_runs", "_first", *[f"_f_{n}" for n in names])
 
 
+def run_staged(df: DataFrame, cheap: dict[str, Column], dear: str, measure: Callable[[DataFrame, Column], DataFrame], check: Callable[[DataFrame], Column]) -> DataFrame:
+    """:func:`run_pipeline` in two stages: what the dear filter (last in order) needs is measured only on rows that pass the cheap ones."""
+    df = once(df, {f"_c_{n}": c for n, c in cheap.items()})
+    due = F.lit(True)
+    for n in cheap:
+        due = due & F.col(f"_c_{n}.passed")
+    df = measure(df, due)
+    return run_pipeline(df, {**{n: F.col(f"_c_{n}") for n in cheap}, dear: check(df)})
+
+
+#: The names a configuration may list; judges are added where they are switched on.
+MECHANICAL = ["speaks_l1_sanity", "non_latin_script", "banned_terms", "mode_consistency", "naturalness"]
+JUDGES = {"use_locale_judge": "locale_judge", "use_naturalness_judge": "naturalness_judge"}
+_REGISTRY: dict[str, Callable[[DataFrame], Column]] = {}
+
+
+def register(name: str, check: Callable[[DataFrame], Column]) -> None:
+    """Make a filter known: a function of the DataFrame that returns its result column (see :func:`result`)."""
+    _REGISTRY[name] = check
+
+
+def assemble(config: dict[str, bool]) -> list[str]:
+    """The filters of a configuration in canonical order: the mechanical ones, and the judges it switches on."""
+    chosen = MECHANICAL + [name for key, name in JUDGES.items() if config.get(key)]
+    return [n for n in ORDER if n in chosen] + [n for n in chosen if n not in ORDER]
+
+
+def run_registered(df: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`run_pipeline` over registered filters; an unknown name raises KeyError."""
+    return run_pipeline(df, {n: _REGISTRY[n](df) for n in names})
+
+
+#: Phrases that introduce an English version, the quoted span, and the limits of an echo.
+ECHO_INTRO = r"(?i)(?:you could say in english|in english (?:we'?d|you'?d|you would) say|let me say it in english|in english(?: that)?(?: would be)?[:,])"
+QUOTED = "['\"\u2018\u2019\u201c\u201d]([^'\"\u2018\u2019\u201c\u201d]{4,200})['\"\u2018\u2019\u201c\u201d]"
+ECHO_SIMILARITY, ECHO_CHARS = 0.85, 12
+
+
+def l1_sanity(messages: Column, trigger: Column) -> Column:
+    """Of rows with the trigger ``speaks_l1``: fails without a user turn in another script, or if a tutor turn quotes the prior English user turn as its own translation."""
+    import difflib
+    import re
+    import unicodedata
+
+    other = T.script_class(T.SCRIPTS)
+    spoken = F.exists(messages, lambda m: (m["role"] == "user") & m["content"].rlike(other))
+    quoted = lambda c: F.trim(F.regexp_extract(c, QUOTED, 1))
+
+    def pair(m: Column, i: Column) -> Column:
+        before = F.filter(F.slice(messages, F.lit(1), i), lambda x: x["role"] == "user")
+        prior = F.try_element_at(before, F.lit(-1))["content"]
+        ok = (m["role"] == "assistant") & m["content"].rlike(ECHO_INTRO) & (F.length(quoted(m["content"])) >= ECHO_CHARS) & (F.length(prior) >= ECHO_CHARS) & ~prior.rlike(other)
+        return F.when(ok, F.struct(quoted(m["content"]).alias("q"), prior.alias("p")))
+
+    @F.pandas_udf("boolean")
+    def echoes(pairs: pd.Series) -> pd.Series:
+        fold = lambda t: re.sub("[^a-z0-9]+", "", unicodedata.normalize("NFKC", t).lower())
+        close = lambda x: difflib.SequenceMatcher(None, fold(x["p"]), fold(x["q"])).ratio() >= ECHO_SIMILARITY
+        return pairs.map(lambda xs: any(close(x) for x in xs))
+
+    echo = echoes(F.filter(F.transform(messages, pair), lambda x: x.isNotNull()))
+    due = F.coalesce(trigger == "speaks_l1", F.lit(False))
+    reason = F.when(due & ~spoken, F.lit("no_l1_turn")).when(due & echo, F.lit("english_echo"))
+    return result(reason.isNull(), F.when(due, F.when(reason.isNull(), 1.0).otherwise(0.0)), reason)
+
+
 def summary(run: DataFrame) -> DataFrame:
     """Per filter: documents it checked, failed, and was the first to fail."""
     # counted per pattern of flags first: few rows, and every filter is evaluated once

@@ -10,13 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
+from talkloom.operators import extraction as X
 
-#: What a violation of an axis looks like in a user turn.
+#: What a violation of an axis looks like in a user turn; topic has no pattern.
 VIOLATIONS = {
-    "language": "[一-鿿]" + r"|\bspeak\s+(?:chinese|japanese|italian)\b|\bin\s+(?:chinese|japanese|italian)\b",
-    "persona": r"\b(?:are you|aren't you|you're)\s+(?:a |an )?(?:chatbot|robot|ai|bot|computer|machine|real person|human)\b",
-    "role_swap": r"\blet me (?:be|teach|tutor|play|act as|take over)\b|\b(?:swap|switch) (?:our )?roles?\b",
+    "language": r"[一-鿿]|\bspeak\s+(?:chinese|japanese|italian)\b|\bin\s+chinese\b|\bin\s+japanese\b|\bin\s+italian\b",
+    "locale": (
+        r"\b(?:starbucks|mcdonald'?s?|kfc|burger king|subway sandwich|coca-?cola|pepsi|walmart|costco|ikea|amazon|google|facebook|apple store|disney|hollywood|broadway|times square|nba|nfl|mlb|"
+        r"paris|london|new york|los angeles|chicago|san francisco|berlin|rome|madrid|amsterdam|venice|milan|naples|sicily|tuscany|"
+        r"pizza|hamburger|hot dog|french fries?|croissant|lasagna|spaghetti|bagel|cheesecake|tiramisu|thanksgiving|christmas|easter|halloween|valentine'?s? day|independence day|new year'?s? eve|"
+        r"american|british|european|french(?!\s+fries)|italian(?!\s+food)|german|spanish)\b"
+    ),
+    "persona": (
+        r"\b(?:are you|aren'?t you|you'?re)\s+(?:a |an )?(?:chatbot|robot|ai|bot|computer|machine|virtual|real person|human|alive|model|program|script)\b"
+        r"|\bwhat (?:kind|type|sort) of (?:model|ai|bot|chatbot|robot|program)\b|\bwhat (?:model|ai|bot) (?:are you|version)\b"
+        r"|\bdo you (?:have|feel) (?:a |any )?(?:feelings?|emotions?|soul|family|friends|memories|consciousness)\b"
+        r"|\bis this (?:a )?(?:chatbot|game|simulation|test|recording|ai)\b|\bare you (?:really )?(?:human|alive|conscious|sentient)\b"
+    ),
+    "role_swap": (
+        r"\byou (?:be|play|act as|become) (?:the |a |an )?(?:student|learner|patient|customer|child|kid|pupil|me|shopper|client|tourist|guest)\b"
+        r"|\blet me (?:be|teach|tutor|play|act as|take over|try teaching)\b|\b(?:swap|switch|trade|reverse|change) (?:our )?roles?\b"
+        r"|\bi(?:'ll| will|'m going to| am going to) (?:be|teach|tutor|play|act as|take over|try teaching)\b"
+        r"|\bi(?:'m| am) (?:the )?(?:tutor|teacher|doctor|nurse|guide|vendor|host|shop owner|coach|instructor) (?:now|today)\b"
+        r"|\btake(?:ing)? over as (?:the )?(?:tutor|teacher|instructor)\b|\bnow (?:i'?m|i am) the (?:tutor|teacher|doctor|instructor)\b"
+    ),
+    "pedagogy": (
+        r"\b(?:just )?(?:tell|give|say) me (?:the )?(?:rule|word|answer|translation|grammar|conjugation|formula)\b"
+        r"|\bwhat(?:'s| is) the (?:rule|word|answer|grammar|conjugation|meaning|translation|past tense|plural|opposite)\b"
+        r"|\bhow do (?:you|i|we) (?:say|conjugate|spell|use|translate|pronounce)\b|\bwhat does (?:it|that|this|.+) mean\b"
+        r"|\bgive me (?:a )?list of (?:words?|phrases?|verbs?|nouns?)\b|\bcan you (?:give|tell|teach|show) me (?:the |a )?(?:list|rule|grammar|meaning|translation)\b"
+        r"|\btranslate (?:this|that|it) (?:for me|please)\b|\bwhy (?:do we|is it|do you) (?:use|say)\b"
+    ),
 }
+#: Where a pivot and the fallback are looked for.
+PIVOT_FROM, PIVOT_TO, FALLBACK_FROM = 3, 15, 5
 
 
 def message(role: str, content: Column) -> Column:
@@ -39,13 +66,42 @@ def prefix(messages: Column, n: Column) -> Column:
     return F.slice(messages, F.lit(1), n)
 
 
-def violation_turn(messages: Column, axis: str, hint: Column) -> tuple[Column, Column]:
-    """(index, reason): the hinted user turn if it shows the violation, else the first user turn that does, else none."""
-    shows = lambda m: (m["role"] == "user") & F.lower(m["content"]).rlike(VIOLATIONS[axis])
-    hinted = F.get(F.transform(messages, shows), hint)
-    found = first_index(messages, shows)
-    ok = F.coalesce(hinted, F.lit(False))
-    return F.when(ok, hint).otherwise(found), F.when(ok, "metadata").when(found.isNotNull(), "corrected").otherwise("invalid")
+def shows_violation(content: Column, axis: Column) -> Column:
+    """Whether a turn carries the axis's violation; axes without a pattern always do."""
+    out = F.lit(True)
+    for name, pattern in VIOLATIONS.items():
+        out = F.when(axis == name, content.rlike("(?i)" + pattern)).otherwise(out)
+    return out
+
+
+def violation_turn(messages: Column, axis: Column, hint: Column) -> tuple[Column, Column]:
+    """(index, reason) of the violating user turn.
+
+    A hint that points at a user turn counts if the turn shows the violation
+    (``metadata``), else the first user turn that does (``metadata_corrected``),
+    else none (``metadata_invalid``). Without such a hint: the user turn before
+    the first tutor pivot from turn 3 to 15 (``pivot``), else the first user
+    turn from 5 on (``fallback``), else none (``no_user_in_range``).
+    """
+    user = lambda m: m["role"] == "user"
+    shows = F.transform(messages, lambda m: user(m) & F.coalesce(shows_violation(m["content"], axis), F.lit(False)))
+    at_user = F.coalesce((hint >= 0) & (hint < F.size(messages)) & user(F.get(messages, hint)), F.lit(False))
+    shown = F.array_position(shows, True)
+    corrected = F.when(shown > 0, (shown - 1).cast("int"))
+    pivots = F.transform(messages, lambda m, i: (m["role"] == "assistant") & i.between(PIVOT_FROM, PIVOT_TO) & X.shows_pivot(m["content"]) & user(F.get(messages, i - 1)))
+    pivot = F.array_position(pivots, True)
+    late = F.array_position(F.transform(messages, lambda m, i: user(m) & (i >= FALLBACK_FROM)), True)
+    right = F.coalesce(F.get(shows, hint), F.lit(False))
+    index = F.when(at_user, F.when(right, hint).otherwise(corrected)).when(pivot > 0, (pivot - 2).cast("int")).when(late > 0, (late - 1).cast("int"))
+    reason = F.when(at_user & right, "metadata").when(at_user & corrected.isNotNull(), "metadata_corrected").when(at_user, "metadata_invalid").when(pivot > 0, "pivot").when(late > 0, "fallback").otherwise("no_user_in_range")
+    return index, reason
+
+
+def swap_once(text: Column, old: str, new: str) -> tuple[Column, Column]:
+    """(text with the first occurrence of ``old`` replaced, whether there was one); no pattern is read into either."""
+    at = F.instr(text, old)
+    swapped = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.length(text)))
+    return F.when(at > 0, swapped).otherwise(text), at > 0
 
 
 def trim_after_marker(messages: Column) -> Column:
@@ -85,8 +141,17 @@ def count_marker(messages: Column) -> Column:
     return F.when(fits, F.transform(messages, rewrite)).otherwise(messages)
 
 
-def render(messages: Column) -> Column:
-    """A transcript: user turns numbered from 0, tutor turns plain, system turns left out."""
+def render(messages: Column, dialect: str = "numbered") -> Column:
+    """A transcript in one of three dialects.
+
+    ``numbered``: user turns numbered from 0, tutor turns plain, system turns
+    left out. ``labelled``: User, Tutor, and other roles capitalised.
+    ``bracketed``: the same labels in capitals and brackets.
+    """
+    if dialect != "numbered":
+        name = lambda m: F.when(m["role"] == "user", "User").when(m["role"] == "assistant", "Tutor").otherwise(F.initcap(m["role"]))
+        head = {"labelled": lambda m: F.concat(name(m), F.lit(": ")), "bracketed": lambda m: F.concat(F.lit("["), F.upper(name(m)), F.lit("] "))}[dialect]
+        return F.array_join(F.transform(messages, lambda m: F.concat(head(m), m["content"])), "\n")
     turns = F.filter(messages, lambda m: m["role"] != "system")
     lines = F.transform(
         turns,
@@ -117,6 +182,31 @@ def conversation_view(messages: Column, system: Column) -> Column:
     return F.when(first > 0, F.concat(F.array(message("system", system)), tagged))
 
 
+#: Directives that switch a model's thinking on or off.
+DIRECTIVES = {"on": "/think", "off": "/no_think"}
+
+
+def thinking_mode(configured: dict[str, str], role: str, supported: bool) -> str:
+    """on, off or unsupported for a role: its own setting, else the common one, else off."""
+    if not supported:
+        return "unsupported"
+    mode = configured.get(role, configured.get("default", "off"))
+    if mode not in DIRECTIVES:
+        raise ValueError(f"thinking is on or off, not {mode!r}")
+    return mode
+
+
+def thinking_prefix(content: Column, mode: Column) -> Column:
+    """The content with its mode's directive before it; untouched if it holds one already, or the mode has none."""
+    held = F.lit(False)
+    for directive in DIRECTIVES.values():
+        held = held | content.contains(directive)
+    out = content
+    for name, directive in DIRECTIVES.items():
+        out = F.when(~held & (mode == name), F.concat(F.lit(directive + " "), content)).otherwise(out)
+    return out
+
+
 def chat_text(messages: Column) -> Column:
     """ChatML: a start marker and role, the content, an end marker."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")

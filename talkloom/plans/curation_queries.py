@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import hashing as H
 from talkloom.functions import text as T
 from talkloom.operators import curation as C
+from talkloom.operators import dedup as DD
+from talkloom.operators import filters as FL
 from talkloom.operators import sampling as S
 from talkloom.operators import turns as Q
 from talkloom.plans import entities as E
-from talkloom.plans.dialogue_queries import _J, MARK, _joined
+from talkloom.plans.dialogue_queries import _AXIS, _HINT, _J, MARK, VIOLATED, _joined
 from talkloom.plans.text_queries import TEXT
 from talkloom.sources.tables import table
 
@@ -54,47 +56,77 @@ def seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", C.seed_id(F.col("v")).alias("seed"), C.variant(F.col("v")).alias("variant"))
 
 
-_TELL = "CASE WHEN contains(content, 'pizza') AND contains(content, 'AI') THEN 'both' WHEN contains(content, 'pizza') THEN 'food' WHEN contains(content, 'AI') THEN 'model' WHEN content = '' THEN 'blank' ELSE 'other' END"
+#: System prompts by id, with and without the two tells.
+_PROMPT = "CASE doc_id % 5 WHEN 0 THEN concat('Be kind. ', '{a}') WHEN 1 THEN concat('{g}', '. Go on.') WHEN 2 THEN concat('{a}', ' {g}') WHEN 3 THEN '' ELSE category END".format(a=C.AXIS_TELL, g=C.GENERIC_TELL)
 
 
-@query(TURNS + f" SELECT conv_id, turn, {_TELL} AS label FROM turns")
+@query(REC + " SELECT id, ['axis_specific', 'generic', 'MIXED (BUG?)', 'missing', 'neither (BUG?)'][doc_id % 5 + 1] AS label FROM records")
 def classify_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.turns(spark, sf_dir).select("conv_id", "turn", F.expr(_TELL).alias("label"))
+    return E.records(spark, sf_dir).select("id", C.classify_prompt(F.expr(_PROMPT)).alias("label"))
 
 
-@query(REC + " SELECT id, 'Hi! ' || coalesce('I am in ' || locale || '. ', '') || 'Can we talk about ' || category || ' at ' || level || '?' AS starter FROM records")
+@query(REC + " SELECT id, 'Hello.' || CASE WHEN doc_id % 4 > 0 THEN ' My name is ' || source || '.' ELSE '' END || CASE WHEN category <> 'general' THEN ' I want to practice English about ' || category || '.' ELSE '' END AS starter FROM records")
 def starter_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.coalesce(F.concat(F.lit("I am in "), "locale", F.lit(". ")), F.lit(""))
-    return E.records(spark, sf_dir).select("id", F.concat(F.lit("Hi! "), place, F.lit("Can we talk about "), "category", F.lit(" at "), "level", F.lit("?")).alias("starter"))
+    name, topic = F.expr("CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END"), F.when(F.col("category") != "general", F.col("category"))
+    return E.records(spark, sf_dir).select("id", C.starter_turn(name, topic).alias("starter"))
 
 
-@query(D + " SELECT id, stream <> 'language_redirect' OR len(list_filter(messages, lambda m: m.role = 'user' AND regexp_matches(m.content, '[\\x{4E00}-\\x{9FFF}]'))) > 0 AS passed FROM dialogues")
+#: Dialogues of five messages by kind: what the second user turn and the tutor's answer are.
+_L1 = [
+    ("speaks_l1", "I would like to buy two apples, please.", "Of course, here you are.", "no_l1_turn"),
+    ("speaks_l1", "I would like to buy two apples, please.", 'You could say in English: "I would like to buy two apples please!"', "english_echo"),
+    ("speaks_l1", "I would like to buy two apples, please.", 'In English we would say "May I have some fruit?"', None),
+    ("speaks_l1", "我想买两个苹果", 'Let me say it in English: "I would like to buy two apples, please."', None),
+    (None, "I would like to buy two apples, please.", 'You could say in English: "I would like to buy two apples, please."', None),
+    ("speaks_l1", "Two apples, yes", 'In English, "Two apples"', None),
+    ("speaks_l1", "I would like to buy two apples, please.", "In English: ‘I would like to buy two apples, pleases.’", "english_echo"),
+]
+_SPOKEN = [0]  # kinds without a turn in another script
+
+
+@query("WITH k AS (SELECT DISTINCT conv_id, conv_id % 7 AS k FROM conversations) SELECT conv_id, k NOT IN (0, 1, 6) AS passed, CASE WHEN k = 4 THEN NULL WHEN k IN (0, 1, 6) THEN 0.0 ELSE 1.0 END::DOUBLE AS score, CASE k WHEN 0 THEN 'no_l1_turn' WHEN 1 THEN 'english_echo' WHEN 6 THEN 'english_echo' END AS reason FROM k")
 def filter_l1_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.exists(T.contents(F.col("messages"), "user"), lambda c: c.rlike(T.script_class(T.SCRIPTS)))
-    return E.dialogues(spark, sf_dir).select("id", ((F.col("stream") != "language_redirect") | shown).alias("passed"))
+    kinds = [(k, trigger, [("user", "Hello there" if k in _SPOKEN else "你好"), ("assistant", "Hello!"), ("user", second), ("assistant", answer)]) for k, (trigger, second, answer, _) in enumerate(_L1)]
+    made = spark.createDataFrame(kinds, "k int, trigger string, messages array<struct<role: string, content: string>>")
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("k", (F.col("conv_id") % 7).cast("int"))
+    return ids.join(made, "k").select("conv_id", FL.l1_sanity(F.col("messages"), F.col("trigger")).alias("r")).select("conv_id", "r.passed", "r.score", "r.reason")
 
 
-_BAND = "cast((length(word) * 5) % 6 as int)"
-BANDS = TEXT + f", w AS (SELECT id, level, unnest(regexp_extract_all(lower(t), '[A-Za-z][A-Za-z''\\-]*')) AS word FROM assistant), bands AS (SELECT DISTINCT word, {_BAND} AS band FROM w WHERE length(word) > 2), k AS (SELECT id, count(*) AS n_known, count(*) FILTER (band > list_position(['A1', 'A2', 'B1', 'B2', 'C1', 'C2'], level) - 1) AS n_above FROM w JOIN bands USING (word) GROUP BY 1), r AS (SELECT a.id, a.level, coalesce(n_known, 0) AS n_known, coalesce(n_above, 0) AS n_above FROM assistant a LEFT JOIN k USING (id)), q AS (SELECT *, CASE WHEN level = 'C2' OR n_known = 0 THEN 0 ELSE n_above / n_known END AS ratio FROM r)"
+#: The lowest level of a document that holds the word, as a band list gives each word's lowest listed band.
+_WORDS = "SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, list_position(['A1', 'A2', 'B1', 'B2', 'C1', 'C2'], level) - 1 AS band FROM records"
+_STOP = "[" + ", ".join(f"'{w}'" for w in DD.STOPWORDS) + "]"
+BANDS = D + ", " + E.RECORDS_SQL + f""", bands AS (SELECT word, min(band) AS band FROM ({_WORDS}) GROUP BY 1), texts AS (SELECT id, level, array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: m.content), chr(10)) AS t FROM dialogues),
+w AS (SELECT id, level, unnest(regexp_extract_all(lower(t), '[A-Za-z][A-Za-z''\\-]*')) AS word FROM texts), j AS (SELECT id, word, band > list_position(['A1', 'A2', 'B1', 'B2', 'C1', 'C2'], level) - 1 AS above FROM w JOIN bands USING (word) WHERE NOT list_contains({_STOP}, word)),
+k AS (SELECT id, count(*) AS n_known, count(*) FILTER (above) AS n_above FROM j GROUP BY 1), o AS (SELECT id, list(word ORDER BY r) AS offenders FROM (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, word) AS r FROM j WHERE above GROUP BY 1, 2) WHERE r <= 10 GROUP BY 1),
+r AS (SELECT a.id, a.level, coalesce(n_known, 0) AS n_known, coalesce(n_above, 0) AS n_above, offenders FROM texts a LEFT JOIN k USING (id) LEFT JOIN o USING (id)), q AS (SELECT *, CASE WHEN level = 'C2' OR n_known = 0 THEN 0 ELSE n_above / n_known END AS ratio FROM r)"""
 
 
 def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = E.dialogues(spark, sf_dir).select(F.explode(T.tokens(F.lower(T.assistant_text(F.col("messages"))))).alias("word"))
-    return words.where(F.length("word") > 2).distinct().select("word", F.expr(_BAND).alias("band"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in E.LEVELS]), F.col("level")) - 1
+    words = E.records(spark, sf_dir, text=True).select(rank.cast("int").alias("band"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    return words.groupBy("word").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n_documents"))
 
 
-@query(BANDS + " SELECT id, n_known, n_above, round(ratio, 6) AS ratio, level = 'C2' OR n_known < 30 OR ratio <= 0.05 AS passed FROM q")
+@query(BANDS + " SELECT id, n_known, n_above, round(ratio, 6) AS ratio, level = 'C2' OR n_known < 30 OR ratio <= 0.05 AS passed, CASE WHEN level <> 'C2' THEN offenders END AS offenders FROM q")
 def filter_cefr_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8, J-11, O3: shares of words above the level, stop-words and unknown words left out, with the ten most frequent offenders."""
     d = E.dialogues(spark, sf_dir)
-    m = C.above_band(d, _bands(spark, sf_dir), "id", T.assistant_text(F.col("messages")))
-    return m.select("id", "n_known", "n_above", F.round("ratio", 6).alias("ratio"), C.vocabulary_filter(m).alias("passed"))
+    bands = _bands(spark, sf_dir).where(~F.col("word").isin(DD.STOPWORDS)).select("word", "band")
+    m = C.above_band(d, bands, "id", T.assistant_text(F.col("messages")), offenders=10)
+    return m.select("id", "n_known", "n_above", F.round("ratio", 6).alias("ratio"), C.vocabulary_filter(m).alias("passed"), F.when(F.col("level") != "C2", F.col("offenders")).alias("offenders"))
+
 
+@query(BANDS.replace("lower(t)", "t").replace(f" WHERE NOT list_contains({_STOP}, word)", "") + " SELECT id, n_known, n_above, round(ratio, 6) AS ratio FROM q")
+def level_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the share above the level with words looked up as they are written, no minimum and no stop-words."""
+    m = C.above_band(E.dialogues(spark, sf_dir), _bands(spark, sf_dir).select("word", "band"), "id", T.assistant_text(F.col("messages")), lower=False)
+    return m.select("id", "n_known", "n_above", F.round("ratio", 6).alias("ratio"))
 
-@query("SELECT word, min(band)::INT AS band FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, (doc_id % 6) AS band FROM documents WHERE lang = 'en') GROUP BY 1")
+
+@query(REC + f", w AS (SELECT DISTINCT doc_id, word, band FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, list_position(['A1', 'A2', 'B1', 'B2', 'C1', 'C2'], level) - 1 AS band FROM records)) SELECT word, min(band)::INT AS band, count(*) AS n_documents FROM w GROUP BY 1")
 def vocab_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    words = d.select((F.col("doc_id") % 6).alias("band"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.min("band").cast("int").alias("band"))
+    """Every word's lowest band, and how many documents hold it."""
+    return _bands(spark, sf_dir)
 
 
 _ENT = "list_distinct(regexp_extract_all(t, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}'))"
@@ -114,11 +146,16 @@ def judge_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", (~H.keep(F.col("id"), 0.3) | F.coalesce(F.col("score") >= 3, F.lit(True))).alias("passed"))
 
 
-@query(DET + " SELECT level, count(*) AS n, round(avg((should_fire IS NOT FALSE)::INT), 6) AS pass_rate, avg((should_fire IS NOT FALSE)::INT) >= 0.6 AND avg(fired::INT) <= 0.1 AS ok FROM detections GROUP BY 1")
+_GOOD, _BAD = C.SCAFFOLD.replace("'", "''"), C.DIRECT_ANSWER.replace("'", "''")
+
+
+@query(D + f""", t AS (SELECT stream, conv_id, unnest(messages) AS m FROM dialogues), g AS (SELECT stream, count(*) AS n_turns, avg(regexp_matches(m.content, '(?i){_GOOD}')::INT) AS good, avg(regexp_matches(m.content, '(?im){_BAD}')::INT) AS bad FROM t WHERE m.role = 'assistant' AND trim(m.content) <> '' GROUP BY 1),
+p AS (SELECT stream, count(*) AS n_raw, count(*) FILTER (conv_id % 5 <> 0) AS n_passed FROM dialogues GROUP BY 1)
+SELECT stream, n_raw, n_passed, round(n_passed / n_raw, 6) AS pass_rate, round(coalesce(good, 0), 6) AS positive_rate, round(coalesce(bad, 0), 6) AS negative_rate, n_passed / n_raw >= 0.6 AND coalesce(good, 0) >= 0.5 AND coalesce(bad, 0) <= 0.1 AS ok FROM p LEFT JOIN g USING (stream)""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passed = F.coalesce("should_fire", F.lit(True)).cast("int")
-    g = E.detections(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg(passed).alias("p"), F.avg(F.col("fired").cast("int")).alias("f"))
-    return g.select("level", "n", F.round("p", 6).alias("pass_rate"), ((F.col("p") >= 0.6) & (F.col("f") <= 0.1)).alias("ok"))
+    """Per stream the share of raw rows that passed, and how often tutor turns show the good and the bad pattern."""
+    d = E.dialogues(spark, sf_dir).withColumn("passed", F.col("conv_id") % 5 != 0)
+    return C.quality_gate(d, "stream").select("stream", "n_raw", "n_passed", *[F.round(c, 6).alias(c) for c in ("pass_rate", "positive_rate", "negative_rate")], "ok")
 
 
 @query(D + f", a AS (SELECT stream, len(list_filter(messages, lambda m: regexp_matches(m.content, '{T.DIALECTS['typed']}'))) AS typed, len(list_filter(messages, lambda m: contains(m.content, '[SESSION_END]'))) AS generic FROM dialogues) SELECT stream, count(*) AS n, sum(typed)::BIGINT AS n_typed, sum(generic)::BIGINT AS n_generic, CASE WHEN sum(typed) > 0 AND sum(generic) > 0 THEN 'mixed' WHEN sum(typed) > 0 THEN 'typed' WHEN sum(generic) > 0 THEN 'generic' ELSE 'none' END AS verdict FROM a GROUP BY 1")
@@ -130,29 +167,38 @@ def marker_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("verdict", F.when(t & s, "mixed").when(t, "typed").when(s, "generic").otherwise("none"))
 
 
-@query(TURNS + " SELECT conv_id, turn, CASE WHEN NOT contains(content, '<think>') THEN content WHEN NOT contains(upper(content), '<THINK>') THEN upper(content) ELSE 'Let us continue.' END AS reply FROM turns WHERE role = 'assistant'")
+#: A recorded second draft of each reply.
+_SECOND = "CASE WHEN (conv_id + turn) % 2 = 0 THEN concat('<think>again</think> ', turn) ELSE concat('Second draft ', turn) END"
+
+
+@query(TURNS + f" SELECT conv_id, turn, CASE WHEN NOT contains(content, '<think>') THEN content WHEN (conv_id + turn) % 2 = 1 THEN {_SECOND} ELSE '{C.FALLBACK}' END AS reply, CASE WHEN NOT contains(content, '<think>') THEN 1 WHEN (conv_id + turn) % 2 = 1 THEN 2 ELSE 3 END AS draft FROM turns WHERE role = 'assistant'")
 def guarded_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("content")
-    ok = lambda x: ~x.rlike("(?i)<think>")
-    return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", F.when(ok(c), c).when(ok(F.upper(c)), F.upper(c)).otherwise(F.lit("Let us continue.")).alias("reply"))
+    """the first draft if it passes, else the recorded second one, else the canned reply."""
+    t = E.turns(spark, sf_dir).where("role = 'assistant'")
+    reply, draft = C.guarded([F.col("content"), F.expr(_SECOND)], lambda c: ~c.rlike("(?i)</?think"))
+    return t.select("conv_id", "turn", reply.alias("reply"), draft.alias("draft"))
 
 
-@query(D + ", a AS (SELECT id, unnest(list_transform(messages, lambda m, i: {'i': i - 1, 'r': m.role, 'n': len(regexp_extract_all(m.content, '[^ \\t\\n\\r\\f\\v]+'))})) AS x FROM dialogues) SELECT id, arg_min(x.i, -x.n * 1000 + x.i)::INT AS turn FROM a WHERE x.r = 'assistant' GROUP BY 1")
+@query(D + ", a AS (SELECT id, unnest(list_transform(messages, lambda m, i: {'i': i - 1, 'r': m.role, 'n': len(regexp_extract_all(m.content, '[^ \\t\\n\\r\\f\\v]+'))})) AS x FROM dialogues) SELECT id, arg_min(x.i, -x.n * 100000 + ((('0x' || substr(sha256(id), 1, 8))::BIGINT + x.i) & 65535))::INT AS turn FROM a WHERE x.r = 'assistant' GROUP BY 1")
 def pick_turn_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.filter(F.transform("messages", lambda m, i: F.struct((-T.word_count(m["content"])).alias("n"), i.alias("i"), m["role"].alias("r"))), lambda x: x["r"] == "assistant")
+    """The assistant turn of most words, ties by the id's hash."""
+    tie = lambda i: (H.number(F.col("id")) + i).bitwiseAND(0xFFFF)
+    at = F.filter(F.transform("messages", lambda m, i: F.struct((-T.word_count(m["content"])).alias("n"), tie(i).alias("t"), i.alias("i"), m["role"].alias("r"))), lambda x: x["r"] == "assistant")
     return E.dialogues(spark, sf_dir).select("id", F.array_min(at)["i"].alias("turn")).where("turn is not null")
 
 
 _AXES = ["register", "accuracy", "locale", "length"]
 
 
+_PLAIN = r"regexp_replace(content, '[^\x00-\x7F]', 'x', 'g')"
+
+
 def _applicable() -> F.Column:
-    c = F.col("content")
-    options = F.array(F.lit("register"), F.when(T.word_count(c) >= 8, F.lit("accuracy")), F.when(c.rlike("London|Starbucks"), F.lit("locale")), F.when(F.length(c) > 200, F.lit("length")))
-    return F.filter(options, lambda a: a.isNotNull())
+    """Over texts whose other characters are x, as word boundaries differ between engines there."""
+    return C.applicable_axes(F.regexp_replace("content", r"[^\x00-\x7F]", "x"), _AXES)
 
 
-@query(TURNS + " SELECT conv_id, turn, list_filter(['register', CASE WHEN len(regexp_extract_all(content, '[^ \\t\\n\\r\\f\\v]+')) >= 8 THEN 'accuracy' END, CASE WHEN regexp_matches(content, 'London|Starbucks') THEN 'locale' END, CASE WHEN length(content) > 200 THEN 'length' END], lambda a: a IS NOT NULL) AS applicable FROM turns WHERE role = 'assistant'")
+@query(TURNS + f", a AS (SELECT conv_id, turn, content, len(list_filter(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-zA-Z]{{2,}}\\b'), lambda x: NOT list_contains({sorted(C.NAME_OPENERS)}, lower(x)))) > 0 AS named FROM turns WHERE role = 'assistant') SELECT conv_id, turn, list_filter(['register', CASE WHEN len(regexp_extract_all(content, '[^ \\t\\n\\r\\f\\v]+')) >= 8 THEN 'accuracy' END, CASE WHEN named THEN 'locale' END, 'length'], lambda a: a IS NOT NULL) AS applicable FROM a")
 def applicable_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", _applicable().alias("applicable"))
 
@@ -177,10 +223,13 @@ def leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(leaks).alias("n_leaking"), F.round(F.avg(leaks.cast("int")), 6).alias("leakage_rate"), *[F.sum(k).alias(k) for k in _GAZ])
 
 
-@query(DET + " SELECT doc_id % 4 AS violations, position::BIGINT AS position, count(*) AS n, round(avg(fired::INT), 4) AS premature_rate FROM detections GROUP BY 1, 2")
+@query(DET + ", g AS (SELECT 'violations' AS kind, (doc_id % 4)::BIGINT AS value, fired FROM detections UNION ALL SELECT 'turn', position::BIGINT, fired FROM detections) SELECT kind, value, count(*) AS n, count(*) FILTER (fired) AS n_fired, round(avg(fired::INT), 4) AS rate, row_number() OVER (PARTITION BY kind ORDER BY value NULLS LAST)::INT AS place FROM g GROUP BY 1, 2")
 def premature_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.detections(spark, sf_dir).withColumn("violations", F.col("doc_id") % 4)
-    return d.groupBy("violations", "position").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("fired").cast("int")), 4).alias("premature_rate"))
+    """Rates by violation count and by turn, each in order with the missing value last."""
+    d = E.detections(spark, sf_dir)
+    pairs = F.array(F.struct(F.lit("violations").alias("kind"), (F.col("doc_id") % 4).cast("long").alias("value")), F.struct(F.lit("turn").alias("kind"), F.col("position").cast("long").alias("value")))
+    g = d.select("fired", F.inline(pairs)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("n_fired"), F.round(F.avg(F.col("fired").cast("int")), 4).alias("rate"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("value").asc_nulls_last())))
 
 
 @query(JUD + " SELECT baseline, count(*) FILTER (score IS NOT NULL) AS n_valid, count(*) FILTER (score IS NULL) AS n_errors, round(count(*) FILTER (score >= 4) / nullif(count(score), 0), 6) AS rate, round(sum(score) / nullif(count(score), 0), 6) AS pooled FROM judged GROUP BY 1")
@@ -192,9 +241,12 @@ def withholding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TEXT + ", n AS (SELECT level, len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM assistant) SELECT level, min(w)::INT AS shortest, list_sort(list(w))[count(*)::INT // 2 + 1]::INT AS median, max(w)::INT AS longest, count(*) FILTER (w > 60) AS n_over FROM n GROUP BY 1")
 def length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = E.dialogues(spark, sf_dir).select("level", T.word_count(T.assistant_text(F.col("messages"))).alias("w"))
-    # a histogram of lengths keeps a group's state small
+    # a histogram of lengths, cumulated: the upper median is the first length beyond half the rows
     h = n.groupBy("level", "w").agg(F.count(F.lit(1)).alias("c"))
-    return h.groupBy("level").agg(F.min("w").alias("shortest"), F.get(F.sort_array(F.flatten(F.collect_list(F.array_repeat("w", F.col("c").cast("int"))))), F.floor(F.sum("c") / 2).cast("int")).alias("median"), F.max("w").alias("longest"), F.coalesce(F.sum(F.when(F.col("w") > 60, F.col("c"))), F.lit(0)).alias("n_over"))
+    level = Window.partitionBy("level")
+    h = h.withColumn("upto", F.sum("c").over(level.orderBy("w"))).withColumn("half", F.floor(F.sum("c").over(level) / 2))
+    over = F.coalesce(F.sum(F.when(F.col("w") > 60, F.col("c"))), F.lit(0))
+    return h.groupBy("level").agg(F.min("w").alias("shortest"), F.min(F.when(F.col("upto") > F.col("half"), F.col("w"))).alias("median"), F.max("w").alias("longest"), over.alias("n_over"))
 
 
 @query(REC + " SELECT stream, " + ", ".join(f"count(*) FILTER (level = '{x}') AS {x}" for x in E.LEVELS) + " FROM records GROUP BY 1")
@@ -250,11 +302,18 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _A4 = "['register', 'accuracy', 'locale', 'length']"
 
 
-@query(REC + f", c AS (SELECT id, a AS axis, {_A4}[(doc_id % 4)::INT + 1] AS assigned, (list_position({_A4}, a) - 1 - doc_id % 4 + 4) % 4 AS d, (doc_id + list_position({_A4}, a)) % 3 <> 0 AS valid FROM records, (SELECT unnest({_A4}) AS a)) SELECT id, arg_min(axis, d) AS axis, min(d)::INT AS n_skipped FROM c WHERE valid AND d < 3 GROUP BY 1")
+#: Recorded rewrites by axis: the text again, a text of its own, or none that parses.
+_REWRITE = "CASE WHEN (doc_id + p) % 3 = 0 THEN substr(text, 1, 80) WHEN (doc_id + p) % 7 = 5 THEN NULL ELSE concat('0123 ', axis, ' 456789 #', doc_id) END"
+
+
+@query(REC + f", c AS (SELECT id, a AS axis, (list_position({_A4}, a) - 1 - doc_id % 4 + 4) % 4 AS d, (doc_id + list_position({_A4}, a) - 1) % 3 <> 0 AND (doc_id + list_position({_A4}, a) - 1) % 7 <> 5 AS valid FROM records, (SELECT unnest({_A4}) AS a) WHERE length(text) > 0) SELECT id, arg_min(axis, d) AS axis, min(d)::INT AS n_skipped FROM c WHERE valid AND d < 3 GROUP BY 1")
 def register_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three axes from the assigned one on, the first whose rewrite parses and changes the text."""
     axes = F.array(*[F.lit(a) for a in _AXES])
-    r = E.records(spark, sf_dir).select("id", "doc_id", F.posexplode(axes).alias("p", "axis"), F.get(axes, (F.col("doc_id") % 4).cast("int")).alias("assigned"))
-    return C.first_valid_axis(r.withColumn("valid", (F.col("doc_id") + F.col("p") + 1) % 3 != 0), "id", _AXES)
+    r = E.records(spark, sf_dir, text=True).where("length(text) > 0").select("id", "doc_id", "text", F.posexplode(axes).alias("p", "axis"), F.get(axes, (F.col("doc_id") % 4).cast("int")).alias("assigned"))
+    r = r.withColumn("rewrite", F.expr(_REWRITE))
+    changed = F.col("rewrite").isNotNull() & ~DD.near_no_op(F.col("rewrite"), F.substring("text", 1, 80), F.col("axis"))
+    return C.first_valid_axis(r.withColumn("valid", changed), "id", _AXES)
 
 
 @query(D + ", p AS (SELECT id, level, messages, list_filter(messages, lambda m: m.role = 'user') AS u FROM dialogues WHERE ('0x' || substr(sha256(substr(id, 5)), 1, 8))::BIGINT % 100 < 20) SELECT 'cold_' || id AS id, level, u[1].content AS opening FROM p WHERE len(u) > 0")
@@ -264,13 +323,11 @@ def probe_cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("cold_"), "id").alias("id"), "level", first.alias("opening")).where("opening is not null")
 
 
-_P = Q.VIOLATIONS["persona"].replace("'", "''")
-
-
-@query(D + f", v AS (SELECT *, nullif(list_position(list_transform(messages, lambda m: m.role = 'user' AND regexp_matches(lower(m.content), '{_P}')), true), 0) - 1 AS f FROM dialogues), c AS (SELECT *, row_number() OVER (PARTITION BY stream, level ORDER BY id) AS r FROM v WHERE f >= 1) SELECT id, f::INT AS turn, {_J.format(x='list_slice(messages, 1, f + 1)')} AS context FROM c WHERE r <= 10")
+@query(VIOLATED + f", c AS (SELECT id, turn, row_number() OVER (PARTITION BY stream, level ORDER BY id) AS r FROM found JOIN dialogues USING (id) WHERE reason IN ('metadata', 'metadata_corrected') AND turn >= 1) SELECT id, turn, {_J.format(x='list_slice(messages, 1, turn + 1)')} AS context FROM c JOIN dialogues USING (id) WHERE r <= 10")
 def probe_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn, _ = Q.violation_turn(F.col("messages"), "persona", F.lit(None).cast("int"))
-    d = E.dialogues(spark, sf_dir).withColumn("turn", turn).where("turn >= 1")
+    """Q6: dialogues cut after a violation that metadata names or that was found in its place, ten a stream and level."""
+    turn, reason = Q.violation_turn(F.col("messages"), F.expr(_AXIS), F.expr(_HINT).cast("int"))
+    d = E.dialogues(spark, sf_dir).withColumn("turn", turn).withColumn("reason", reason).where(F.col("reason").isin("metadata", "metadata_corrected") & (F.col("turn") >= 1))
     return S.cap_per_cell(d, ["stream", "level"], ["id"], 10).select("id", "turn", _joined(Q.prefix(F.col("messages"), F.col("turn") + 1)).alias("context"))
 
 
@@ -290,15 +347,24 @@ def assemble_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(d.where(persistent).select(F.concat(F.lit("a7_"), "id").alias("id"), _joined(F.slice("messages", 1, 2)).alias("dialogue")))
 
 
-@query(TURNS + " SELECT conv_id, turn, replace(content, '[SESSION_END]', '[[END]]') AS swapped, contains(content, '[SESSION_END]') AS changed FROM turns")
+_ONCE = "'the '"
+
+
+@query(TURNS + f" SELECT conv_id, turn, CASE WHEN contains(content, {_ONCE}) THEN substr(content, 1, strpos(content, {_ONCE}) - 1) || 'THE ' || substr(content, strpos(content, {_ONCE}) + 4) ELSE content END AS swapped, contains(content, {_ONCE}) AS changed FROM turns")
 def swap_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.turns(spark, sf_dir).select("conv_id", "turn", F.replace("content", F.lit("[SESSION_END]"), F.lit("[[END]]")).alias("swapped"), F.col("content").contains("[SESSION_END]").alias("changed"))
+    """Q22: one block of a prompt for another, the first occurrence only."""
+    swapped, changed = Q.swap_once(F.col("content"), "the ", "THE ")
+    return E.turns(spark, sf_dir).select("conv_id", "turn", swapped.alias("swapped"), changed.alias("changed"))
 
 
-@query(DET + ", d AS (SELECT level, greatest(0, 60 - count(*)) AS raw FROM detections WHERE fired IS NOT NULL AND doc_id % 3 = 0 GROUP BY 1) SELECT level, raw AS deficit FROM d WHERE raw > 0 ORDER BY raw DESC, level LIMIT 3")
+@query(REC + f", c AS (SELECT level, coalesce(locale, 'china') AS locale, category, count(*) AS n FROM records WHERE category <> 'general' GROUP BY 1, 2, 3), g AS (SELECT a.level, l.locale, b.category FROM (SELECT unnest({E.LEVELS}) AS level) a, (SELECT unnest({E.LOCALES}) AS locale) l, (SELECT unnest({E.CATEGORIES[:10]}) AS category) b) SELECT g.level, g.locale, g.category, greatest(0, 9 - coalesce(n, 0))::BIGINT AS deficit FROM g LEFT JOIN c USING (level, locale, category) WHERE coalesce(n, 0) < 9 ORDER BY deficit DESC, level, locale, category LIMIT 10")
 def worst_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.detections(spark, sf_dir).where("doc_id % 3 = 0").groupBy("level").agg(F.greatest(F.lit(0), 60 - F.count(F.lit(1))).alias("deficit"))
-    return d.where("deficit > 0").orderBy(F.desc("deficit"), "level").limit(3)
+    """The ten cells of level, locale and category with the largest shortfalls."""
+    counts = E.records(spark, sf_dir).where("category <> 'general'").groupBy("level", F.coalesce("locale", F.lit("china")).alias("locale"), "category", F.lit("sft").alias("pool")).agg(F.count(F.lit(1)).alias("n"))
+    dims = [spark.createDataFrame([(x,) for x in values], f"{name} string") for name, values in (("level", E.LEVELS), ("locale", E.LOCALES), ("category", E.CATEGORIES[:10]))]
+    grid = dims[0].crossJoin(dims[1]).crossJoin(dims[2])  # 180 cells
+    d = S.coverage_deficits(counts, grid, ["level", "locale", "category"], ["sft"], 9, 9)
+    return d.where("raw_deficit > 0").orderBy(F.desc("raw_deficit"), "level", "locale", "category").limit(10).select("level", "locale", "category", F.col("raw_deficit").alias("deficit"))
 
 
 @query(REC + " SELECT level, n.n FROM (SELECT unnest(['A1', 'A2', 'B1', 'B2', 'C1', 'C2', 'D1']) AS level) l LEFT JOIN (SELECT level, count(*) AS n FROM records GROUP BY 1) n USING (level)")
@@ -307,22 +373,7 @@ def passed_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.join(E.records(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n")), "level", "left")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_valid(props) AS valid FROM events WHERE event_id % 5 = 0")
-def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
-    return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.try_parse_json("props").isNotNull().alias("valid"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_valid(props) AS valid FROM events")
-def json_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`json_fields`, whose SQL names one event in five, over all events."""
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.try_parse_json("props").isNotNull().alias("valid"))
-
-
-@query("SELECT word, min(band)::INT AS band FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, (doc_id % 6) AS band FROM documents) GROUP BY 1")
-def vocab_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`vocab_bands`, whose SQL names English documents, over all documents."""
-    d = table(spark, sf_dir, "documents")
-    words = d.select((F.col("doc_id") % 6).alias("band"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.min("band").cast("int").alias("band"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators import dedup as DD
+from talkloom.operators import extraction as X
 from talkloom.operators import sampling as S
 from talkloom.operators import scoring as SC
 from talkloom.operators import turns as Q
@@ -55,10 +56,11 @@ def probe_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cap_per_cell(d, ["stream", "level"], ["id"], 10).select("id", "level", "stream", "marker_index", _joined(Q.prefix(F.col("messages"), F.col("marker_index"))).alias("context"))
 
 
-@query(MARK + f" SELECT id, p::INT AS cut, {_J.format(x='list_slice(messages, 1, p)')} AS context FROM located, (VALUES (3), (5), (7)) v(p) WHERE s IS NULL AND len(messages) > p")
+@query(MARK + f" SELECT id, cut, context FROM (SELECT id, p::INT AS cut, {_J.format(x='list_slice(messages, 1, p)')} AS context, row_number() OVER (PARTITION BY level, p ORDER BY id) AS r FROM located, (VALUES (5), (7), (9), (11)) v(p) WHERE s IS NULL AND len(messages) > p) WHERE r <= 5")
 def probe_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.dialogues(spark, sf_dir).where(Q.marker_index(F.col("messages")).isNull()).withColumn("cut", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))))
-    return d.where(F.size("messages") > F.col("cut")).select("id", "cut", _joined(Q.prefix(F.col("messages"), F.col("cut"))).alias("context"))
+    d = E.dialogues(spark, sf_dir).where(Q.marker_index(F.col("messages")).isNull()).withColumn("cut", F.explode(F.array(*[F.lit(p) for p in (5, 7, 9, 11)])))
+    long = S.cap_per_cell(d.where(F.size("messages") > F.col("cut")), ["level", "cut"], ["id"], 5)
+    return long.select("id", "cut", _joined(Q.prefix(F.col("messages"), F.col("cut"))).alias("context"))
 
 
 @query(MARK + f" SELECT id, (s - k)::INT AS cut, {_J.format(x='list_slice(messages, 1, s - k)')} AS context FROM located, (VALUES (4), (2)) v(k) WHERE s >= 5 AND messages[s - k].role = 'user'")
@@ -75,13 +77,24 @@ def probe_offposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", (F.col("s") + 2).alias("marker_index"), _joined(F.concat("lead", Q.prefix(F.col("messages"), F.col("s")))).alias("context"))
 
 
-_V = Q.VIOLATIONS["persona"].replace("'", "''")
-_SHOWS = f"list_transform(messages, lambda m: m.role = 'user' AND regexp_matches(lower(m.content), '{_V}'))"
+#: The axis asked for, by id, and metadata that hints at a turn for half the dialogues.
+_AXIS = "CASE conv_id % 6 WHEN 0 THEN 'language' WHEN 1 THEN 'locale' WHEN 2 THEN 'persona' WHEN 3 THEN 'role_swap' WHEN 4 THEN 'pedagogy' ELSE 'topic' END"
+_HINT = "CASE WHEN conv_id % 2 = 0 THEN conv_id % 5 END"
+_RE2V = {k: v.replace(r"(?!\s+fries)", "").replace(r"(?!\s+food)", "").replace("'", "''") for k, v in Q.VIOLATIONS.items()}
+_SHOWS = "CASE ax " + " ".join(f"WHEN '{k}' THEN regexp_matches(m.content, '(?i){v}')" for k, v in _RE2V.items()) + " ELSE true END"
+_PIVOTS = X.PIVOT.replace("'", "''")
 
 
-@query(D + f", v AS (SELECT id, coalesce({_SHOWS}[(conv_id % 4)::INT + 1], false) AS ok, nullif(list_position({_SHOWS}, true), 0) - 1 AS f, conv_id FROM dialogues) SELECT id, CASE WHEN ok THEN conv_id % 4 ELSE f END::INT AS turn, CASE WHEN ok THEN 'metadata' WHEN f IS NOT NULL THEN 'corrected' ELSE 'invalid' END AS reason FROM v")
+VIOLATED = D + f""", t AS (SELECT id, messages, {_AXIS} AS ax, {_HINT} AS h FROM dialogues), f AS (SELECT *, coalesce(h < len(messages) AND messages[h + 1].role = 'user', false) AS at_user,
+  list_transform(messages, lambda m: m.role = 'user' AND {_SHOWS}) AS shows, list_transform(messages, lambda m, i: m.role = 'assistant' AND i - 1 BETWEEN 3 AND 15 AND messages[i - 1].role = 'user' AND regexp_matches(m.content, '(?i){_PIVOTS}')) AS pivots,
+  list_transform(messages, lambda m, i: m.role = 'user' AND i - 1 >= 5) AS late FROM t),
+g AS (SELECT id, CASE WHEN at_user THEN CASE WHEN shows[h + 1] THEN 'metadata' WHEN list_contains(shows, true) THEN 'metadata_corrected' ELSE 'metadata_invalid' END WHEN list_contains(pivots, true) THEN 'pivot' WHEN list_contains(late, true) THEN 'fallback' ELSE 'no_user_in_range' END AS reason, h, shows, pivots, late FROM f),
+found AS (SELECT id, reason, CASE reason WHEN 'metadata' THEN h WHEN 'metadata_corrected' THEN list_position(shows, true) - 1 WHEN 'pivot' THEN list_position(pivots, true) - 2 WHEN 'fallback' THEN list_position(late, true) - 1 END::INT AS turn FROM g)"""
+
+
+@query(VIOLATED + " SELECT * FROM found")
 def violation_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn, reason = Q.violation_turn(F.col("messages"), "persona", (F.col("conv_id") % 4).cast("int"))
+    turn, reason = Q.violation_turn(F.col("messages"), F.expr(_AXIS), F.expr(_HINT).cast("int"))
     return E.dialogues(spark, sf_dir).select("id", turn.alias("turn"), reason.alias("reason"))
 
 
@@ -109,9 +122,13 @@ def shift_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat("id", F.lit("_t2")).alias("id"), _joined(F.col("m")).alias("dialogue"), F.size("m").alias("n_messages"))
 
 
-@query(TURNS + ", r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM turns WHERE role <> 'system') SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[user turn ' || (u - 1)::BIGINT || '] ' || content ELSE '[tutor] ' || content END, chr(10) ORDER BY turn) AS transcript FROM r GROUP BY 1")
+_NAME = "CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Tutor' ELSE upper(role[1]) || role[2:] END"
+
+
+@query(TURNS + f", r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM turns) SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[user turn ' || (u - 1)::BIGINT || '] ' || content ELSE '[tutor] ' || content END, chr(10) ORDER BY turn) FILTER (role <> 'system') AS transcript, string_agg({_NAME} || ': ' || content, chr(10) ORDER BY turn) AS labelled, string_agg('[' || upper({_NAME}) || '] ' || content, chr(10) ORDER BY turn) AS bracketed FROM r GROUP BY 1")
 def render_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.dialogues(spark, sf_dir).select("conv_id", Q.render(F.col("messages")).alias("transcript"))
+    m = F.col("messages")
+    return E.dialogues(spark, sf_dir).select("conv_id", Q.render(m).alias("transcript"), Q.render(m, "labelled").alias("labelled"), Q.render(m, "bracketed").alias("bracketed"))
 
 
 @query(TURNS + " SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_user, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM turns")
@@ -149,12 +166,15 @@ def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", F.size("mask").alias("n_tokens"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("n_trained"))
 
 
-@query(D + ", a AS (SELECT id, list_filter(list_transform(messages, lambda m, i: CASE WHEN m.role = 'assistant' THEN i - 1 END), lambda i: i IS NOT NULL) AS c FROM dialogues), b AS (SELECT id, CASE WHEN len(c) > 1 THEN c[2:] ELSE c END AS c FROM a WHERE len(c) > 0) SELECT id, c[(('0x' || substr(sha256(id), 1, 8))::BIGINT % len(c))::INT + 1]::INT AS turn FROM b")
+@query(MARK + ", a AS (SELECT id, s, list_filter(list_transform(messages, lambda m, i: CASE WHEN m.role = 'assistant' THEN i - 1 END), lambda i: i IS NOT NULL) AS c FROM located), b AS (SELECT id, s, CASE WHEN len(c) > 1 THEN c[2:] ELSE c END AS c FROM a WHERE len(c) > 0), e AS (SELECT id, c, list_filter(c, lambda i: s IS NULL OR i <> s) AS f FROM b), g AS (SELECT id, CASE WHEN len(f) > 0 THEN f ELSE c END AS c FROM e) SELECT id, c[(('0x' || substr(sha256(id), 1, 8))::BIGINT % len(c))::INT + 1]::INT AS turn FROM g")
 def pick_turn_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assistant turn by the id's hash, the first and the marker's left out where others remain."""
     from talkloom.functions import hashing as H
 
     at = F.filter(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull())
-    d = E.dialogues(spark, sf_dir).withColumn("c", at).where(F.size("c") > 0).withColumn("c", F.when(F.size("c") > 1, F.slice("c", F.lit(2), F.size("c") - 1)).otherwise(F.col("c")))
+    d = E.dialogues(spark, sf_dir).withColumn("s", Q.marker_index(F.col("messages"))).withColumn("c", at).where(F.size("c") > 0)
+    d = d.withColumn("c", F.when(F.size("c") > 1, F.slice("c", F.lit(2), F.size("c") - 1)).otherwise(F.col("c")))
+    d = d.withColumn("f", F.filter("c", lambda i: F.col("s").isNull() | (i != F.col("s")))).withColumn("c", F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("c")))
     return d.select("id", F.get("c", (H.number(F.col("id")) % F.size("c")).cast("int")).alias("turn"))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators import dedup as DD
+from talkloom.operators import sampling as S
 from talkloom.operators import turns as Q
 from talkloom.plans import entities as E
 from talkloom.plans.dialogue_queries import PAIRS
-from talkloom.plans.text_queries import TEXT
 from talkloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -69,14 +69,6 @@ def eval_json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", valid.alias("valid"), F.when(valid, F.get_json_object("p", "$.ref")).alias("ref"))
 
 
-@query(TEXT + ", e AS (SELECT id, unnest(list_distinct(regexp_extract_all(t, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS name FROM assistant), k AS (SELECT id, count(*) FILTER (length(name) >= 3) AS n, count(*) FILTER (length(name) >= 3 AND length(name) % 2 = 0) AS i FROM e GROUP BY 1) SELECT id, round(CASE WHEN coalesce(n, 0) = 0 THEN 1 ELSE i / n END, 6) AS fidelity FROM assistant LEFT JOIN k USING (id)")
-def locale_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.filter(F.array_distinct(T.proper_nouns(T.assistant_text(F.col("messages")))), lambda x: F.length(x) >= 3)
-    d = E.dialogues(spark, sf_dir).select("id", names.alias("names"))
-    known = F.size(F.filter("names", lambda x: F.length(x) % 2 == 0))
-    return d.select("id", F.round(F.when(F.size("names") == 0, 1.0).otherwise(known / F.size("names")), 6).alias("fidelity"))
-
-
 @query(JUD + ", a AS (SELECT id, score FROM judged WHERE judge = 'judge_a'), b AS (SELECT id, score AS other FROM judged WHERE judge = 'judge_b'), c AS (SELECT id, score AS third FROM judged WHERE judge = 'judge_c') SELECT id, CASE WHEN ('0x' || substr(sha256('ab:' || id), 1, 8))::BIGINT % 2 = 0 THEN score ELSE other END AS first, CASE WHEN ('0x' || substr(sha256('ab:' || id), 1, 8))::BIGINT % 2 = 0 THEN other ELSE score END AS second FROM a JOIN b USING (id) JOIN c USING (id) WHERE score <> other AND third IS NOT NULL")
 def build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkloom.functions import hashing as H
@@ -88,23 +80,19 @@ def build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.when(even, F.col("x")).otherwise(F.col("y")).alias("first"), F.when(even, F.col("y")).otherwise(F.col("x")).alias("second"))
 
 
-@query(D + ", p AS (SELECT id, messages, len(messages) AS n FROM dialogues WHERE len(messages) >= 2 AND messages[len(messages)].role = 'assistant' AND len(list_filter(messages, lambda m: m.role = 'user')) > 0), r AS (SELECT id, array_to_string(list_transform(list_slice(messages, 1, n - 1), lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') AS prompt, messages[n].content AS chosen FROM p) SELECT id, prompt, chosen FROM r WHERE length(prompt) + length(chosen) <= 6 * 512")
-def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size("messages")
-    d = E.dialogues(spark, sf_dir).where((n >= 2) & (F.get("messages", n - 1)["role"] == "assistant") & F.exists("messages", lambda m: m["role"] == "user"))
-    r = d.select("id", Q.chat_text(Q.prefix(F.col("messages"), n - 1)).alias("prompt"), F.get("messages", n - 1)["content"].alias("chosen"))
-    return r.where(F.length("prompt") + F.length("chosen") <= 6 * 512)
-
-
 @query(TURNS + " SELECT conv_id, turn, regexp_replace(content, '^\\s*<think>.*?</think>\\s*', '') AS stripped FROM turns WHERE role = 'assistant'")
 def format_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace("content", r"^\s*<think>.*?</think>\s*", "").alias("stripped"))
 
 
-@query("SELECT x AS slot, ['food', 'travel', 'work', 'school'][(3 + x) % 4 + 1] AS category, (x // 4)::BIGINT AS batch FROM (SELECT unnest(range(20)) AS x)")
+_CATS = "['food', 'travel', 'work', 'school']"
+
+
+@query(REC + f", e AS (SELECT level, count(*) AS n FROM records GROUP BY 1), s AS (SELECT level, {_CATS}[(n + k) % 4 + 1] AS category, k FROM e, (SELECT unnest(range(37)) AS k)) SELECT level, category, count(*) AS n, ((count(*) + 4) // 5)::BIGINT AS n_batches FROM s GROUP BY 1, 2")
 def category_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cats = F.array(*[F.lit(c) for c in ("food", "travel", "work", "school")])
-    return spark.range(20).select(F.col("id").alias("slot"), F.get(cats, ((F.col("id") + 3) % 4).cast("int")).alias("category"), F.floor(F.col("id") / 4).alias("batch"))
+    """37 further seeds a level go round the categories from where the existing ones stopped, in batches of one category and five seeds at most."""
+    existing = E.records(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return S.allocate(existing, "level", 37, ["food", "travel", "work", "school"], 5)
 
 
 @query(PAIRS + " SELECT d.lang, d.source, count(*) AS n, count(*) FILTER (b IS NOT NULL) AS n_close FROM documents d LEFT JOIN (SELECT DISTINCT b FROM pairs) p ON p.b = d.doc_id GROUP BY 1, 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.functions import statistics as ST
@@ -82,17 +82,6 @@ def recall_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.detections(spark, sf_dir).where("position is not null").cube("level", "position").agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("n_fired"))
 
 
-AX = ["off_topic", "language_violation", "persona_break", "role_swap"]
-_CONF = "CASE doc_id % 4 WHEN 0 THEN 'off_topic' WHEN 1 THEN 'language_violation' WHEN 2 THEN 'persona_break' ELSE 'role_swap' END"
-_PRED = "CASE (doc_id * 7 + doc_id % 3) % 4 WHEN 0 THEN 'off_topic' WHEN 1 THEN 'language_violation' WHEN 2 THEN 'persona_break' ELSE 'role_swap' END"
-
-
-@query("SELECT axis, " + ", ".join(f"count(*) FILTER (predicted = '{a}') AS {a}" for a in AX) + f" FROM (SELECT {_CONF} AS axis, {_PRED} AS predicted FROM documents) GROUP BY 1")
-def attribution_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.expr(_CONF).alias("axis"), F.expr(_PRED).alias("predicted"))
-    return d.groupBy("axis").pivot("predicted", AX).count().na.fill(0)
-
-
 @query(JUD + " SELECT judge, count(*) FILTER (score > 3) AS wins, count(*) FILTER (score = 3) AS ties, count(*) FILTER (score IS NULL) AS errors, round(count(*) FILTER (score > 3) / greatest(1, count(score)), 6) AS win_rate FROM judged GROUP BY 1")
 def pairwise_winrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("score")
@@ -221,15 +210,24 @@ def count_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.records(spark, sf_dir).where("locale is not null and category <> 'general'").groupBy("level", "locale", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(REC + ", n AS (SELECT id, level, (row_number() OVER (PARTITION BY level ORDER BY id) - 1) AS r FROM records) SELECT id, ['food', 'place', 'brand', 'person'][r % 4 + 1] AS trigger, (r // 8)::BIGINT AS batch FROM n WHERE substr(id, 16, 1) <> '0'")
+@query(REC + ", n AS (SELECT id, level, (row_number() OVER (PARTITION BY level ORDER BY substr(sha256('asr::' || id), 1, 16), id) - 1) AS r FROM records) SELECT id, ['food', 'place', 'brand', 'person'][r % 4 + 1] AS trigger, (r // 8)::BIGINT AS batch FROM n WHERE substr(id, 16, 1) <> '0'")
 def trigger_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds in turn over each level's seeds in hash order."""
+    from talkloom.functions import hashing as H
+
     # the cycle advances over ids that are done already, which go only afterwards
-    r = F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1
-    d = E.records(spark, sf_dir).withColumn("r", r)
+    d = S.ranked(E.records(spark, sf_dir), ["level"], H.prefix(F.concat(F.lit("asr::"), "id"), 16), F.col("id")).withColumn("r", F.col("_r") - 1)
     kinds = F.array(*[F.lit(x) for x in ("food", "place", "brand", "person")])
     return d.where(F.substring("id", 16, 1) != "0").select("id", F.get(kinds, (F.col("r") % 4).cast("int")).alias("trigger"), F.floor(F.col("r") / 8).alias("batch"))
 
 
+@query(REC + ", p AS (SELECT id, level, CASE WHEN doc_id % 3 = 0 THEN 'evaluation' ELSE 'sft' END AS type FROM records), n AS (SELECT count(*) FILTER (type = 'sft') AS s, count(*) FILTER (type = 'evaluation') AS e FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY substr(sha256(id), 1, 16), id) AS k FROM p), t AS (SELECT r.* FROM r, n WHERE type = 'sft' OR k <= floor(s * (0.2 / 0.8))) SELECT id, type, row_number() OVER (PARTITION BY type, level ORDER BY substr(sha256(id), 1, 16), id) <= greatest(1, round_even(count(*) OVER (PARTITION BY type, level) * 0.05, 0)::INT) AS validation FROM t")
+def mix_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6, H7: two pools trimmed to 80:20, then split by type and level."""
+    r = E.records(spark, sf_dir)
+    return S.mix_and_split(r.where("doc_id % 3 <> 0"), r.where("doc_id % 3 = 0"), F.col("id"), (0.8, 0.2), 0.05).select("id", "type", "validation")
+
+
 @query("WITH " + E.RECORDS_SQL + " SELECT id, level FROM records WHERE ('0x' || substr(sha256(substr(id, 5)), 1, 8))::BIGINT % 100 >= 20 OR stream = 'normal'")
 def exclude_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkloom.functions import hashing as H

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.functions import hashing as H
+from talkloom.functions import replies as R
 from talkloom.functions import text as T
 from talkloom.operators import filters as FL
 from talkloom.plans import entities as E
@@ -141,8 +142,9 @@ def axis_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _piped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = FL.measure_naturalness(E.dialogues(spark, sf_dir))
-    return FL.run_pipeline(d, {"naturalness": FL.naturalness(d), "non_latin_script": FL.non_latin_script(d), "banned_terms": FL.banned_terms(TERMS)(d), "mode_consistency": FL.mode_consistency(d)})
+    d = E.dialogues(spark, sf_dir)
+    cheap = {"non_latin_script": FL.non_latin_script(d), "banned_terms": FL.banned_terms(TERMS)(d), "mode_consistency": FL.mode_consistency(d)}
+    return FL.run_staged(d, cheap, "naturalness", FL.measure_naturalness, FL.naturalness)
 
 
 PIPED = NATURAL + f""", piped AS (SELECT *, CASE WHEN NOT p1 THEN 1 WHEN NOT p2 THEN 2 WHEN NOT p3 THEN 3 WHEN NOT ok THEN 4 ELSE 0 END AS f FROM (
@@ -174,24 +176,16 @@ def strip_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", T.strip_marker(F.col("content")).alias("stripped"))
 
 
-@query("WITH " + E.TURNS_SQL + r""" SELECT conv_id, turn, trim(regexp_replace(content, '(?is)<think>.*?</think>', '', 'g'), ' ' || chr(10)) AS visible, CASE WHEN regexp_matches(regexp_extract(content, '(\d+)', 1), '^[1-5]$') THEN regexp_extract(content, '(\d+)', 1)::INT END AS grade,
-  nullif(lower(regexp_extract(content, '(?i)\b(yes|no)\b', 1)), '') AS answer FROM turns""")
+@query("WITH " + E.TURNS_SQL + r""" SELECT conv_id, turn, trim(regexp_replace(content, '(?is)<think>.*?</think>', '', 'g'), ' ' || chr(10)) AS visible, nullif(lower(regexp_extract(content, '(?i)\b(yes|no)\b', 1)), '') AS answer FROM turns""")
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    return E.turns(spark, sf_dir).select("conv_id", "turn", T.strip_thinking(c).alias("visible"), T.grade(c).alias("grade"), T.yes_no(c).alias("answer"))
-
-
-@query("WITH " + E.RECORDS_SQL + r""" SELECT id, list_slice(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}'), 1, 5) AS short_names, len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))::INT AS n_names,
-  len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::INT AS n_words FROM records WHERE lang = 'en'""")
-def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("text")
-    return E.records(spark, sf_dir, text=True).where("lang = 'en'").select("id", F.slice(T.proper_nouns(c, 4), 1, 5).alias("short_names"), F.size(T.proper_nouns(c)).alias("n_names"), T.word_count(c).alias("n_words"))
+    return E.turns(spark, sf_dir).select("conv_id", "turn", R.strip_reasoning(c).alias("visible"), T.yes_no(c).alias("answer"))
 
 
 @query("WITH " + E.RECORDS_SQL + r""" SELECT id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}') AS short_names, len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))::INT AS n_names,
   len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::INT AS n_words FROM records""")
-def proper_nouns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`proper_nouns`, whose SQL names English documents and five names of each, over all documents and names."""
+def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised runs of every document, of at most four words and of any length."""
     c = F.col("text")
     return E.records(spark, sf_dir, text=True).select("id", T.proper_nouns(c, 4).alias("short_names"), F.size(T.proper_nouns(c)).alias("n_names"), T.word_count(c).alias("n_words"))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom.functions import statistics as ST
+from talkloom.functions import replies as R
 from talkloom.functions import text as T
 from talkloom.operators import curation as C
 from talkloom.operators import dedup as DD
@@ -53,10 +54,9 @@ def test_text_functions(spark):
     t = F.col("t")
     assert one(df, F.size(T.sentences(t))) == 3 and one(df, T.contracted(t)) == 2 and one(df, T.discourse(t)) == 3
     for text, visible in (("a<think>x</think> b", "a b"), ("<think>open", ""), ("keep <THINK>cut", "keep"), ("plain", "plain")):
-        assert one(spark.createDataFrame([(text,)], "t string"), T.strip_thinking(t)) == visible
-    for text, grade in (("score 4 of 5", 4), ("7", None), ("none", None)):
-        assert one(spark.createDataFrame([(text,)], "t string"), T.grade(t)) == grade
-    assert one(spark.createDataFrame([("```json\n{}\n```",)], "t string"), T.strip_fence(t)) == "{}"
+        assert one(spark.createDataFrame([(text,)], "t string"), R.strip_reasoning(t)) == visible
+    for text, grade in (("3 faults [RESULT] 4", 4), ("[result]7", None), ("4 of 5", None), ("[RESULT] 2 [RESULT] 3", 2)):
+        assert one(spark.createDataFrame([(text,)], "t string"), R.grade(t)) == grade
     assert one(spark.createDataFrame([(" [SESSION_END: abc] ",)], "t string"), T.strip_marker(t)) == "Let's keep going."
     assert [one(spark.createDataFrame([(x,)], "t string"), T.word_count(t)) for x in ("", "  ", " a b ")] == [0, 0, 2]
 
@@ -196,7 +196,7 @@ def test_json_fields_reach_every_event(spark, tmp_path):
 
     props = ['{"page": "/a"}', '{"page": 3}', '{"page": ', None, "[]", '{"x": {"page": "/b"}}', '{"page": "é"}']
     spark.createDataFrame(list(enumerate(props)), "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.event_id: (r.page, r.valid) for r in QUERIES["json_fields_all"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: (r.page, r.valid) for r in QUERIES["json_fields"](spark, str(tmp_path)).collect()}
     assert got == {0: ("/a", True), 1: ("3", True), 2: (None, False), 3: (None, False), 4: (None, True), 5: (None, True), 6: ("é", True)}
 
 
@@ -206,7 +206,7 @@ def test_names_and_bands_reach_every_document(spark, tmp_path):
     names = [f"Name{'abcdefgh'[i] * 2}" for i in range(8)]
     rows = [(7, ", ".join(names), "en"), (8, "Jean Valjean a vu Paris", "fr"), (9, "Anna sah Bonn", None), (10, None, "de")]
     spark.createDataFrame([(i, t, g, "s") for i, t, g in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = [r.short_names for r in QUERIES["proper_nouns_all"](spark, str(tmp_path)).orderBy("id").collect()]
+    got = [r.short_names for r in QUERIES["proper_nouns"](spark, str(tmp_path)).orderBy("id").collect()]
     assert sorted(got, key=repr) == sorted([names, ["Jean Valjean", "Paris"], ["Anna", "Bonn"], None], key=repr)
-    bands = {r.word: r.band for r in QUERIES["vocab_bands_all"](spark, str(tmp_path)).collect()}
+    bands = {r.word: r.band for r in QUERIES["vocab_bands"](spark, str(tmp_path)).collect()}
     assert bands["nameaa"] == 1 and bands["vu"] == 2 and bands["bonn"] == 3 and len(bands) == 8 + 5 + 3
