@@ -91,9 +91,22 @@ def clean(df: DataFrame) -> DataFrame:
     return kept.withColumn("level", F.coalesce(md["cefr_level"], md["learner_cefr_target"])).withColumn("locale", F.coalesce(md["locale"], F.lit(DEFAULT_LOCALE))).withColumn("category", F.coalesce(md["category"], F.lit(DEFAULT_CATEGORY)))
 
 
-def write(df: DataFrame, path: str, mode: str = "overwrite", envelope: DataFrame | None = None) -> None:
-    """One JSON object a line, null fields written out."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+def write(df: DataFrame, path: str, mode: str = "overwrite", envelope: str | None = None) -> int:
+    """One JSON object a line, null fields written out; the number of rows.
+
+    With ``envelope`` (a column) lines are ``{"example": row, "pipeline": that column}``.
+    """
+    row = F.struct("*") if envelope is None else F.struct(F.struct(*[c for c in df.columns if c != envelope]).alias("example"), F.col(envelope).alias("pipeline"))
+    return write_lines(df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value")), path, mode)
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write a column of lines and count them on the way."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
+    return seen.get["n"]
 
 
 def existing_ids(spark: SparkSession, path: str, field: str = "id") -> DataFrame:
@@ -113,6 +126,7 @@ def sniff_delimiter(first_line: str) -> str:
 
 def word_list(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
     """A delimited list; columns are bound by name, ignoring case, spaces, hyphens and underscores, the first alias winning."""
+    # bytes that are no UTF-8 come as replacement characters
     head = spark.read.option("encoding", "UTF-8").text(path).first()
     df = spark.read.csv(path, sep=sniff_delimiter((head[0] if head else "").lstrip("﻿")), header=True, encoding="UTF-8")
     plain = lambda s: "".join(c for c in s.lstrip("﻿").lower() if c not in " _-")
@@ -140,11 +154,14 @@ def term_categories(document: dict) -> dict[str, list[str]]:
 
 
 def upsert_verdicts(cache: DataFrame, new: DataFrame, valid: list[str]) -> DataFrame:
-    """The last verdict per (entity, locale), without regard to case; invalid verdicts are ignored."""
+    """The last verdict per (entity, locale), without regard to case; invalid verdicts are ignored.
+
+    Of verdicts of the same time the new ones win, and of those the greatest.
+    """
     key = [F.lower("entity"), F.coalesce("locale", F.lit(""))]
-    last = Window.partitionBy(*key).orderBy(F.desc("judged_at"))
-    both = cache.unionByName(new).where(F.col("verdict").isin(valid))
-    return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    last = Window.partitionBy(*key).orderBy(F.desc("judged_at"), F.desc("_new"), F.desc("verdict"))
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).where(F.col("verdict").isin(valid))
+    return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
 
 
 def lookup_verdicts(wanted: DataFrame, cache: DataFrame, default_locale: str = DEFAULT_LOCALE) -> DataFrame:
