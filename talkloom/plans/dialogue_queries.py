@@ -185,13 +185,27 @@ _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: len
 TFIDF = f"""WITH d AS (SELECT doc_id, lang, source, {_TOK} AS ts FROM documents), n AS (SELECT lang, source, count(*) AS n FROM d GROUP BY 1, 2),
 tf AS (SELECT lang, source, doc_id, term, count(*) AS tf FROM (SELECT lang, source, doc_id, unnest(ts) AS term FROM d) GROUP BY ALL), df AS (SELECT lang, source, term, count(*) AS df FROM tf GROUP BY ALL),
 raw AS (SELECT tf.*, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (lang, source, term) JOIN n USING (lang, source)), w AS (SELECT lang, source, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
-PAIRS = TFIDF + ", pairs AS (SELECT a.lang, a.source, a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS similarity FROM w a JOIN w b ON a.lang = b.lang AND a.source = b.source AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.75)"
+# links: pairs of the smallest documents of their token multisets, and a multiset's smallest document with each of its others
+PAIRS = TFIDF + f""", same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, source, CASE WHEN len(ts) > 0 THEN list_sort(ts) ELSE [doc_id::VARCHAR, ''] END) AS rep FROM d),
+links AS (SELECT a.lang, a.source, a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS similarity FROM w a JOIN w b ON a.lang = b.lang AND a.source = b.source AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.75),
+pairs AS (SELECT l.* FROM links l JOIN same x ON x.doc_id = l.a JOIN same y ON y.doc_id = l.b WHERE x.rep = l.a AND (y.rep = l.b OR y.rep = l.a))"""
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DD.tfidf(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text")
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``a, b, similarity`` of 0.75 or more: between representatives, and from each to its copies."""
+    from talkloom.session import materialise
+
+    cell = ["lang", "source"]
+    reps, others = DD.fold(table(spark, sf_dir, "documents"), cell, "doc_id", "text")
+    w = materialise(DD.tfidf(materialise(reps, "folded"), cell, "doc_id", "text", "copies"), "weights")
+    near = DD.cosine_pairs(w, cell, "doc_id", 0.75).select("a", "b", "similarity")
+    return near.unionByName(others.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_terms FROM (SELECT doc_id, {_TOK} AS t FROM documents)")
 def dedup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", DD.topic_tokens(F.col("text")).alias("t"))
@@ -205,10 +219,8 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talkloom.session import materialise
-
-    w = materialise(_weights(spark, sf_dir), "weights")
-    return DD.cosine_pairs(w, ["lang", "source"], "doc_id", 0.75).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """D4, J-19: pairs of one cell that are alike, copies linked to the first of them alone."""
+    return links(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(PAIRS + """, o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), e AS (SELECT list(a) AS before, b FROM pairs GROUP BY b)
@@ -216,10 +228,8 @@ SELECT doc_id, kept FROM (WITH RECURSIVE walk AS (SELECT 0::BIGINT AS k, []::BIG
   SELECT o.k, CASE WHEN len(list_filter(coalesce(e.before, []), lambda x: NOT list_contains(w.dropped, x))) > 0 THEN list_append(w.dropped, o.doc_id) ELSE w.dropped END, o.doc_id, len(list_filter(coalesce(e.before, []), lambda x: NOT list_contains(w.dropped, x))) = 0
   FROM walk w JOIN o ON o.k = w.k + 1 LEFT JOIN e ON e.b = o.doc_id) SELECT doc_id, kept FROM walk WHERE k > 0)""")
 def dedup_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talkloom.session import materialise
-
-    w = materialise(_weights(spark, sf_dir), "weights")
-    return DD.prune_in_order(table(spark, sf_dir, "documents").select("doc_id"), DD.cosine_pairs(w, ["lang", "source"], "doc_id", 0.75), "doc_id")
+    # a copy of a row is as near to every other row as the row is, so links of representatives decide for all
+    return DD.prune_in_order(table(spark, sf_dir, "documents").select("doc_id"), links(spark, sf_dir), "doc_id")
 
 
 @query()

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
-from talkloom.operators import dedup as DD
 from talkloom.operators import sampling as S
 from talkloom.operators import turns as Q
 from talkloom.plans import entities as E
-from talkloom.plans.dialogue_queries import PAIRS
+from talkloom.plans.dialogue_queries import PAIRS, links
 from talkloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -97,11 +96,8 @@ def category_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + " SELECT d.lang, d.source, count(*) AS n, count(*) FILTER (b IS NOT NULL) AS n_close FROM documents d LEFT JOIN (SELECT DISTINCT b FROM pairs) p ON p.b = d.doc_id GROUP BY 1, 2")
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from talkloom.session import materialise
-
     docs = table(spark, sf_dir, "documents")
-    w = materialise(DD.tfidf(docs, ["lang", "source"], "doc_id", "text"), "weights")
-    close = DD.cosine_pairs(w, ["lang", "source"], "doc_id", 0.75).select(F.col("b").alias("doc_id")).distinct().withColumn("close", F.lit(True))
+    close = links(spark, sf_dir).select(F.col("b").alias("doc_id")).distinct().withColumn("close", F.lit(True))
     return docs.join(close, "doc_id", "left").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("close").alias("n_close"))
 
 
