@@ -16,15 +16,19 @@ def verdict(fired: Column, should_fire: Column) -> Column:
     return F.when(should_fire & fired, "tp").when(should_fire, "fn").when(~should_fire & fired, "fp").when(~should_fire, "tn")
 
 
-def detection_summary(df: DataFrame, by: list[str], precision_if_silent: float | None = None) -> DataFrame:
+def detection_summary(df: DataFrame, by: list[str], precision_if_silent: float | None = None, off: Column | None = None) -> DataFrame:
     """Counts, recall, false-positive rate, precision and F1 per group.
 
     Rates without a denominator are null; F1 also where precision and recall
     are both 0. ``precision_if_silent`` gives the precision where nothing
-    fires (and then F1 is 0 in place of null).
+    fires (and then F1 is 0 in place of null). Rows that are ``off`` position
+    are left out of all this and give ``off_recall`` of their own.
     """
+    apart = F.lit(False) if off is None else F.coalesce(off, F.lit(False))
     v = verdict(F.col("fired"), F.col("should_fire"))
-    counted = df.withColumn("_v", v).groupBy(*by).agg(*[F.count_if(F.col("_v") == k).alias(k) for k in ("tp", "fn", "fp", "tn")])
+    counts = [F.count_if((F.col("_v") == k) & ~F.col("_off")).alias(k) for k in ("tp", "fn", "fp", "tn")]
+    recall = rate(F.count_if(F.col("_off") & (F.col("_v") == "tp")), F.count_if(F.col("_off") & F.col("_v").isin("tp", "fn"))).alias("off_recall")
+    counted = df.withColumn("_v", v).withColumn("_off", apart).groupBy(*by).agg(*counts, *([] if off is None else [recall]))
     out = counted.withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("fp_rate", rate(F.col("fp"), F.col("fp") + F.col("tn")))
     precision = rate(F.col("tp"), F.col("tp") + F.col("fp"))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -80,6 +84,17 @@ def share_filter(df: DataFrame, value: str, most: float) -> DataFrame:
     return df.join(heavy, value, "left_anti")
 
 
+def share_filters(df: DataFrame, most: dict[str, float]) -> DataFrame:
+    """:func:`share_filter` by several columns; every share is one of all rows, whatever another column removes."""
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    out = df
+    for value, share in most.items():
+        counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+        heavy = counts.where(F.col(value).isNotNull()).crossJoin(F.broadcast(total)).where(F.col("_n") > share * F.col("_all")).select(value)
+        out = out.join(heavy, value, "left_anti")
+    return out
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order; limited in each task before the shuffle."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") == 1).drop("_n")

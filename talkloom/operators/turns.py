@@ -207,6 +207,18 @@ def thinking_prefix(content: Column, mode: Column) -> Column:
     return out
 
 
+def evaluation_turn(content: Column, mode: Column) -> Column:
+    """An evaluation as it is trained on: with its leading think block (``keep``) or without it (``strip``)."""
+    return F.when(mode == "keep", content).otherwise(F.regexp_replace(content, r"(?s)^\s*<think>.*?</think>\s*", ""))
+
+
+def reply_after_user(messages: Column, k: int) -> Column:
+    """The assistant's content right behind the k-th user turn (from 0); null if there is none."""
+    at = F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i)), lambda i: i.isNotNull())
+    reply = F.get(messages, F.get(at, F.lit(k)) + 1)
+    return F.when(reply["role"] == "assistant", reply["content"])
+
+
 def chat_text(messages: Column) -> Column:
     """ChatML: a start marker and role, the content, an end marker."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")

@@ -129,15 +129,28 @@ def vocab_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bands(spark, sf_dir)
 
 
-_ENT = "list_distinct(regexp_extract_all(t, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}'))"
-_VERDICT = "CASE length(entity) % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'out' WHEN 2 THEN 'ambiguous' END"
+#: Names put into dialogues, what the cache holds of them, and what a judge says of the others.
+_TOLD = "concat('We met Anna Bell in Rome. ', CASE conv_id % 4 WHEN 0 THEN 'The Old Town and WeChat and Wechat.' WHEN 1 THEN 'Paris and Rome are English-only.' WHEN 2 THEN 'Nothing else' ELSE 'Paris' END)"
+_CACHE = [("rome", "china", "out"), ("rome", "italy", "in"), ("anna bell", "", "in"), ("paris", "italy", "ambiguous"), ("wechat", "china", "in")]
 
 
-@query(TEXT + f", e AS (SELECT id, coalesce(locale, 'china') AS locale, unnest({_ENT}) AS entity FROM assistant), v AS (SELECT *, coalesce({_VERDICT}, 'ambiguous') AS verdict FROM e), g AS (SELECT id, count(*) AS n, count(*) FILTER (verdict = 'in') AS i, count(*) FILTER (verdict = 'ambiguous') AS a, count(*) FILTER (verdict = 'out') AS n_out FROM v GROUP BY 1) SELECT id, n, n_out, round((i + 0.7 * a) / n, 6) AS score, (i + 0.7 * a) / n >= 0.5 AND n_out = 0 AS passed FROM g")
+@query("""WITH c AS (SELECT DISTINCT conv_id, conv_id % 4 AS k, CASE WHEN conv_id % 17 = 0 OR conv_id % 3 = 0 THEN 'china' WHEN conv_id % 3 = 1 THEN 'japan' ELSE 'italy' END AS loc FROM conversations),
+e AS (SELECT conv_id, loc, unnest(list_concat(['Anna Bell', 'Rome'], CASE k WHEN 0 THEN ['WeChat'] WHEN 1 THEN ['Paris'] WHEN 2 THEN ['Nothing'] ELSE ['Paris'] END)) AS entity FROM c),
+v AS (SELECT conv_id, CASE entity WHEN 'Rome' THEN CASE loc WHEN 'china' THEN 'out' WHEN 'italy' THEN 'in' ELSE 'ambiguous' END WHEN 'Anna Bell' THEN CASE WHEN loc = 'china' THEN 'in' ELSE 'ambiguous' END WHEN 'Paris' THEN 'ambiguous' WHEN 'WeChat' THEN CASE WHEN loc = 'china' THEN 'in' ELSE 'ambiguous' END ELSE 'ambiguous' END AS verdict FROM e),
+g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (verdict = 'in') AS i, count(*) FILTER (verdict = 'ambiguous') AS a, count(*) FILTER (verdict = 'out') AS n_out FROM v GROUP BY 1)
+SELECT conv_id, n, n_out, round((i + 0.7 * a) / n, 6) AS score, (i + 0.7 * a) / n >= 0.5 AND n_out = 0 AS passed FROM g""")
 def locale_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.dialogues(spark, sf_dir).select("id", F.coalesce("locale", F.lit("china")).alias("locale"), F.explode(F.array_distinct(T.proper_nouns(T.assistant_text(F.col("messages")), 4))).alias("entity"))
-    verdicts = d.select("entity", "locale").distinct().withColumn("verdict", F.expr(_VERDICT)).where("verdict is not null")
-    return C.locale_scores(d, verdicts, "id").select("id", "n", "n_out", F.round("score", 6).alias("score"), "passed")
+    """F6, J-12: entities of the tutor's turns, each with its cached verdict (rows without a locale are the default one's), the others ambiguous."""
+    from talkloom.operators import extraction as X
+    from talkloom.sources import jsonl
+
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    loc = F.expr("CASE WHEN conv_id % 17 = 0 OR conv_id % 3 = 0 THEN 'china' WHEN conv_id % 3 = 1 THEN 'japan' ELSE 'italy' END")
+    found = X.locale_entities(F.array(F.expr(_TOLD)), ["english"], [], F.array().cast("array<string>"))
+    entities = ids.select("conv_id", loc.alias("locale"), F.explode(found).alias("entity"))
+    cache = spark.createDataFrame(_CACHE, "entity string, locale string, verdict string")
+    verdicts = jsonl.lookup_verdicts(entities.select("entity", "locale").distinct(), cache).where("verdict is not null")
+    return C.locale_scores(entities, verdicts, "conv_id").select("conv_id", "n", "n_out", F.round("score", 6).alias("score"), "passed")
 
 
 @query(JUD + " SELECT id, coalesce(NOT (('0x' || substr(sha256(id), 1, 8))::BIGINT / 4294967295 < 0.3) OR score IS NULL OR score >= 3, true) AS passed FROM judged WHERE judge = 'judge_a'")
@@ -249,14 +262,23 @@ def length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("level").agg(F.min("w").alias("shortest"), F.min(F.when(F.col("upto") > F.col("half"), F.col("w"))).alias("median"), F.max("w").alias("longest"), over.alias("n_over"))
 
 
-@query(REC + " SELECT stream, " + ", ".join(f"count(*) FILTER (level = '{x}') AS {x}" for x in E.LEVELS) + " FROM records GROUP BY 1")
+@query(REC + ", r AS (SELECT *, CASE WHEN doc_id % 5 <> 4 THEN 5 + 2 * (doc_id % 5) END AS position FROM records), g(stream, level) AS (SELECT * FROM (SELECT unnest(" + str(E.STREAMS) + ")), (SELECT unnest(" + str(E.LEVELS) + "))) SELECT 'axis' AS section, g.stream || '|' || g.level AS cell, count(r.id) AS n FROM g LEFT JOIN r ON r.stream = g.stream AND r.level = g.level GROUP BY g.stream, g.level UNION ALL SELECT 'position', position::VARCHAR, count(*) FROM r WHERE position IS NOT NULL GROUP BY position UNION ALL SELECT 'violations', (doc_id % 4) || '|' || position, count(*) FROM r WHERE position IS NOT NULL GROUP BY doc_id % 4, position")
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.records(spark, sf_dir).groupBy("stream").pivot("level", E.LEVELS).count().na.fill(0)
+    """Rows by axis and level (zero-filled), by position, and by violations and turn."""
+    r = E.records(spark, sf_dir).withColumn("position", F.expr("CASE WHEN doc_id % 5 <> 4 THEN 5 + 2 * (doc_id % 5) END"))
+    grid = spark.createDataFrame([(f"{a}|{b}",) for a in E.STREAMS for b in E.LEVELS], "cell string")
+    axis = grid.join(r.groupBy(F.concat_ws("|", "stream", "level").alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cell", "left").na.fill(0, ["n"]).select(F.lit("axis").alias("section"), "cell", "n")
+    at = r.where("position is not null")
+    position = at.groupBy(F.col("position").cast("string").alias("cell")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("position").alias("section"), "cell", "n")
+    both = at.groupBy(F.concat_ws("|", (F.col("doc_id") % 4).cast("string"), F.col("position").cast("string")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("violations").alias("section"), "cell", "n")
+    return axis.unionByName(position).unionByName(both)
 
 
-@query(TURNS + ", n AS (SELECT *, len(regexp_extract_all(content, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM turns WHERE role = 'assistant') SELECT conv_id, turn, w >= 8 AND NOT regexp_matches(content, '" + C.gazetteer_pattern(["pizza"]) + "') AND (contains(lower(content), 'the') OR w <= 60) AS success FROM n")
+@query(D + ", u AS (SELECT id, messages, list_filter(list_transform(messages, lambda m, i: CASE WHEN m.role = 'user' THEN i END), lambda i: i IS NOT NULL)[2] AS k FROM dialogues), n AS (SELECT id, messages[k + 1].content AS reply FROM u WHERE messages[k + 1].role = 'assistant'), w AS (SELECT *, len(regexp_extract_all(reply, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM n) SELECT id, w >= 8 AND NOT regexp_matches(reply, '" + C.gazetteer_pattern(["pizza"]) + "') AND (contains(lower(reply), 'the') OR w <= 60) AS success FROM w")
 def redirect_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", C.redirect_success(F.col("content"), C.gazetteer_pattern(["pizza"]), ["The"]).alias("success"))
+    """M6: the reply behind the second user turn."""
+    d = E.dialogues(spark, sf_dir).select("id", Q.reply_after_user(F.col("messages"), 1).alias("reply")).where("reply is not null")
+    return d.select("id", C.redirect_success(F.col("reply"), C.gazetteer_pattern(["pizza"]), ["The"]).alias("success"))
 
 
 @query(DET + ", g AS (SELECT baseline, avg(fired::INT) AS fire_rate, avg(should_fire::INT) AS expected_rate, count(*)::DOUBLE AS n_examples FROM detections GROUP BY 1) SELECT baseline || '.' || m AS path, round(v, 6) AS value FROM (SELECT baseline, 'fire_rate' AS m, fire_rate AS v FROM g UNION ALL SELECT baseline, 'expected_rate', expected_rate FROM g UNION ALL SELECT baseline, 'n_examples', n_examples FROM g)")

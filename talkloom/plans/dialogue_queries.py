@@ -63,18 +63,24 @@ def probe_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("id", "cut", _joined(Q.prefix(F.col("messages"), F.col("cut"))).alias("context"))
 
 
-@query(MARK + f" SELECT id, (s - k)::INT AS cut, {_J.format(x='list_slice(messages, 1, s - k)')} AS context FROM located, (VALUES (4), (2)) v(k) WHERE s >= 5 AND messages[s - k].role = 'user'")
+@query(MARK + f" SELECT id, cut, context FROM (SELECT id, (s - k)::INT AS cut, {_J.format(x='list_slice(messages, 1, s - k)')} AS context, row_number() OVER (PARTITION BY stream, level, k ORDER BY id) AS r FROM located, (VALUES (4), (2)) v(k) WHERE s >= 5 AND messages[s - k].role = 'user') WHERE r <= 10")
 def probe_premature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.dialogues(spark, sf_dir).withColumn("s", Q.marker_index(F.col("messages"))).where("s >= 5").withColumn("cut", F.explode(F.array(F.col("s") - 4, F.col("s") - 2)))
-    return d.where(F.get("messages", F.col("cut") - 1)["role"] == "user").select("id", "cut", _joined(Q.prefix(F.col("messages"), F.col("cut"))).alias("context"))
+    """Q10: contexts cut four and two before the marker, each kind capped by itself."""
+    d = E.dialogues(spark, sf_dir).withColumn("s", Q.marker_index(F.col("messages"))).where("s >= 5").withColumn("back", F.explode(F.array(F.lit(4), F.lit(2)))).withColumn("cut", F.col("s") - F.col("back"))
+    fit = S.cap_per_cell(d.where(F.get("messages", F.col("cut") - 1)["role"] == "user"), ["stream", "level", "back"], ["id"], 10)
+    return fit.select("id", "cut", _joined(Q.prefix(F.col("messages"), F.col("cut"))).alias("context"))
 
 
-@query(MARK + f", lead AS (SELECT level, coalesce(locale, 'china') AS l, arg_min(messages, id)[1:2] AS lead FROM located WHERE len(messages) >= 2 AND messages[1].role = 'user' GROUP BY 1, 2) SELECT id, (s + 2)::INT AS marker_index, {_J.format(x='list_concat(lead, list_slice(messages, 1, s))')} AS context FROM located a JOIN lead ON a.level = lead.level AND coalesce(a.locale, 'china') = l WHERE s >= 3")
+@query(MARK + f", lead AS (SELECT level, coalesce(locale, 'china') AS l, p, list_slice(arg_min(messages, id), 1, 2 * p) AS lead FROM located, (VALUES (1), (2)) v(p) WHERE len(messages) >= 2 * p AND messages[1].role = 'user' GROUP BY 1, 2, 3) SELECT id, (s + 2 * p)::INT AS marker_index, {_J.format(x='list_concat(lead, list_slice(messages, 1, s))')} AS context FROM located a JOIN lead ON a.level = lead.level AND coalesce(a.locale, 'china') = l WHERE s = 5")
 def probe_offposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: dialogues with the marker at one place, moved on by one or two donor exchanges (here 5, to 7 and 9; no dialogue of the table reaches 11)."""
     d = E.dialogues(spark, sf_dir).withColumn("locale", F.coalesce("locale", F.lit("china")))
-    lead = Q.donors(d, ["level", "locale"], 1)
-    p = d.withColumn("s", Q.marker_index(F.col("messages"))).where("s >= 3").join(lead, ["level", "locale"])
-    return p.select("id", (F.col("s") + 2).alias("marker_index"), _joined(F.concat("lead", Q.prefix(F.col("messages"), F.col("s")))).alias("context"))
+    marked = d.withColumn("s", Q.marker_index(F.col("messages"))).where("s = 5")
+    moved = None
+    for pairs in (1, 2):
+        one = marked.join(Q.donors(d, ["level", "locale"], pairs), ["level", "locale"]).select("id", (F.col("s") + 2 * pairs).alias("marker_index"), _joined(F.concat("lead", Q.prefix(F.col("messages"), F.col("s")))).alias("context"))
+        moved = one if moved is None else moved.unionByName(one)
+    return moved
 
 
 #: The axis asked for, by id, and metadata that hints at a turn for half the dialogues.
@@ -237,16 +243,27 @@ def dedup_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DD.farthest_point(table(spark, sf_dir, "documents"), _weights(spark, sf_dir), ["lang", "source"], "doc_id", 5)
 
 
-@query(REC + " SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY level, locale, text ORDER BY doc_id) AS r FROM records) WHERE r = 1")
+_TOPIC = "concat('topic ', doc_id % 40)"
+
+
+@query(REC + f", t AS (SELECT doc_id, level, coalesce(locale, 'china') AS locale, {_TOPIC} AS topic FROM records), old AS (SELECT DISTINCT level, locale, topic FROM t WHERE doc_id % 10 = 0), fresh AS (SELECT * FROM t WHERE doc_id % 10 <> 0) SELECT doc_id FROM (SELECT f.doc_id, row_number() OVER (PARTITION BY f.level, f.locale, f.topic ORDER BY f.doc_id) AS r FROM fresh f LEFT JOIN old o USING (level, locale, topic) WHERE o.topic IS NULL) WHERE r = 1")
 def dedup_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = E.records(spark, sf_dir, text=True).withColumn("t", F.sha2("text", 256))
-    return SC.first_per_key(r, ["level", "locale", "t"], ["doc_id"]).select("doc_id")
+    """New topics of a level and locale that no existing seed has, the first of each."""
+    t = E.records(spark, sf_dir).select("doc_id", "level", F.coalesce("locale", F.lit("china")).alias("locale"), F.expr(_TOPIC).alias("topic"))
+    cell = ["level", "locale", "topic"]
+    fresh = t.where("doc_id % 10 <> 0").join(t.where("doc_id % 10 = 0").select(*cell).distinct(), cell, "left_anti")
+    return SC.first_per_key(fresh, cell, ["doc_id"]).select("doc_id")
+
+
+_CITY = "CASE WHEN doc_id % 5 < 2 THEN 'Paris' WHEN doc_id % 5 = 2 THEN source END"
+_WHO = "CASE WHEN doc_id % 6 = 0 THEN 'Li' WHEN doc_id % 8 = 1 THEN 'Bo' ELSE source END"
 
 
-@query(REC + ", c AS (SELECT *, CASE WHEN doc_id % 5 < 2 THEN 'Paris' WHEN doc_id % 5 = 2 THEN source END AS city FROM records), n AS (SELECT city, count(*) AS n FROM c GROUP BY 1) SELECT doc_id, c.city FROM c LEFT JOIN n ON c.city = n.city WHERE c.city IS NULL OR n.n <= 0.3 * (SELECT count(*) FROM c)")
+@query(REC + f", c AS (SELECT doc_id, {_CITY} AS city, {_WHO} AS learner FROM records), n AS (SELECT *, count(*) OVER (PARTITION BY city) AS nc, count(*) OVER (PARTITION BY learner) AS nl, count(*) OVER () AS n FROM c) SELECT doc_id, city, learner FROM n WHERE (city IS NULL OR nc <= 0.30 * n) AND nl <= 0.15 * n")
 def drop_overrepresented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = E.records(spark, sf_dir).withColumn("city", F.expr("CASE WHEN doc_id % 5 < 2 THEN 'Paris' WHEN doc_id % 5 = 2 THEN source END"))
-    return SC.share_filter(r, "city", 0.30).select("doc_id", "city")
+    """Candidates whose city or learner's name has too large a share of all candidates go."""
+    r = E.records(spark, sf_dir).select("doc_id", F.expr(_CITY).alias("city"), F.expr(_WHO).alias("learner"))
+    return SC.share_filters(r, {"city": 0.30, "learner": 0.15}).select("doc_id", "city", "learner")
 
 
 @query("WITH u AS (SELECT doc_id, 'first' AS origin, 0 AS o FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'second', 1 FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS r FROM u) WHERE r = 1")

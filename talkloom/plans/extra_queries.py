@@ -29,23 +29,32 @@ def query(sql: str | None = None):
 D, TURNS, REC = "WITH " + E.DIALOGUES_SQL, "WITH " + E.TURNS_SQL, "WITH " + E.RECORDS_SQL
 JUD = "WITH " + E.JUDGED_SQL
 
-#: Phrases of a broken persona and of a declined role (our own short lists).
-BROKEN, DECLINED = ["as an ai", "i am a robot", "language model"], ["let us keep", "i am the teacher", "stay in"]
+#: Phrases of a broken persona and of a declined role, looked for in lower case.
+BROKEN = [
+    "i am an ai", "i'm an ai", "i am a chatbot", "i'm a chatbot", "as a language model", "as an ai language model", "i am a language model",
+    "i'm a language model", "i don't have feelings", "as an ai,", "i am an artificial", "i'm artificial",
+]
+DECLINED = [
+    "i'll stay", "i will stay", "let me stay", "let's keep", "i remain", "i'll remain", "i am the tutor", "i'm the tutor", "my role is", "you are the learner", "you're the learner",
+    "you stay the learner", "as your tutor", "i'm here to help you", "let me ask you", "your turn",
+]
+#: What turns are made to say, by conversation.
+_SAID = "CASE conv_id % 6 WHEN 0 THEN concat(content, ' As an AI, I am glad.') WHEN 1 THEN concat(content, ' I''m the tutor, your turn') WHEN 2 THEN concat('I don''t have feelings. My role is ', content) WHEN 3 THEN ' ' ELSE content END"
 
 
 def _any(phrases: list[str], text: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({text}), '{p}')" for p in phrases) + ")"
+    return "(" + " OR ".join("contains(lower({}), '{}')".format(text, p.replace("'", "''")) for p in phrases) + ")"
 
 
-@query(TURNS + f" SELECT role, count(*) AS n, round(avg({_any(BROKEN, 'content')}::INT), 6) AS broke, round(avg({_any(DECLINED, 'content')}::INT), 6) AS declined FROM turns WHERE trim(content) <> '' GROUP BY 1")
+@query(TURNS + f", s AS (SELECT role, {_SAID} AS said FROM turns) SELECT role, count(*) AS n, round(avg({_any(BROKEN, 'said')}::INT), 6) AS broke, round(avg({_any(DECLINED, 'said')}::INT), 6) AS declined FROM s WHERE trim(said) <> '' GROUP BY 1")
 def persona_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def has(phrases: list[str]):
         out = F.lit(False)
         for p in phrases:
-            out = out | F.lower("content").contains(p)
+            out = out | F.lower("said").contains(p)
         return F.round(F.avg(out.cast("int")), 6)
 
-    t = E.turns(spark, sf_dir).where(F.trim("content") != "")
+    t = E.turns(spark, sf_dir).withColumn("said", F.expr(_SAID)).where(F.trim("said") != "")
     return t.groupBy("role").agg(F.count(F.lit(1)).alias("n"), has(BROKEN).alias("broke"), has(DECLINED).alias("declined"))
 
 
@@ -79,9 +88,11 @@ def build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.when(even, F.col("x")).otherwise(F.col("y")).alias("first"), F.when(even, F.col("y")).otherwise(F.col("x")).alias("second"))
 
 
-@query(TURNS + " SELECT conv_id, turn, regexp_replace(content, '^\\s*<think>.*?</think>\\s*', '') AS stripped FROM turns WHERE role = 'assistant'")
+@query(TURNS + ", r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN '<think>because</think>' || chr(10) || content ELSE content END AS content FROM turns WHERE role = 'assistant') SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN content ELSE regexp_replace(content, '^\\s*<think>.*?</think>\\s*', '') END AS shown FROM r")
 def format_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace("content", r"^\s*<think>.*?</think>\s*", "").alias("stripped"))
+    """The reasoning kept or cut, by mode."""
+    t = E.turns(spark, sf_dir).where("role = 'assistant'").withColumn("content", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("<think>because</think>\n"), "content")).otherwise(F.col("content")))
+    return t.select("conv_id", "turn", Q.evaluation_turn(F.col("content"), F.expr("CASE WHEN conv_id % 2 = 0 THEN 'keep' ELSE 'strip' END")).alias("shown"))
 
 
 _CATS = "['food', 'travel', 'work', 'school']"

@@ -28,6 +28,7 @@ def query(sql: str | None = None):
 DET = "WITH " + E.DETECTIONS_SQL
 JUD = "WITH " + E.JUDGED_SQL
 REC = "WITH " + E.RECORDS_SQL
+_OFF = "position IS NULL"
 CELLS = DET + """, c AS (SELECT baseline, count(*) FILTER (should_fire AND fired) AS tp, count(*) FILTER (should_fire AND NOT fired) AS fn, count(*) FILTER (NOT should_fire AND fired) AS fp, count(*) FILTER (NOT should_fire AND NOT fired) AS tn FROM detections GROUP BY 1),
 r AS (SELECT *, tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS fp_rate, tp / nullif(tp + fp, 0) AS precision FROM c)"""
 
@@ -37,10 +38,10 @@ def firing_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.detections(spark, sf_dir).select("id", SC.verdict(F.col("fired"), F.col("should_fire")).alias("verdict"))
 
 
-@query(CELLS + " SELECT baseline, tp, fn, fp, tn, round(recall, 6) AS recall, round(fp_rate, 6) AS fp_rate, round(precision, 6) AS precision, round(2 * precision * recall / nullif(precision + recall, 0), 6) AS f1 FROM r")
+@query(CELLS.replace("detections GROUP BY 1)", f"detections WHERE NOT ({_OFF}) GROUP BY 1)") + f", o AS (SELECT baseline, count(*) FILTER (should_fire AND fired) / nullif(count(*) FILTER (should_fire), 0) AS off_recall FROM detections WHERE {_OFF} GROUP BY 1) SELECT baseline, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn, round(recall, 6) AS recall, round(fp_rate, 6) AS fp_rate, round(precision, 6) AS precision, round(2 * precision * recall / nullif(precision + recall, 0), 6) AS f1, round(off_recall, 6) AS off_recall FROM r FULL JOIN o USING (baseline)")
 def persistent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = SC.detection_summary(E.detections(spark, sf_dir), ["baseline"])
-    return s.select("baseline", "tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "fp_rate", "precision", "f1")])
+    s = SC.detection_summary(E.detections(spark, sf_dir), ["baseline"], off=F.col("position").isNull())
+    return s.select("baseline", "tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "fp_rate", "precision", "f1", "off_recall")])
 
 
 @query(CELLS + " SELECT baseline, round(coalesce(precision, 1.0), 6) AS precision, round(coalesce(2 * coalesce(precision, 1.0) * recall / nullif(coalesce(precision, 1.0) + recall, 0), 0.0), 6) AS f1 FROM r")
@@ -71,10 +72,12 @@ def multiseed_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 6).alias("sd"))
 
 
-@query(DET + " SELECT level, count(*) AS n, round(avg(fired::int), 6) AS fire_rate, round(avg(should_fire::int), 6) AS expected_rate FROM detections GROUP BY GROUPING SETS ((level), ())")
+@query(DET + " SELECT level, count(*) AS n, round(avg(fired::int), 6) AS fire_rate, round(avg(should_fire::int), 6) AS expected_rate, count(*) FILTER (doc_id % 5 > 0) AS n_valid, round(avg(CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END), 6) AS mean_score, round(avg((doc_id % 5 > 0)::int), 6) AS valid_rate FROM detections GROUP BY GROUPING SETS ((level), ())")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.detections(spark, sf_dir)
-    return d.rollup("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("fired").cast("int")), 6).alias("fire_rate"), F.round(F.avg(F.col("should_fire").cast("int")), 6).alias("expected_rate"))
+    """The metric tree by level and over all; score means over valid rows alone."""
+    d = E.detections(spark, sf_dir).withColumn("score", F.expr("CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return d.rollup("level").agg(F.count(F.lit(1)).alias("n"), mean(F.col("fired").cast("int")).alias("fire_rate"), mean(F.col("should_fire").cast("int")).alias("expected_rate"), F.count("score").alias("n_valid"), mean("score").alias("mean_score"), mean(F.col("score").isNotNull().cast("int")).alias("valid_rate"))
 
 
 @query(DET + " SELECT level, position::BIGINT AS position, count(*) AS n, count(*) FILTER (fired) AS n_fired FROM detections WHERE position IS NOT NULL GROUP BY CUBE (level, position)")
@@ -125,10 +128,12 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kn(spark, sf_dir).select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query(_KN + " SELECT source, round((k / n - k2 / n) / sqrt((k + k2) / (2.0 * n) * (1 - (k + k2) / (2.0 * n)) * 2 / n), 6) AS z, round(k / n - k2 / n, 4) AS risk_difference, round(((k + 0.5) * (n - k2 + 0.5)) / ((n - k + 0.5) * (k2 + 0.5)), 2) AS odds_ratio, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(k2 / n)), 3) AS cohens_h FROM c")
+@query(_KN + " SELECT source, round((k / n - k2 / n) / sqrt((k + k2) / (2.0 * n) * (1 - (k + k2) / (2.0 * n)) * 2 / n), 6) AS z, 'Infinity'::DOUBLE AS z_none, NULL::DOUBLE AS z_none_null, round(k / n - k2 / n, 4) AS risk_difference, round(((k + 0.5) * (n - k2 + 0.5)) / ((n - k + 0.5) * (k2 + 0.5)), 2) AS odds_ratio, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(k2 / n)), 3) AS cohens_h FROM c")
 def effect_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n, k2 = F.col("k"), F.col("n"), F.col("k2")
-    return _kn(spark, sf_dir).select("source", F.round(ST.two_proportion_z(k, n, k2, n), 6).alias("z"), *[c.alias(a) for a, c in ST.effect_sizes(k, n, k2, n).items()])
+    # both conventions where the standard error is 0: infinite, and undefined
+    none, undefined = ST.two_proportion_z(n * 0, n, n * 0, n), ST.two_proportion_z(n * 0, n, n * 0, n, if_zero=None)
+    return _kn(spark, sf_dir).select("source", F.round(ST.two_proportion_z(k, n, k2, n), 6).alias("z"), none.alias("z_none"), undefined.alias("z_none_null"), *[c.alias(a) for a, c in ST.effect_sizes(k, n, k2, n).items()])
 
 
 _LF = "list_sum(list_transform(range(1, {x} + 1), lambda i: ln(i)))"
