@@ -201,15 +201,17 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return chosen.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=False)))
 
 
-def place(pieces: DataFrame, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
+def place(pieces: DataFrame, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, window_pieces: int = WINDOW_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a length of at most ``capacity``.
 
     The rows are rebalanced by the order columns into tasks of the session's
     advisory size, so that each has many rows to fill its bins with, and come
     in an order drawn from a hash: the same rows of a task give the same
     sequences when it runs again. Each window of that order is placed from its
-    longest piece on, into bins that stay open from window to window. Sequence
-    ids are the task's number in the high bits and the bin's in the low ones.
+    longest piece on, into bins that stay open from window to window; with
+    ``window_pieces=1`` pieces are placed online, in the order in which they
+    come. Sequence ids are the task's number in the high bits and the bin's in
+    the low ones. A task holds one window of rows and the open bins.
     """
     spread = pieces.hint("rebalance", *[F.col(f"`{c}`") for c in order])
     ordered = spread.sortWithinPartitions(F.xxhash64(*[F.col(f"`{c}`") for c in order]), *[F.col(f"`{c}`") for c in order])
@@ -224,9 +226,10 @@ def place(pieces: DataFrame, length_col: str = "length", order: tuple[str, ...]
             if batch is not None:
                 window.append(batch)
                 size += batch.num_rows
-            if window and (batch is None or size >= WINDOW_PIECES):
+            if window and (batch is None or size >= window_pieces):
                 rows = pa.Table.from_batches(window).combine_chunks()
-                rows = rows.take(np.argsort(-rows.column(at).to_numpy(), kind="stable"))
+                if window_pieces > 1:
+                    rows = rows.take(np.argsort(-rows.column(at).to_numpy(), kind="stable"))
                 placed = [packer.place(n) for n in rows.column(at).to_pylist()]
                 rows = rows.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
                 yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
@@ -236,13 +239,14 @@ def place(pieces: DataFrame, length_col: str = "length", order: tuple[str, ...]
     return ordered.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID, window_pieces: int = WINDOW_PIECES) -> DataFrame:
     """Pieces of all documents with their place: see :func:`token_pieces` and :func:`place`.
 
-    Repeated ids are packed as documents of their own; an empty table gives an
+    A worker holds the texts of a step (one text at least) and two generations
+    of known chunks and pieces, ``KNOWN_MB`` and a quarter of that each. Repeated ids are packed as documents of their own; an empty table gives an
     empty result; columns other than the two named are not read.
     """
-    return place(token_pieces(docs, path, id_col, text_col, capacity, end_id), order=(id_col, "piece", "start", "ids_crc32"), capacity=capacity, open_bins=open_bins)
+    return place(token_pieces(docs, path, id_col, text_col, capacity, end_id), order=(id_col, "piece", "start", "ids_crc32"), capacity=capacity, open_bins=open_bins, window_pieces=window_pieces)
 
 
 def sequences(placed: DataFrame, capacity: int = SEQUENCE_TOKENS, pad_id: int = END_ID) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -197,6 +198,33 @@ def test_pack(spark, edges, empty, clashing):
     assert packing.pack(clashing, JSON).count() == 2
 
 
+@pytest.mark.parametrize("window", [1, 50])
+def test_windows_and_full_sets_of_open_bins(spark, window):
+    """Bins stay open over many windows, and close when there are too many: still gapless, and not far from the bound."""
+    r = random.Random(8)
+    rows = [(i, 0, r.choice([1, 3, 17, 40, 63, 64, 99, 100])) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    for open_bins in (4, 60):
+        placed = packing.place(pieces, capacity=100, open_bins=open_bins, window_pieces=window).collect()
+        bins = defaultdict(list)
+        for x in placed:
+            bins[x.sequence_id].append((x.offset, x.length))
+        assert len(placed) == 3000
+        for spans in bins.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 100
+        assert len(bins) <= 1.25 * sum(n for _, _, n in rows) / 100
+    if window == 1:  # the plain online mode, recomputed
+        order = [x.length for x in pieces.hint("rebalance", "doc_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece").collect()]
+        single = pieces.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece").collect()
+        packer = packing.BestFit(100, 60)
+        online = [packer.place(x.length) for x in single]
+        assert sorted(order) == sorted(x.length for x in single) and max(b for b, _ in online) < 1.25 * sum(order) / 100
+
+
 def test_sequences_hold_the_ids(spark, edges):
     pieces = packing.token_pieces(edges.where("doc_id in (4, 5, 6)"), JSON, with_ids=True)
     out = packing.sequences(packing.place(pieces)).collect()
