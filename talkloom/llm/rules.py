@@ -55,10 +55,10 @@ POLICIES = {
 }
 PRODUCTION_POLICY = "v3"
 
-#: A word's first letter, a line that opens with a bullet, a line that ends in an ellipsis.
-FIRST_LETTER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
-BULLET = r"^[\x20\x09-\x0D]*[-*\x{2022}]"
-ELLIPSIS = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
+#: A word from its first letter on: there are as many matches as words with a letter.
+FROM_LETTER = r"\p{L}[^\x20\x09-\x0D]*+"
+#: What a bullet line opens with and an ellipsis line ends in.
+BULLETS, ELLIPSES = ["-", "*", "\u2022"], ["...", "\u2026"]
 
 
 def _removed(text: Column, chars: str) -> Column:
@@ -115,8 +115,8 @@ def measurements(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(x, lambda y: y.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
-            F.size(F.filter(x, lambda y: y.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
+            F.size(F.filter(x, lambda y: F.substring(F.ltrim(y, F.lit(SPACES)), 1, 1).isin(BULLETS))).cast("long").alias("n_bullet_lines"),
+            F.size(F.filter(x, lambda y: F.rtrim(y, F.lit(SPACES)).endswith(ELLIPSES[0]) | F.rtrim(y, F.lit(SPACES)).endswith(ELLIPSES[1]))).cast("long").alias("n_ellipsis_lines"),
         ),
     )[0]
     out = docs.withColumn("_text", text).withColumn("_by_word", measured).withColumn("_by_line", line_stats)
@@ -129,7 +129,7 @@ def measurements(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.col("_by_line.n_lines").alias("n_lines"),
             F.col("_by_line.n_dup_lines").alias("n_dup_lines"),
             F.col("_by_word.n_repeat_words").alias("n_repeat_words"),
-            F.regexp_count("_text", F.lit(FIRST_LETTER)).cast("long").alias("n_letter_words"),
+            F.regexp_count("_text", F.lit(FROM_LETTER)).cast("long").alias("n_letter_words"),
             F.col("_by_line.n_bullet_lines").alias("n_bullet_lines"),
             F.col("_by_line.n_ellipsis_lines").alias("n_ellipsis_lines"),
         ),
