@@ -21,13 +21,15 @@ is one matrix product in a task and gives ``top + 1`` rows a query at most.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import product as every_one
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.session import materialise
@@ -53,27 +55,41 @@ _erf = np.frompyfunc(math.erf, 1, 1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` (array of double) without null ids or vectors, null or non-finite components, and zero vectors."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(finite & F.exists("v", lambda x: x != 0))
+    """``id, a, b`` (a 128-bit fingerprint) ``, dim, norm, v`` (array of double), without null ids or vectors, null or non-finite components, and zero vectors; 0.0 and -0.0 are one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+            ends = np.cumsum(size)
+            upto = lambda x: np.concatenate([[0], np.cumsum(x)])
+            within = lambda x: (s := upto(x))[ends] - s[ends - size]
+            good = (size > 0) & (within(~np.isfinite(flat)) == 0) & (within(flat != 0) > 0)
+            rows = np.flatnonzero(good)
+            if not len(rows):
+                continue
+            v = [flat[ends[i] - size[i] : ends[i]] for i in rows]
+            prints = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in v), "<i8").reshape(-1, 2)
+            bounds = np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int32)
+            columns = [batch.column(0).take(pa.array(rows)), *(pa.array(prints[:, k].copy()) for k in (0, 1)), pa.array(size[rows].astype(np.int32)), pa.array([float(np.linalg.norm(x)) for x in v]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(v)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "dim", "norm", "v"])
 
-def with_key(rows: DataFrame) -> DataFrame:
-    """Add ``h``, a 128-bit fingerprint of the vector; 0.0 and -0.0 are one."""
-    return rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(5), "v").alias("b")))
+    plain = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(f"`{vector_col}`") if plain else F.col(f"`{vector_col}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, a bigint, b bigint, dim int, norm double, v array<double>")
 
 
 def fold_equal(rows: DataFrame, keep: int) -> DataFrame:
-    """``rep, v, ids``: distinct vectors with their ``keep`` smallest ids; rows that repeat an id and vector count once.
+    """``a, b, dim, norm, rep, v, ids``: distinct vectors with their ``keep`` smallest ids; rows that repeat an id and vector count once.
 
     The rank is cut per task before the shuffle (a group limit of the window),
     so a group of copies is never gathered.
     """
-    once = with_key(rows).dropDuplicates(["h", "id"])
-    few = once.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("_n") <= keep)
-    return few.groupBy("h").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")).drop("h")
+    once = rows.dropDuplicates(["a", "b", "id"])
+    few = once.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("_n") <= keep)
+    return few.groupBy("a", "b").agg(F.first("dim").alias("dim"), F.first("norm").alias("norm"), F.min("id").alias("rep"), F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -157,10 +173,6 @@ def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.nd
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _norm(v: str) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-
-
 def calibrate(reps: DataFrame, queries: DataFrame, top: int, norm: float) -> float:
     """The 0.9 quantile of the distances to the ``top``-th neighbour.
 
@@ -257,9 +269,9 @@ def _search(reps: DataFrame, visitors: DataFrame, top: int, dim: int, norm: floa
         tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         probes = materialise(_hashed(h, rest.repartition(tasks, "rep"), True), "probes")
         lists = materialise(_lists(_compared(index, probes, top), reps, top), "lists")
-        far = F.sqrt(F.greatest(F.lit(0.0), 2 * norm**2 + 2 * norm * F.element_at("found", -1)["s"] / _norm("v")))
+        far = F.sqrt(F.greatest(F.lit(0.0), 2 * norm**2 + 2 * norm * F.element_at("found", -1)["s"] / F.col("norm")))
         fine = (F.size("found") >= need) & (far <= BEYOND * h.distance)
-        settled = lists.join(rest.select(F.col("rep").alias("q"), "v"), "q").where(fine).select("q", "found")
+        settled = lists.join(rest.select(F.col("rep").alias("q"), "norm"), "q").where(fine).select("q", "found")
         done.append(settled)
         rest = materialise(rest.join(settled.select(F.col("q").alias("rep")), "rep", "left_anti"), "visitors")
     return done
@@ -275,21 +287,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str
     vectors asks with the least of them. Empty tables give an empty result.
     """
     rows = usable(vectors, id_col, vector_col)
-    asked = materialise(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    asked = materialise(usable(queries, id_col, vector_col).groupBy("id").agg(F.min(F.struct("v", "a", "b", "dim", "norm")).alias("r")).select("id", "r.*"), "asked")
     kind = rows.schema["id"].dataType.simpleString()
     # one more than asked for, as a row may find itself
-    reps = materialise(fold_equal(rows, top + 1).withColumn("dim", F.size("v")), "reps")
-    visitors = materialise(fold_equal(asked, 1).select("rep", "v"), "visitors")
+    reps = materialise(fold_equal(rows, top + 1).drop("a", "b"), "reps")
+    visitors = materialise(fold_equal(asked, 1).drop("ids"), "visitors")
     lists: list[DataFrame] = []
-    for dim, norm, candidates in sorted(tuple(r) for r in reps.groupBy("dim").agg(F.max(_norm("v")), F.sum(F.size("ids"))).collect()):
+    for dim, norm, candidates in sorted(tuple(r) for r in reps.groupBy("dim").agg(F.max("norm"), F.sum(F.size("ids"))).collect()):
         some = reps.where(F.col("dim") == dim).select("rep", "v", "ids")
-        lists += _search(some, visitors.where(F.size("v") == dim), top + 1, dim, norm, candidates, **options)
+        lists += _search(some, visitors.where(F.col("dim") == dim), top + 1, dim, norm, candidates, **options)
     if not lists:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     found = lists[0]
     for more in lists[1:]:
         found = found.unionByName(more)
     # every asking row takes its vector's list, less itself
-    keys = with_key(asked).select("id", "h").join(with_key(visitors).select(F.col("rep").alias("q"), "h"), "h").select("id", "q")
+    keys = asked.select("id", "a", "b").join(visitors.select(F.col("rep").alias("q"), "a", "b"), ["a", "b"]).select("id", "q")
     own = keys.join(found, "q").select("id", F.slice(F.filter("found", lambda x: x["c"] != F.col("id")), 1, top).alias("found"))
     return own.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "r")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("r.c").alias(id_col), (-F.col("r.s")).alias("score"))
