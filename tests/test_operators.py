@@ -210,3 +210,48 @@ def test_names_and_bands_reach_every_document(spark, tmp_path):
     assert sorted(got, key=repr) == sorted([names, ["Jean Valjean", "Paris"], ["Anna", "Bonn"], None], key=repr)
     bands = {r.word: r.band for r in QUERIES["vocab_bands"](spark, str(tmp_path)).collect()}
     assert bands["nameaa"] == 1 and bands["vu"] == 2 and bands["bonn"] == 3 and len(bands) == 8 + 5 + 3
+
+
+def dense_farthest(vectors, k, threshold):
+    keys = sorted(vectors)
+    cos = lambda a, b: sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items())
+    mean = {a: sum(cos(a, b) for b in keys if b != a) / max(1, len(keys) - 1) for a in keys}
+    chosen = [min(keys, key=lambda a: (round(mean[a], 12), a))]
+    while len(chosen) < min(k, len(keys)):
+        worst = {a: max(cos(a, b) for b in chosen) for a in keys if a not in chosen}
+        nxt = min(worst, key=lambda a: (round(worst[a], 12), a))
+        if worst[nxt] >= threshold:
+            break
+        chosen.append(nxt)
+    return chosen
+
+
+def test_similar_pairs_and_choices_are_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    words = [f"word{i}" for i in range(25)]
+    rows = [(i, "xy"[i % 2], " ".join(r.choice(words) for _ in range(r.choice([4, 9, 9, 30])))) for i in range(60)]
+    rows += [(100 + i, "x", rows[i * 2][2].upper()) for i in range(5)] + [(200, "x", "the of"), (201, "x", "the of"), (202, "y", None)]
+    df = spark.createDataFrame(rows, "id long, cell string, text string")
+    weights = DD.tfidf(df, ["cell"], "id", "text")
+    vectors = {}
+    for w in weights.collect():
+        vectors.setdefault((w.cell, w.id), {})[w.term] = w.weight
+    want = {}
+    for (c, a), x in vectors.items():
+        for (d, b), y in vectors.items():
+            s = sum(w * y.get(t, 0.0) for t, w in x.items())
+            if c == d and a < b and s >= 0.5:
+                want[a, b] = round(s, 9)
+    assert {(p.a, p.b): round(p.similarity, 9) for p in DD.cosine_pairs(weights, ["cell"], "id", 0.5).collect()} == want
+    reps, others = DD.fold(df, ["cell"], "id", "text")
+    copies = {(o.rep, o.id) for o in others.collect()}
+    assert copies == {(2 * i, 100 + i) for i in range(5)} and reps.count() == len(rows) - 5
+    folded = {(w.cell, w.id, w.term): round(w.weight, 9) for w in DD.tfidf(reps, ["cell"], "id", "text", "copies").collect()}
+    assert folded == {(c, i, t): round(w, 9) for (c, i), v in vectors.items() for t, w in v.items() if i < 100 or i >= 200}
+    for k, threshold in ((4, 0.9), (50, 0.3)):
+        got = DD.farthest_point(df, weights, ["cell"], "id", k, threshold).collect()
+        for cell in "xy":
+            mine = {i: v for (c, i), v in vectors.items() if c == cell}
+            assert [g.id for g in sorted((g for g in got if g.cell == cell), key=lambda g: g["rank"])] == dense_farthest(mine, k, threshold)
