@@ -28,3 +28,10 @@ def text_steps(batch: pa.RecordBatch, column: int = 1, limit: int = STEP_CHARS)
 
 def binary_array(values: Iterable[bytes]) -> pa.Array:
     return pa.array(list(values), pa.binary())
+
+
+def store(uri: str):
+    """(file system, path) of a URI as Spark writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))

@@ -26,9 +26,9 @@ from talkloom.llm._split import PATTERN, Known, chunk_pieces, chunks, parts
 QUERY_BYTES = 1 << 19
 MEMORY = "320MB"
 #: Megabytes of a generation of known chunks, and of known pieces.
-CHUNK_MB, PIECE_MB = 80, 28
+CHUNK_MB, PIECE_MB = 88, 32
 #: Characters of a step; a recursive query costs the same whether its words are few or many.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_600_000
 #: Words of more bytes are encoded in blocks of ``BLOCK`` bytes, whose seams are then mended; a mended
 #: stretch reaches over ``SEAM`` tokens on each side at first.
 LONG_WORD = 64
@@ -292,3 +292,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     chosen = encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{ids_col}`"), F.lit(b"")).alias(ids_col))
     return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema[0].dataType.simpleString()}, `{ids_col}` binary, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, ids, decoded``: :func:`encode` and :func:`decode` of its ids, step by step in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            for part, texts in text_steps(batch, limit=STEP_CHARS):
+                ids = c.encode(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_array(ids), binary_array(c.decode(ids))], [id_col, "ids", "decoded"])
+
+    chosen = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema[0].dataType.simpleString()}, ids binary, decoded binary")

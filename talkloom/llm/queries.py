@@ -32,8 +32,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.decode(encoded, ranks, pattern).select(
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

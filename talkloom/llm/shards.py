@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm._arrow import binary_array, text_steps
+from talkloom.llm._arrow import binary_array, store, text_steps
 from talkloom.llm._words import mix
 from talkloom.llm.packing import END_ID, SEQUENCE_TOKENS, tokenizer
 from talkloom.session import discard, materialise, shared_dir
@@ -149,12 +149,10 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
     def cut(key: tuple, starts: pa.Table) -> Iterator[pa.RecordBatch]:
         """One file's tokens, cut at the sequences' bounds and put together by shard."""
         import pyarrow.parquet as pq
-        from pyarrow import fs
-
         a, b, start = (starts.column(c).to_pylist() for c in ("a", "b", "start"))
         at = {(x, y): z for x, y, z in zip(a, b, start, strict=True)}
-        store, file = fs.FileSystem.from_uri(key[0].as_py())
-        with store.open_input_file(file) as source:
+        files, file = store(key[0].as_py())
+        with files.open_input_file(file) as source:
             held, size = [], 0
             for batch in pq.ParquetFile(source).iter_batches(batch_size=256, columns=["id", "n", "ids", "a", "b"]):
                 held.append(batch)
@@ -205,11 +203,9 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
-
         expand = zstandard.ZstdDecompressor().decompress
-        store, root = fs.FileSystem.from_uri(directory)
-        store.create_dir(root, recursive=True)
+        files, root = store(directory)
+        files.create_dir(root, recursive=True)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         current, filled, buffer = None, 0, None
 
@@ -218,9 +214,9 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
                 return
             if filled != len(buffer) - (n * stride - total if current == short else 0):
                 raise ValueError(f"shard {current} holds {filled} tokens")
-            with store.open_output_stream(f"{root}/.{current:08d}-{attempt}") as file:
+            with files.open_output_stream(f"{root}/.{current:08d}-{attempt}") as file:
                 file.write(buffer.tobytes())
-            store.move(f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
+            files.move(f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
 
         for batch in batches:
             columns = [batch.column(2 + k).flatten() for k in range(len(names))]
@@ -254,25 +250,21 @@ def _manifest(spans: DataFrame, id_col: str, width: int) -> DataFrame:
 
 
 def _write_index(directory: str, index: dict) -> None:
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(directory)
-    with store.open_output_stream(f"{root}/index.json") as file:
+    files, root = store(directory)
+    with files.open_output_stream(f"{root}/index.json") as file:
         file.write(json.dumps(index).encode())
 
 
 def read_slots(directory: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
     """The records of slots ``start`` to ``stop``, in order; a reader resumes at any slot with one seek."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(directory)
-    with store.open_input_stream(f"{root}/index.json") as file:
+    files, root = store(directory)
+    with files.open_input_stream(f"{root}/index.json") as file:
         index = json.loads(file.read())
     size, width = index["stride"] * np.dtype(index["dtype"]).itemsize, index["shard_sequences"]
     stop = index["n_sequences"] if stop is None else min(stop, index["n_sequences"])
     while start < stop:
         shard, record = divmod(start, width)
-        with store.open_input_file(f"{root}/{shard:08d}.bin") as file:
+        with files.open_input_file(f"{root}/{shard:08d}.bin") as file:
             file.seek(record * size)
             for _ in range(min(stop, (shard + 1) * width) - start):
                 yield np.frombuffer(file.read(size), index["dtype"])

@@ -144,10 +144,12 @@ def test_queries_on_edges(spark, edges, empty, clashing):
     assert got == sorted((i if i is not None else -1, len(t.encode()), len(sp.encode(t))) for i, t in rows)
     decoded = bpe.decode(bpe.encode(edges, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in decoded) == sorted(t.encode() for _, t in rows)
+    key = lambda r: (str(r.doc_id), bytes(r.ids), bytes(r.decoded))
+    assert sorted(map(key, bpe.encode_and_decode(edges, RANKS, P.PATTERN).collect())) == sorted(map(key, decoded))
     assert hashlib.sha256(b"").hexdigest() in {hashlib.sha256(bytes(r.ids)).hexdigest() for r in decoded}
     for docs, n in ((empty, 0), (clashing, 2)):
         assert token_counts.count_tokens(docs, PIECES).count() == n
-        assert bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).count() == n
+        assert bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).count() == n == bpe.encode_and_decode(docs, RANKS, P.PATTERN).count()
 
 
 def test_best_fit_places_and_closes():
