@@ -75,9 +75,10 @@ def locale_entities(texts: Column, languages: list[str], openers: list[str], kno
         low = F.lower(x)
         return ~_listed(low, languages) & ~_listed(low, openers) & ~x.rlike(policy) & ~F.coalesce(F.array_contains(known, low), F.lit(False))
 
-    kept = F.filter(names, judged)
-    lows = F.transform(kept, lambda x: F.lower(x))
-    return F.filter(kept, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    # sorted by spelling and place, the first of each spelling opens its run; a one-element array names the sorted list
+    marked = F.array_sort(F.transform(F.filter(names, judged), lambda x, i: F.struct(F.lower(x).alias("l"), i.alias("i"), x.alias("x"))))
+    firsts = F.transform(F.array(marked), lambda s: F.filter(s, lambda y, j: (j == 0) | (F.get(s, j - 1)["l"] != y["l"])))[0]
+    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"], y["x"]))), lambda z: z["x"])
 
 
 def real_name(text: Column, openers: list[str]) -> Column:

@@ -383,8 +383,7 @@ def swap_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def worst_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten cells of level, locale and category with the largest shortfalls."""
     counts = E.records(spark, sf_dir).where("category <> 'general'").groupBy("level", F.coalesce("locale", F.lit("china")).alias("locale"), "category", F.lit("sft").alias("pool")).agg(F.count(F.lit(1)).alias("n"))
-    dims = [spark.createDataFrame([(x,) for x in values], f"{name} string") for name, values in (("level", E.LEVELS), ("locale", E.LOCALES), ("category", E.CATEGORIES[:10]))]
-    grid = dims[0].crossJoin(dims[1]).crossJoin(dims[2])  # 180 cells
+    grid = E.grid(spark, level=E.LEVELS, locale=E.LOCALES, category=E.CATEGORIES[:10])
     d = S.coverage_deficits(counts, grid, ["level", "locale", "category"], ["sft"], 9, 9)
     return d.where("raw_deficit > 0").orderBy(F.desc("raw_deficit"), "level", "locale", "category").limit(10).select("level", "locale", "category", F.col("raw_deficit").alias("deficit"))
 

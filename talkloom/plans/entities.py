@@ -44,6 +44,14 @@ DIALOGUE_COLUMNS = {
 }
 
 
+def grid(spark: SparkSession, **dimensions: list[str]) -> DataFrame:
+    """Every combination of a few fixed values, a column a dimension."""
+    out = spark.range(1).drop("id")
+    for name, values in dimensions.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, role, content``: one row per message."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(ADDED).alias("content"))

@@ -200,8 +200,7 @@ _GRID = f"(SELECT unnest({E.LEVELS}) AS level) a, (SELECT unnest({E.CATEGORIES[:
 @query(REC + f", c AS (SELECT level, category, {_PART} AS pool, count(*) AS n FROM records WHERE category <> 'general' GROUP BY 1, 2, 3), g AS (SELECT a.level, b.category FROM {_GRID}), w AS (SELECT g.level, g.category, coalesce(sum(n) FILTER (pool = 'sft'), 0)::BIGINT AS sft, coalesce(sum(n) FILTER (pool = 'dpo'), 0)::BIGINT AS dpo, coalesce(sum(n) FILTER (pool = 'eval'), 0)::BIGINT AS eval FROM g LEFT JOIN c USING (level, category) GROUP BY 1, 2) SELECT *, greatest(0, 5 - sft, 5 - dpo, 5 - eval)::BIGINT AS raw_deficit, least(10, greatest(0, 5 - sft, 5 - dpo, 5 - eval))::BIGINT AS deficit FROM w")
 def coverage_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = E.records(spark, sf_dir).where("category <> 'general'").groupBy("level", "category", F.expr(_PART).alias("pool")).agg(F.count(F.lit(1)).alias("n"))
-    levels = spark.createDataFrame([(x,) for x in E.LEVELS], "level string")
-    grid = levels.crossJoin(spark.createDataFrame([(x,) for x in E.CATEGORIES[:10]], "category string"))  # the two dimensions, 60 cells
+    grid = E.grid(spark, level=E.LEVELS, category=E.CATEGORIES[:10])
     return S.coverage_deficits(counts, grid, ["level", "category"], ["sft", "dpo", "eval"], 5, 10)
 
 
