@@ -191,8 +191,8 @@ _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: len
 TFIDF = f"""WITH d AS (SELECT doc_id, lang, source, {_TOK} AS ts FROM documents), n AS (SELECT lang, source, count(*) AS n FROM d GROUP BY 1, 2),
 tf AS (SELECT lang, source, doc_id, term, count(*) AS tf FROM (SELECT lang, source, doc_id, unnest(ts) AS term FROM d) GROUP BY ALL), df AS (SELECT lang, source, term, count(*) AS df FROM tf GROUP BY ALL),
 raw AS (SELECT tf.*, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (lang, source, term) JOIN n USING (lang, source)), w AS (SELECT lang, source, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
-# links: pairs of the smallest documents of their token multisets, and a multiset's smallest document with each of its others
-PAIRS = TFIDF + f""", same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, source, CASE WHEN len(ts) > 0 THEN list_sort(ts) ELSE [doc_id::VARCHAR, ''] END) AS rep FROM d),
+# links: pairs of documents that are the smallest of their text, and such a one with each other document of the text
+PAIRS = TFIDF + f""", same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, source, low) AS rep FROM (SELECT doc_id, lang, source, lower(text) AS low FROM documents)),
 links AS (SELECT a.lang, a.source, a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS similarity FROM w a JOIN w b ON a.lang = b.lang AND a.source = b.source AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.75),
 pairs AS (SELECT l.* FROM links l JOIN same x ON x.doc_id = l.a JOIN same y ON y.doc_id = l.b WHERE x.rep = l.a AND (y.rep = l.b OR y.rep = l.a))"""
 
@@ -209,6 +209,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps, others = DD.fold(table(spark, sf_dir, "documents"), cell, "doc_id", "text")
     w = materialise(DD.tfidf(materialise(reps, "folded"), cell, "doc_id", "text", "copies"), "weights")
     near = DD.cosine_pairs(w, cell, "doc_id", 0.75).select("a", "b", "similarity")
+    # a text without topic words is like nothing, its copies included
+    others = others.join(w.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_semi")
     return near.unionByName(others.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
