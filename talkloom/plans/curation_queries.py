@@ -216,7 +216,15 @@ def applicable_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", _applicable().alias("applicable"))
 
 
-@query()
+_SEEN = SQL["applicable_axes"].removeprefix("WITH ")
+_AX = "['register', 'accuracy', 'locale', 'length']"
+
+
+@query(f"""WITH RECURSIVE seen AS (WITH {_SEEN}), r AS (SELECT turn::VARCHAR AS level, printf('%06d-%02d', conv_id, turn) AS id, applicable, row_number() OVER (PARTITION BY turn ORDER BY conv_id) AS k FROM seen),
+walk AS (SELECT DISTINCT level, 0::BIGINT AS k, NULL::VARCHAR AS id, NULL::VARCHAR AS axis, [0, 0, 0, 0] AS c FROM r
+  UNION ALL SELECT level, k, id, {_AX}[p], list_transform(c, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END)
+  FROM (SELECT r.level, r.k, r.id, w.c, list_sort(list_transform(list_filter([1, 2, 3, 4], lambda i: list_contains(r.applicable, {_AX}[i])), lambda i: {{'n': w.c[i], 'i': i}}))[1].i AS p FROM walk w JOIN r ON r.level = w.level AND r.k = w.k + 1))
+SELECT level, id, axis FROM walk WHERE k > 0""")
 def assign_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = E.turns(spark, sf_dir).where("role = 'assistant'").select(F.col("turn").cast("string").alias("level"), F.format_string("%06d-%02d", "conv_id", "turn").alias("id"), _applicable().alias("applicable"))
     return C.assign_axes(t, "level", "id", _AXES)

@@ -245,3 +245,18 @@ def test_filters_by_name(spark):
     assert Q.thinking_mode({"default": "on"}, "judge", True) == "on" and Q.thinking_mode({}, "judge", False) == "unsupported"
     with pytest.raises(ValueError):
         Q.thinking_mode({"judge": "maybe"}, "judge", True)
+
+
+def test_queries_without_sql_are_brute_force(spark, sf_dir):
+    from talkloom.functions import text as T
+    from talkloom.plans import entities as E
+    from talkloom.plans.registry import QUERIES
+
+    turns = E.turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn", "content", T.strip_marker(F.col("content")).alias("bare")).collect()
+    ratio = {(r.conv_id, r.turn): difflib.SequenceMatcher(None, r.content.strip(), r.bare.strip()).ratio() for r in turns}
+    got = {(r.conv_id, r.turn): r.ratio for r in QUERIES["rewrite_similarity"](spark, sf_dir).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in ratio.items()} and min(got.values()) < 1
+    back = {(r.conv_id, r.turn): difflib.SequenceMatcher(None, r.bare.strip(), r.content.strip()).ratio() for r in turns}
+    axes = ["off_topic", "accuracy_error", "other"]
+    want = {k: v >= DD.NO_OP_LIMITS.get(axes[k[0] % 3], DD.NO_OP_DEFAULT) for k, v in back.items()}
+    assert {(r.conv_id, r.turn): r.no_op for r in QUERIES["near_no_op_rewrites"](spark, sf_dir).collect()} == want
