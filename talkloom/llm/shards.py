@@ -216,7 +216,10 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
                 raise ValueError(f"shard {current} holds {filled} tokens")
             with files.open_output_stream(f"{root}/.{current:08d}-{attempt}") as file:
                 file.write(buffer.tobytes())
-            files.move(f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
+            done = f"{root}/{current:08d}.bin"
+            if files.get_file_info(done).is_file:  # of an attempt before this one; some stores don't move onto a file
+                files.delete_file(done)
+            files.move(f"{root}/.{current:08d}-{attempt}", done)
 
         for batch in batches:
             columns = [batch.column(2 + k).flatten() for k in range(len(names))]
