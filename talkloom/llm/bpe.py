@@ -26,7 +26,7 @@ from talkloom.llm._split import PATTERN, Known, chunk_pieces, chunks, parts
 QUERY_BYTES = 1 << 19
 MEMORY = "320MB"
 #: Megabytes of a generation of known chunks, and of known pieces.
-CHUNK_MB, PIECE_MB = 88, 32
+CHUNK_MB, PIECE_MB = 120, 44
 #: Characters of a step; a recursive query costs the same whether its words are few or many.
 STEP_CHARS = 1_600_000
 #: Words of more bytes are encoded in blocks of ``BLOCK`` bytes, whose seams are then mended; a mended
