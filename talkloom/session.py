@@ -45,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder in the shared one for files that tasks write themselves; it stays until :func:`discard` or :func:`clean_up`."""
+    path = f"{shared_dir(spark)}/talkloom/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -53,9 +60,8 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     :func:`clean_up`, as the result is read from it whenever it is used.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/talkloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.options(**options).parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._talkloom_path = path
     return out
@@ -66,9 +72,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialise` wrote for ``df``, which can't be read any more."""
-    spark, path = df.sparkSession, df._talkloom_path
+def discard(spark: SparkSession, written: DataFrame | str) -> None:
+    """Delete a :func:`scratch` folder, or what :func:`materialise` wrote for a DataFrame, which can't be read any more."""
+    path = written if isinstance(written, str) else written._talkloom_path
     _written[spark.sparkContext.applicationId].remove(path)
     _delete(spark, path)
 
