@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from talkloom.llm._arrow import binary_array, store, text_steps
 from talkloom.llm._words import mix
 from talkloom.llm.packing import END_ID, SEQUENCE_TOKENS, tokenizer
-from talkloom.session import discard, materialise, shared_dir
+from talkloom.session import discard, materialise, scratch, shared_dir
 
 #: Production parameters: sequences of a shard, at least and at most (a quarter of a gigabyte), and shards aimed at between.
 SHARD_LEAST, SHARD_MOST, SHARDS = 256, 65_536, 128
@@ -47,6 +47,8 @@ BUCKETS = 65_536
 CUT_BYTES = 32 << 20
 #: Compression of the tokens while they are at rest and while they are sent.
 REST_LEVEL, SENT_LEVEL = 4, 3
+#: Bytes of tokens that are compressed together while at rest.
+FLUSH_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -78,30 +80,63 @@ def shard_size(sequences: int) -> int:
     return min(SHARD_MOST, max(SHARD_LEAST, 1 << max(0, (sequences // SHARDS).bit_length())))
 
 
-def _tokens(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, dtype: str) -> DataFrame:
-    """``id, n, ids`` (``dtype`` numbers, the end id last) ``, a, b`` (a fingerprint of id and ids) per row, at rest in the shared folder."""
+def _tokens(docs: DataFrame, path: str, folder: str, id_col: str, text_col: str, end_id: int, dtype: str) -> DataFrame:
+    """``file, a, b, n, size``: per file of tokens and fingerprint (of id and ids) the length of one such row and of all.
+
+    A task writes its rows' ``id, n, ids`` (``dtype`` numbers, the end id last) ``, a, b`` to a file of its own number in
+    the folder, under a name of its attempt first; a task that runs again writes the same rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(path), np.array([end_id], dtype).tobytes()
+        import pyarrow.parquet as pq
+        import xxhash
+
+        tok, end, number = tokenizer(path), np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
+        files, root = store(folder)
+        files.create_dir(root, recursive=True)
+        name, writer, held, size = f"{root}/.{number:08d}-{uuid.uuid4().hex}", None, [], 0
+
+        def flush() -> None:
+            nonlocal writer, held, size
+            rows = pa.Table.from_batches(held)
+            if writer is None:
+                writer = pq.ParquetWriter(files.open_output_stream(name), rows.schema, compression="zstd", compression_level=REST_LEVEL, use_dictionary=False, write_statistics=False, data_page_size=4 << 20)
+            writer.write_table(rows)
+            held, size = [], 0
+
         for batch in batches:
             for part, texts in text_steps(batch):
                 ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in tok.encode(texts)]
                 n = pa.array([len(x) // len(end) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, binary_array(ids)], ["id", "n", "ids"])
+                prints = b"".join([xxhash.xxh3_128_digest(x, seed=xxhash.xxh3_64_intdigest(repr(i))) for i, x in zip(part.column(0).to_pylist(), ids, strict=True)])
+                a, b = (pa.array(x.copy()) for x in np.frombuffer(prints, "<i8").reshape(-1, 2).T)
+                held.append(pa.RecordBatch.from_arrays([part.column(0), n, binary_array(ids), a, b], ["id", "n", "ids", "a", "b"]))
+                size += held[-1].nbytes
+                if size >= FLUSH_BYTES:
+                    flush()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number, np.int32)), a, b, n], ["file", "a", "b", "n"])
+        if held:
+            flush()
+        if writer is not None:
+            writer.close()
+            _replace(files, name, f"{root}/{number:08d}")
         tok.release()
 
     chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    made = chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, n bigint, ids binary")
-    marked = made.withColumn("a", F.xxhash64("id", "ids")).withColumn("b", F.xxhash64(F.lit(5), "id", "ids"))
-    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(REST_LEVEL), "parquet.enable.dictionary": "false", "parquet.page.size": str(4 << 20)}
-    return materialise(marked, "tokens", **options)
+    rows = chosen.mapInArrow(run, "file int, a bigint, b bigint, n bigint")
+    return materialise(rows.groupBy("file", "a", "b").agg(F.max("n").alias("n"), F.sum("n").alias("size")), "offsets")
+
+
+def _replace(files, name: str, done: str) -> None:
+    """Give a finished file its name, in place of one that an earlier attempt wrote; some stores don't move onto a file."""
+    if files.get_file_info(done).is_file:
+        files.delete_file(done)
+    files.move(name, done)
 
 
-def _offsets(tokens: DataFrame) -> DataFrame:
+def _offsets(each: DataFrame) -> DataFrame:
     """``file, a, b, start``: where in the stream the rows of a file with this fingerprint begin, one after the other."""
-    rows = tokens.select(F.col("_metadata.file_path").alias("file"), "a", "b", "n")
-    each = rows.groupBy("file", "a", "b").agg(F.max("n").alias("n"), F.sum("n").alias("size"))
-    each = materialise(each.withColumn("bucket", F.pmod("a", F.lit(BUCKETS))), "offsets")
+    each = each.withColumn("bucket", F.pmod("a", F.lit(BUCKETS)))
     totals = each.groupBy("bucket").agg(F.sum("size").alias("size"))
     # at most BUCKETS rows, whatever the input
     base = totals.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("base"))
@@ -133,9 +168,10 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         raise ValueError(f"{size} ids don't fit into {dtype}")
     directory = directory or f"{shared_dir(spark)}/talkloom/shards-{uuid.uuid4().hex}"
     item = np.dtype(dtype).itemsize
-    tokens = _tokens(docs, path, id_col, text_col, end_id, dtype)
-    id_type = tokens.schema["id"].dataType.simpleString()
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    folder = scratch(spark, "tokens")
+    tokens = _tokens(docs, path, folder, id_col, text_col, end_id, dtype)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    total = tokens.agg(F.sum("size")).first()[0] or 0
     n = -(-total // stride)
     width = shard_sequences or shard_size(n)
     names = ["id", "start", "length", "ids_crc32", "record", "offset"]
@@ -151,8 +187,8 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         import pyarrow.parquet as pq
         a, b, start = (starts.column(c).to_pylist() for c in ("a", "b", "start"))
         at = {(x, y): z for x, y, z in zip(a, b, start, strict=True)}
-        files, file = store(key[0].as_py())
-        with files.open_input_file(file) as source:
+        files, root = store(folder)
+        with files.open_input_file(f"{root}/{key[0].as_py():08d}") as source:
             held, size = [], 0
             for batch in pq.ParquetFile(source).iter_batches(batch_size=256, columns=["id", "n", "ids", "a", "b"]):
                 held.append(batch)
@@ -216,10 +252,7 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
                 raise ValueError(f"shard {current} holds {filled} tokens")
             with files.open_output_stream(f"{root}/.{current:08d}-{attempt}") as file:
                 file.write(buffer.tobytes())
-            done = f"{root}/{current:08d}.bin"
-            if files.get_file_info(done).is_file:  # of an attempt before this one; some stores don't move onto a file
-                files.delete_file(done)
-            files.move(f"{root}/.{current:08d}-{attempt}", done)
+            _replace(files, f"{root}/.{current:08d}-{attempt}", f"{root}/{current:08d}.bin")
 
         for batch in batches:
             columns = [batch.column(2 + k).flatten() for k in range(len(names))]
@@ -241,7 +274,7 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
         finish()
 
     written = materialise(dealt.mapInArrow(write, flat), "manifest")
-    discard(tokens)
+    discard(spark, folder)
     _write_index(directory, {"stride": stride, "dtype": dtype, "n_sequences": n, "shard_sequences": width})
     return _manifest(written, id_col, width), directory
 
