@@ -107,3 +107,8 @@ class Known(dict):
             self.older = dict(self)
             self.clear()
             self.used = 0
+
+    def forget(self) -> None:
+        """Let go of everything."""
+        self.clear()
+        self.older, self.used = {}, 0

@@ -100,8 +100,8 @@ class JsonTokenizer:
         return ids
 
     def release(self) -> None:
-        """Drop the older generation: workers outlive their tasks, and other stages need the memory."""
-        self.known.older, self.pieces.older = {}, {}
+        """Forget what is known: workers outlive their tasks, and other stages need the memory. The common chunks are soon known again."""
+        self.known.forget(), self.pieces.forget()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text, without added special tokens."""
