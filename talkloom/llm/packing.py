@@ -47,12 +47,13 @@ class JsonTokenizer:
     whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         import regex
         from tokenizers import Tokenizer
 
-        if sys.byteorder != "little" or array("I").itemsize != 4:
-            raise ValueError("ids are laid out as this machine's unsigned 32-bit numbers, which must be little-endian")
+        self.type = {2: "H", 4: "I"}[width]
+        if sys.byteorder != "little" or array(self.type).itemsize != width:
+            raise ValueError("ids are laid out as this machine's unsigned numbers, which must be little-endian")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kind = spec.get("pre_tokenizer") or {}
@@ -78,7 +79,7 @@ class JsonTokenizer:
         return piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenize(self._shown(piece))]).tobytes()
+        ids = array(self.type, [t.id for t in self.tokenize(self._shown(piece))]).tobytes()
         self.pieces.keep(piece, ids)
         return ids
 
@@ -91,7 +92,7 @@ class JsonTokenizer:
         if word.isalpha():
             bare = len(word) == len(name)
             if bare or (ids := self.known.get(word)) is None:
-                ids = array("I", [t.id for t in self.tokenize(self.space + self._shown(word))]).tobytes()
+                ids = array(self.type, [t.id for t in self.tokenize(self.space + self._shown(word))]).tobytes()
             if not bare:
                 ids += self.pieces[name[len(word) :]]
         else:
@@ -104,13 +105,13 @@ class JsonTokenizer:
         self.known.forget(), self.pieces.forget()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids per text, without added special tokens."""
+        """Little-endian unsigned ids of ``width`` bytes per text, without added special tokens."""
         out = []
         for text in texts:
             if not text:
                 out.append(b"")
             elif any(s in text for s in self.special):
-                out.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
+                out.append(array(self.type, self.whole.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 out.append(b"".join([ids for part in parts(text) for ids in self._part(part)]))
         return out
@@ -125,8 +126,8 @@ class JsonTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> JsonTokenizer:
-    return JsonTokenizer(path)
+def tokenizer(path: str, width: int = 4) -> JsonTokenizer:
+    return JsonTokenizer(path, width)
 
 
 class BestFit:

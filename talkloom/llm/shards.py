@@ -91,7 +91,7 @@ def _tokens(docs: DataFrame, path: str, folder: str, id_col: str, text_col: str,
         import pyarrow.parquet as pq
         import xxhash
 
-        tok, end, number = tokenizer(path), np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
+        tok, end, number = tokenizer(path, np.dtype(dtype).itemsize), np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
         files, root = store(folder)
         files.create_dir(root, recursive=True)
         name, writer, held, size = f"{root}/.{number:08d}-{uuid.uuid4().hex}", None, [], 0
@@ -106,7 +106,7 @@ def _tokens(docs: DataFrame, path: str, folder: str, id_col: str, text_col: str,
 
         for batch in batches:
             for part, texts in text_steps(batch):
-                ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in tok.encode(texts)]
+                ids = [x + end for x in tok.encode(texts)]
                 n = pa.array([len(x) // len(end) for x in ids], pa.int64())
                 prints = b"".join([xxhash.xxh3_128_digest(x, seed=xxhash.xxh3_64_intdigest(repr(i))) for i, x in zip(part.column(0).to_pylist(), ids, strict=True)])
                 a, b = (pa.array(x.copy()) for x in np.frombuffer(prints, "<i8").reshape(-1, 2).T)
@@ -120,7 +120,6 @@ def _tokens(docs: DataFrame, path: str, folder: str, id_col: str, text_col: str,
         if writer is not None:
             writer.close()
             _replace(files, name, f"{root}/{number:08d}")
-        tok.release()
 
     chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = chosen.mapInArrow(run, "file int, a bigint, b bigint, n bigint")
@@ -152,8 +151,8 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
     length`` (which of the document's ids), ``ids_crc32`` (of these as
     little-endian unsigned 32-bit numbers), ``slot, shard, record`` (the place
     in the shard), ``offset`` (the token's place in the record). Records are
-    ``stride`` numbers of ``dtype``, by default the narrowest of 16 or 32 bits
-    that holds the vocabulary (a narrower one raises ValueError); the last
+    ``stride`` numbers of ``dtype``, of 16 or 32 bits, by default the narrower
+    that holds the vocabulary (one that doesn't raises ValueError); the last
     sequence of the stream is padded with ``end_id``.
 
     Null and empty texts are the end id alone. Repeated ids are documents of
@@ -164,7 +163,7 @@ def write_shards(docs: DataFrame, path: str, directory: str | None = None, id_co
     spark = docs.sparkSession
     size = max(tokenizer(path).vocabulary_size(), end_id + 1)
     dtype = dtype or ("<u2" if size <= 1 << 16 else "<u4")
-    if size > 1 << 8 * np.dtype(dtype).itemsize:
+    if dtype not in ("<u2", "<u4") or size > 1 << 8 * np.dtype(dtype).itemsize:
         raise ValueError(f"{size} ids don't fit into {dtype}")
     directory = directory or f"{shared_dir(spark)}/talkloom/shards-{uuid.uuid4().hex}"
     item = np.dtype(dtype).itemsize
