@@ -113,16 +113,16 @@ class JsonTokenizer:
             elif any(s in text for s in self.special):
                 out.append(array(self.type, self.whole.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                out.append(b"".join([ids for part in parts(text) for ids in self._part(part)]))
+                out.append(b"".join(map(self._part, parts(text))))
         return out
 
-    def _part(self, text: str) -> list[bytes]:
+    def _part(self, text: str) -> bytes:
         names = chunks(text)
         self.known.turn(), self.pieces.turn()
         if names is None:
-            return [self._ids(self.find(text))]
-        first, *names = names
-        return [self._ids(self.find(first)), *map(self.known.__getitem__, names)]
+            return self._ids(self.find(text))
+        first = self._ids(self.find(names.pop(0)))
+        return b"".join([first, *map(self.known.__getitem__, names)])
 
 
 @lru_cache(maxsize=2)

@@ -46,7 +46,7 @@ ROUNDS = 4
 BUCKETS = 65_536
 CUT_BYTES = 32 << 20
 #: Compression of the tokens while they are at rest and while they are sent.
-REST_LEVEL, SENT_LEVEL = 4, 3
+REST_LEVEL, SENT_LEVEL = 3, 3
 #: Bytes of tokens that are compressed together while at rest.
 FLUSH_BYTES = 16 << 20
 
