@@ -255,3 +255,41 @@ def test_similar_pairs_and_choices_are_brute_force(spark):
         for cell in "xy":
             mine = {i: v for (c, i), v in vectors.items() if c == cell}
             assert [g.id for g in sorted((g for g in got if g.cell == cell), key=lambda g: g["rank"])] == dense_farthest(mine, k, threshold)
+
+
+def test_near_pairs_lose_nothing_between_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}x" for i in range(60)]
+    texts = []
+    for i in range(150):
+        near = texts[rng.randrange(len(texts))].split() if texts and i % 3 else []
+        own = near[: len(near) - rng.randrange(3)] + rng.choices(words, k=rng.randrange(1, 5) if near else rng.randrange(2, 25))
+        texts.append(" ".join(own))
+    texts += [texts[3].upper(), texts[3], texts[8], "the of it", "The of it", "", "", None, None]
+    rows = [(i * 7 % 211, "ab"[i % 2] if i < 158 else "a", t) for i, t in enumerate(texts)] + [(900, None, texts[3]), (901, None, texts[3])]
+    df = spark.createDataFrame(rows, "id long, cell string, text string")
+    weights = DD.tfidf(df, ["cell"], "id", "text")
+    vectors = {}
+    for w in weights.where("cell is not null").collect():
+        vectors.setdefault((w.cell, w.id), {})[w.term] = w.weight
+    low = {}
+    for i, c, t in sorted(rows, key=lambda r: r[0]):
+        if (c, i) in vectors:
+            low.setdefault((c, t.lower()), []).append(i)
+    first = [(c, ids[0]) for (c, _), ids in low.items()]
+    want = {}
+    for c, a in first:
+        for k, b in first:
+            if c == k and a < b:
+                s = sum(w * vectors[c, b].get(t, 0) for t, w in vectors[c, a].items())
+                if s >= 0.5:
+                    want[a, b] = round(s, 9)
+    copies = {(ids[0], b) for ids in low.values() for b in ids[1:]}
+    assert len(want) > 50 and len(copies) > 1
+    for terms in (10**6, 300, 40):  # one block a cell, a few, and many
+        monkeypatch.setattr(DD, "BLOCK_TERMS", terms)
+        got = DD.near_pairs(df, ["cell"], "id", "text", 0.5).collect()
+        assert len(got) == len(want) and {(p.a, p.b): round(p.similarity, 9) for p in got} == want
+    assert sorted((r.a, r.b) for r in DD.copy_links(df, ["cell"], "id", "text").collect()) == sorted(copies)
