@@ -132,8 +132,10 @@ def strip_marker(text: Column) -> Column:
     return F.when(bare == "", F.lit("Let's keep going.")).otherwise(bare)
 
 
-def yes_no(text: Column) -> Column:
-    word = F.lower(F.regexp_extract(text, r"(?i)\b(yes|no)\b", 1))
+def yes_no(text: Column, ascii_words: bool = False) -> Column:
+    """The first "yes" or "no", lower-cased; with ``ascii_words`` letters beyond ASCII end a word, as in SQL engines on RE2."""
+    bounds = ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])") if ascii_words else (r"\b", r"\b")
+    word = F.lower(F.regexp_extract(text, "(?i){}(yes|no){}".format(*bounds), 1))
     return F.when(word != "", word)
 
 

@@ -308,3 +308,19 @@ def test_fisher_exact_of_large_counts(spark):
     df = spark.createDataFrame(tables, "a long, b long, c long, d long")
     got = [r.p for r in df.select(ST.fisher_exact(*[F.col(x) for x in "abcd"]).alias("p")).collect()]
     assert got == [pytest.approx(p(*t), abs=1e-6) for t in tables]
+
+
+def test_answers_beside_letters_beyond_ascii(spark, tmp_path):
+    import duckdb
+
+    from talkloom.plans import text_queries as TQ
+
+    texts = ["noítaga dora", "un asñno", "asnoñ", "YES, no", "a_no no1", "nothing", "é no é", "", "no\tñ", None]
+    spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = sorted(con.execute(TQ.SQL["reply_parsing"]).fetchall())
+    assert sorted(tuple(r) for r in TQ.reply_parsing(spark, str(tmp_path)).collect()) == want
+    assert [r[3] for r in want] == ["no", "no", None, "yes", None, None, "no", None, "no", None]
+    df = spark.createDataFrame([("noítaga",), ("No.",)], "t string")
+    assert [r.c for r in df.select(T.yes_no(F.col("t")).alias("c")).collect()] == [None, "no"]
