@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+from talkloom.session import store  # noqa: F401
+
 #: Texts of one step in a worker: memory stays bounded whatever the batch holds.
 STEP_CHARS = 1_000_000
 
@@ -28,10 +30,3 @@ def text_steps(batch: pa.RecordBatch, column: int = 1, limit: int = STEP_CHARS)
 
 def binary_array(values: Iterable[bytes]) -> pa.Array:
     return pa.array(list(values), pa.binary())
-
-
-def store(uri: str):
-    """(file system, path) of a URI as Spark writes it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))

@@ -295,6 +295,31 @@ def test_near_pairs_lose_nothing_between_blocks(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in DD.copy_links(df, ["cell"], "id", "text").collect()) == sorted(copies)
 
 
+def test_near_pairs_send_a_text_once_whatever_the_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(400)]
+    texts[399] = texts[0] + " more"
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "id long, cell string, text string")
+    context = spark.sparkContext._jsc.sc()
+
+    def sent() -> int:
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    used = []
+    for terms in (10**6, 3_000):  # one block, and some fifteen
+        monkeypatch.setattr(DD, "BLOCK_TERMS", terms)
+        before = sent()
+        assert [(p.a, p.b) for p in DD.near_pairs(df, ["cell"], "id", "text", 0.75).collect()] == [(0, 399)]
+        used.append(sent() - before)
+    assert 0 < used[1] < 2.5 * used[0]
+    assert DD.near_pairs(df.where("id < 0"), ["cell"], "id", "text", 0.75).collect() == []
+
+
 def test_fisher_exact_of_large_counts(spark):
     import math
 
