@@ -320,6 +320,47 @@ def test_near_pairs_send_a_text_once_whatever_the_blocks(spark, monkeypatch):
     assert DD.near_pairs(df.where("id < 0"), ["cell"], "id", "text", 0.75).collect() == []
 
 
+def test_copies_of_a_dropped_row_go_with_it(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from talkloom.plans import dialogue_queries as DQ
+
+    rng = random.Random(9)
+    words = [f"w{i}x" for i in range(80)]
+    base = " ".join(words[:12])
+    # 1 goes for 0; 2 and 3 are copies of 1 and near to 0; no link of texts without topic words
+    texts = [base, base + " more", base.upper() + " MORE", base + " more", "the of", "The of", "", None, None]
+    while len(texts) < 150:
+        kind, old = rng.randrange(3), rng.choice([t for t in texts if t]).split()
+        texts.append(" ".join(rng.choices(words, k=14) if kind == 0 else old if kind == 1 else [*old, rng.choice(words)]))
+    df = spark.createDataFrame([(i, "en" if i < 100 else "de", "web" if i < 140 else None, t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = {}
+    for w in DD.tfidf(df.where("source is not null"), ["lang", "source"], "doc_id", "text").collect():
+        vectors.setdefault(w.doc_id, (w.lang, {}))[1][w.term] = w.weight
+    stay, gone = [], []
+    for i in range(len(texts)):
+        lang, v = vectors.get(i, (None, {}))
+        near = [k for k in stay if vectors.get(k, ("", {}))[0] == lang and sum(w * vectors[k][1].get(t, 0) for t, w in v.items()) >= 0.75]
+        (gone if near else stay).append(i)
+    firsts = {}
+    for i, t in enumerate(texts):
+        firsts.setdefault((vectors.get(i, (None,))[0], (t or "").lower()), i)
+    late = [i for i in gone if firsts[vectors[i][0], texts[i].lower()] in gone and i not in firsts.values()]
+    got = sorted(tuple(r) for r in DQ.dedup_threshold(spark, str(tmp_path)).collect())
+    assert {1, 2, 3} <= set(gone) and {2, 3} <= set(late) and len(late) > 10 and {0, 4, 5, 6, 7, 8} <= set(stay)
+    assert got == [(i, i in stay) for i in range(len(texts))]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(DQ.SQL["dedup_threshold"]).fetchall()) == got
+    # every pair, or those of first rows and their copies: the same
+    pairs = [(a, b) for b in vectors for a in vectors if a < b and vectors[a][0] == vectors[b][0] and sum(w * vectors[b][1].get(t, 0) for t, w in vectors[a][1].items()) >= 0.75]
+    every = DD.prune_in_order(df.select("doc_id"), spark.createDataFrame(pairs, "a long, b long"), "doc_id")
+    assert sorted(tuple(r) for r in every.collect()) == got
+
+
 def test_fisher_exact_of_large_counts(spark):
     import math
 
